@@ -46,15 +46,30 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 _ONE_FROM, _ONE_TO, _LONGER = _fold_tables()
 
 
+def _ranges(chars: str, slack: int) -> str:
+    """A regex class covering the characters with few ranges; it may cover some others as well."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if out and code - out[-1][1] <= slack:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+_SPECIAL = _ranges("".join(c for c in _ONE_FROM + "".join(_LONGER) if c != "ß"), 64)
+
+
 def fold(col: Column) -> Column:
-    """Full Unicode case folding: lower case plus the letters whose folding differs from it."""
-    out = F.translate(F.lower(col), _ONE_FROM, _ONE_TO)
-    out = F.replace(out, F.lit("ß"), F.lit("ss"))
-    rare = [c for c in _LONGER if c != "ß"]
-    expanded = out
-    for ch in rare:
-        expanded = F.replace(expanded, F.lit(ch), F.lit(_LONGER[ch]))
-    return F.when(out.rlike("[" + "".join(rare) + "]"), expanded).otherwise(out)
+    """Full Unicode case folding: lower case plus the letters whose folding differs from it.
+
+    Almost every text needs no more than lower case and the sharp s; the rest takes a second path.
+    """
+    plain = F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
+    table = F.array(*[F.struct(F.lit(c).alias("a"), F.lit(f).alias("b")) for c, f in _LONGER.items()])
+    full = F.aggregate(table, F.translate(F.lower(col), _ONE_FROM, _ONE_TO),
+                       lambda text, pair: F.replace(text, pair["a"], pair["b"]))
+    return F.when(F.lower(col).rlike(_SPECIAL), full).otherwise(plain)
 
 
 def occurrences(haystack: Column, needle: Column) -> Column:
