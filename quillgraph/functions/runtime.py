@@ -25,12 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that lost executors never force a long recomputation."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "cut") -> tuple[DataFrame, str]:
+    """Writes the rows once to the shared folder and reads them back: the plan starts anew and a lost
+    executor costs a file read, not a recomputation. Returns the frame and its folder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder that this run wrote itself."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
