@@ -33,6 +33,11 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> tuple[DataFrame, str]:
     return df.sparkSession.read.parquet(path), path
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """A stage boundary: rows that several later steps read are written once instead of recomputed by each."""
+    return cut_lineage(df, label)[0]
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Removes a scratch folder that this run wrote itself."""
     jvm = spark.sparkContext._jvm

@@ -5,8 +5,11 @@ ones are related, and planted slips (wrong quotes, repeated ids, missing evidenc
 """
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
+from quillgraph.functions.runtime import scratch_path, stage
 from quillgraph.functions.udfs import extract_candidates, fold_name
 from quillgraph.operators import extraction as X
 from quillgraph.operators import resolution as R
@@ -179,20 +182,31 @@ class Build:
         self.located = X.locate(anchors, self.spans)
         self.placed = X.attribute(self.located, self.chunks)
 
+    @cached_property
+    def placed_once(self):
+        return stage(self.placed, "placed")
+
+    @cached_property
+    def valid_entities(self):
+        return stage(X.validate_entities(self.entities, self.placed_once), "entities")
+
     def valid(self):
-        e = X.validate_entities(self.entities, self.placed)
+        e = self.valid_entities
         good = e.filter("valid")
-        return e, X.validate_relations(self.relations, good, self.placed, self.windows), X.validate_links(self.links, good, self.placed)
+        return (e, X.validate_relations(self.relations, good, self.placed_once, self.windows),
+                X.validate_links(self.links, good, self.placed_once))
 
-    def entity_table(self):
-        return R.entity_table(X.validate_entities(self.entities, self.placed))
+    @cached_property
+    def table(self):
+        return stage(R.entity_table(self.valid_entities), "entity-table")
 
+    @cached_property
     def canonical(self):
-        e, r, _ = self.valid()
-        table_ = R.entity_table(e)
-        ids = R.dependency_groups(table_).withColumnRenamed("group_key", "identity")
-        heads, mapping, mentions = R.canonical_entities(table_, ids, VERSION)
-        return heads, mentions, R.canonical_relations(r.filter("status = 'kept'"), mapping, VERSION)
+        _, r, _ = self.valid()
+        ids = stage(R.dependency_groups(self.table).withColumnRenamed("group_key", "identity"), "identities")
+        heads, mapping, mentions = R.canonical_entities(self.table, ids, VERSION)
+        relations = stage(R.canonical_relations(r.filter("status = 'kept'"), mapping, VERSION), "relations")
+        return heads, mentions, relations
 
 
 # ------------------------------------------------------------------------------------------- queries
@@ -290,7 +304,7 @@ def k12(spark, sf):
 
 @register("k13_blocking_candidates", sql(ENTITIES, "SELECT corpus_id, entity_key, candidate_key, shared, distance, rank, truncated FROM cd"))
 def k13(spark, sf):
-    return R.candidates(Build(spark, sf).entity_table()).select("corpus_id", "entity_key", "candidate_key", "shared", "distance", "rank", "truncated")
+    return R.candidates(Build(spark, sf).table).select("corpus_id", "entity_key", "candidate_key", "shared", "distance", "rank", "truncated")
 
 
 @register("k14_representative_contexts", sql(ENTITIES, """, it AS (SELECT DISTINCT corpus_id || '|' || type || '|' || folded AS group_key, max(position) OVER (PARTITION BY corpus_id, type, folded) // 2 AS pp, position AS s, end_char AS e FROM en),
@@ -299,7 +313,7 @@ def k13(spark, sf):
  SELECT group_key, s AS start_char, e AS end_char FROM ins WHERE nr <= 2 OR (inside AND nr <= 3) OR (NOT inside AND fr = 1)""").replace("\n, it AS", ", it AS"))
 def k14(spark, sf):
     from pyspark.sql import Window
-    e = Build(spark, sf).entity_table().withColumn("group_key", F.concat_ws("|", "corpus_id", "type", "folded"))
+    e = Build(spark, sf).table.withColumn("group_key", F.concat_ws("|", "corpus_id", "type", "folded"))
     middle = F.floor(F.max("position").over(Window.partitionBy("group_key")) / 2)
     items = e.withColumn("_p", middle).select("group_key", F.col("_p").alias("position"), F.col("entity_key").alias("item"), F.explode("spans").alias("s")).select(
         "group_key", "position", "item", "s.start_char", "s.end_char")
@@ -308,7 +322,7 @@ def k14(spark, sf):
 
 @register("k15_dependency_groups", sql(ENTITIES, "SELECT corpus_id, entity_key, min(entity_key) OVER (PARTITION BY corpus_id, type, folded) AS group_key FROM en"))
 def k15(spark, sf):
-    return R.dependency_groups(Build(spark, sf).entity_table())
+    return R.dependency_groups(Build(spark, sf).table)
 
 
 @register("k15_shared_line_components", """WITH RECURSIVE m AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS k FROM documents UNION SELECT doc_id, string_split(text, chr(10))[-1] FROM documents),
@@ -329,15 +343,15 @@ def _decisions(cands):
 
 def _judged(spark, sf):
     b = Build(spark, sf)
-    e = b.entity_table()
-    cands = R.candidates(e)
+    e = b.table
+    cands = stage(R.candidates(e), "candidates")
     d = _decisions(cands).join(e.select("corpus_id", "entity_key", "position"), ["corpus_id", "entity_key"])
     p = F.col("position") % 5
     none = F.array().cast("array<string>")
     decisions = d.select("corpus_id", "entity_key", F.when(p.isin(0, 3), "merge").when(p.isin(1, 4), "new").otherwise("ambiguous").alias("decision"),
                          F.when(p == 0, F.col("best")).when(p == 3, F.lit("nobody")).alias("candidate_key"),
                          F.when(p.isin(0, 1, 3), F.array("best")).otherwise(none).alias("supporting"), "allowed")
-    return b, e, R.apply_decisions(e, cands, decisions)
+    return b, e, stage(R.apply_decisions(e, cands, decisions), "outcomes")
 
 
 @register("k16_merge_decisions", sql(DECIDE, "SELECT corpus_id, entity_key, outcome, joins FROM jn"))
@@ -361,7 +375,7 @@ def _identities(spark, sf):
     decisions = links.select("corpus_id", "link_key", F.when(F.col("pos") % 3 == 2, "ambiguous").otherwise("merge").alias("decision"),
                              F.when(F.col("pos") % 3 == 0, F.array(F.col("evidence_refs")[0], F.col("source_key"))).otherwise(
                                  F.array(F.col("evidence_refs")[0], F.lit("foreign"))).alias("supporting"))
-    return R.merge_identities(e, R.clusters(e, joins), links.drop("pos"), decisions)
+    return R.merge_identities(e, stage(R.clusters(e, joins), "clusters"), stage(links.drop("pos"), "links"), decisions)
 
 
 @register("k17_identity_links", sql(DECIDE, "SELECT corpus_id, link_key, outcome FROM lo"))
@@ -381,18 +395,18 @@ def k17_ids(spark, sf):
  SELECT c.corpus_id, entity_id, c.type, c.name, coalesce((SELECT string_agg(DISTINCT i.name, '|' ORDER BY i.name) FROM idn i WHERE i.corpus_id=c.corpus_id AND i.identity=c.identity AND i.name <> c.name), '') AS aliases,
  first_section_order, mention_count FROM can c""").replace("\n, al AS", ", al AS"))
 def k18(spark, sf):
-    heads, _, _ = Build(spark, sf).canonical()
+    heads, _, _ = Build(spark, sf).canonical
     return heads.select("corpus_id", "entity_id", "type", "name", F.array_join("aliases", "|").alias("aliases"), "first_section_order", "mention_count")
 
 
 @register("k19_canonical_relations", sql(CANON, "SELECT corpus_id, relation_id, source_id, target_id, type, polarity, statement_mode, count(*) AS statements FROM kr GROUP BY ALL"))
 def k19(spark, sf):
-    return R.relation_table(Build(spark, sf).canonical()[2])
+    return R.relation_table(Build(spark, sf).canonical[2])
 
 
 @register("k20_evidence_groups", sql(CANON, "SELECT corpus_id, relation_id, group_id, evidence_hash, first_section, last_section, count(*) AS copies FROM gr GROUP BY ALL"))
 def k20(spark, sf):
-    return R.evidence_groups(Build(spark, sf).canonical()[2]).drop("spans")
+    return R.evidence_groups(Build(spark, sf).canonical[2]).drop("spans")
 
 
 UNITS = """, un AS (SELECT corpus_id, unit_id, CASE WHEN corpus_id%7=0 THEN 'x' ELSE 'h' || length(unit_id) END AS input_hash,
@@ -493,7 +507,7 @@ def s07(spark, sf):
 
 
 def _tables(spark, sf):
-    heads, mentions, rel_rows = Build(spark, sf).canonical()
+    heads, mentions, rel_rows = Build(spark, sf).canonical
     return G.graph_tables(heads, mentions, R.relation_table(rel_rows), R.evidence_groups(rel_rows))
 
 
@@ -503,7 +517,6 @@ def _tables(spark, sf):
  UNION ALL SELECT 'relations', count(DISTINCT (corpus_id, relation_id)) FROM kr UNION ALL SELECT 'evidence_groups', count(DISTINCT (corpus_id, group_id)) FROM gr
  UNION ALL SELECT 'evidence_spans', 2 * count(DISTINCT (corpus_id, group_id)) FROM gr"""))
 def s09(spark, sf):
-    from quillgraph.functions.runtime import scratch_path
     path = scratch_path(spark, "graph")
     G.materialize_graph(_tables(spark, sf), path, VERSION)
     out = None

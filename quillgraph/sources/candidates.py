@@ -39,6 +39,24 @@ def _bad(kind: str, x: Column) -> Column:
             | ~fallback(x["statement_mode"], "narration").isin(MODES))
 
 
+# one-argument functions for the array operators, which read a second parameter as the index
+def _typed(shape: str):
+    return lambda j: F.from_json(j, shape)
+
+
+def _strange(fields: list[str]):
+    return lambda j: F.coalesce(_unknown(j, fields), F.lit(True))
+
+
+def _strange_inside(inner: str):
+    anchors = lambda j: F.from_json(j, f"struct<{inner}:array<string>>")[inner]
+    return lambda j: F.coalesce(F.exists(anchors(j), _strange(["span_id", "quote", "occurrence"])), F.lit(False))
+
+
+def _wrong(kind: str):
+    return lambda x: x.isNull() | _bad(kind, x)
+
+
 def ingest_candidates(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(corpus_id, unit_id, payload) to (entities, relations, links, rejects).
 
@@ -50,15 +68,13 @@ def ingest_candidates(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     parsed = rows
     for kind, (_, shape) in SHAPES.items():
         parsed = parsed.withColumn(kind, F.transform(F.coalesce(F.col(f"raw.{kind}"), F.array().cast("array<string>")),
-                                                     lambda j, shape=shape: F.from_json(j, shape)))
+                                                     _typed(shape)))
     element_unknown, anchor_unknown, wrong = F.lit(False), F.lit(False), F.lit(False)
     for kind, (fields, _) in SHAPES.items():
-        element_unknown = element_unknown | F.coalesce(F.exists(f"raw.{kind}", lambda j, f=fields: F.coalesce(_unknown(j, f), F.lit(True))), F.lit(False))
         inner = "mentions" if kind == "entities" else "evidence"
-        texts = lambda j, inner=inner: F.from_json(j, f"struct<{inner}:array<string>>")[inner]
-        anchor_unknown = anchor_unknown | F.coalesce(F.exists(f"raw.{kind}", lambda j, t=texts: F.coalesce(F.exists(
-            t(j), lambda a: F.coalesce(_unknown(a, ["span_id", "quote", "occurrence"]), F.lit(True))), F.lit(False))), F.lit(False))
-        wrong = wrong | F.coalesce(F.exists(kind, lambda x, kind=kind: x.isNull() | _bad(kind, x)), F.lit(False))
+        element_unknown = element_unknown | F.coalesce(F.exists(f"raw.{kind}", _strange(fields)), F.lit(False))
+        anchor_unknown = anchor_unknown | F.coalesce(F.exists(f"raw.{kind}", _strange_inside(inner)), F.lit(False))
+        wrong = wrong | F.coalesce(F.exists(kind, _wrong(kind)), F.lit(False))
     reason = (F.when(F.col("raw").isNull() | F.json_object_keys("payload").isNull(), "not_json")
               .when(_unknown(F.col("payload"), list(SHAPES)) | element_unknown | anchor_unknown, "unknown_field")
               .when(wrong, "invalid_value"))
