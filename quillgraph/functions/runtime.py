@@ -38,11 +38,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, label)[0]
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs.exists(target)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Removes a scratch folder that this run wrote itself."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
