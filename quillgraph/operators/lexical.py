@@ -91,10 +91,21 @@ def vocabulary_of(toks: DataFrame) -> DataFrame:
         F.when(F.col("raw_idf") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw_idf")).alias("idf"))
 
 
-def build_index(passages: DataFrame, words: Words = regex_words) -> Index:
+def query_tokens(queries: DataFrame, words: Words = regex_words) -> DataFrame:
+    return (with_tokens(queries, F.col("query"), "tokens", unique=True, words=words)
+            .select("query_id", "corpus_id", F.explode("tokens").alias("token")))
+
+
+def build_index(passages: DataFrame, words: Words = regex_words, wanted: DataFrame | None = None) -> Index:
+    """The whole index, or with ``wanted`` (corpus_id, token) only the postings a query batch can touch.
+
+    The vocabulary always covers every token: the mean idf depends on all of them.
+    """
     toks = tokenized(passages, words)
-    postings = (toks.select("corpus_id", "passage_id", "section_order", "start_char", "doc_length", F.explode("tokens").alias("token"))
-                .groupBy("corpus_id", "passage_id", "section_order", "start_char", "doc_length", "token")
+    rows = toks.select("corpus_id", "passage_id", "section_order", "start_char", "doc_length", F.explode("tokens").alias("token"))
+    if wanted is not None:
+        rows = rows.join(wanted.select("corpus_id", "token").distinct(), ["corpus_id", "token"], "left_semi")
+    postings = (rows.groupBy("corpus_id", "passage_id", "section_order", "start_char", "doc_length", "token")
                 .agg(F.count("*").alias("tf")))
     return Index(postings, vocabulary_of(toks))
 
@@ -105,9 +116,7 @@ def bm25(queries: DataFrame, index: Index, words: Words = regex_words) -> DataFr
     The query side meets the vocabulary first, so idf travels with the few query tokens and the
     postings are joined once; the join is map-side whenever the query batch is small.
     """
-    asked = (with_tokens(queries, F.col("query"), "tokens", unique=True, words=words)
-             .select("query_id", "corpus_id", F.explode("tokens").alias("token")))
-    weighted = asked.join(index.vocabulary, ["corpus_id", "token"])
+    weighted = query_tokens(queries, words).join(index.vocabulary, ["corpus_id", "token"])
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_length") / F.col("mean_length")))
     return (index.postings.join(weighted, ["corpus_id", "token"])
@@ -135,7 +144,7 @@ def boosts(queries: DataFrame, passages: DataFrame) -> DataFrame:
 
 def lexical_scores(queries: DataFrame, passages: DataFrame, index: Index | None = None, words: Words = regex_words) -> DataFrame:
     """Candidates share a token with the query or contain one of its terms; everything else scores nothing."""
-    index = index or build_index(passages, words)
+    index = index or build_index(passages, words, query_tokens(queries, words))
     keys = ["query_id", "corpus_id", "passage_id", "section_order", "start_char"]
     return (bm25(queries, index, words).unionByName(boosts(queries, passages))
             .groupBy(*keys).agg(F.sum("score").alias("score")))

@@ -175,7 +175,7 @@ class Build:
     def __init__(self, spark, sf):
         self.chunks, self.corpus = line_chunks(spark, sf), raw_corpus(spark, sf)
         self.windows = _windows(spark, sf)
-        self.spans = X.window_spans(self.windows, self.corpus)
+        self.spans = stage(X.window_spans(self.windows, self.corpus), "spans")
         self.entities, self.relations, self.links = candidate_tables(self.spans)
         anchors = (X.anchor_rows(self.entities, "mentions", "entity").unionByName(X.anchor_rows(self.relations, "evidence", "relation"))
                    .unionByName(X.anchor_rows(self.links, "evidence", "link")))

@@ -80,7 +80,7 @@ ranked AS (SELECT l.*, row_number() OVER (PARTITION BY query_id ORDER BY round(s
 
 def flagship(spark, sf):
     q = library_queries(spark, sf)
-    index = lexical.build_index(library(spark, sf))
+    index = lexical.build_index(library(spark, sf), wanted=lexical.query_tokens(q))
     return lexical.lexical_ranking(lexical.bm25(q, index), limit=10).select(
         "query_id", "corpus_id", "passage_id", "rank", F.round("score", 6).alias("score"))
 
@@ -109,8 +109,9 @@ def r03(spark, sf):
 
 @register("r04_bm25", sql(SCORES, "SELECT query_id, passage_id, round(score, 6) AS score FROM bm"))
 def r04(spark, sf):
-    index = lexical.build_index(library(spark, sf))
-    return lexical.bm25(library_queries(spark, sf), index).select("query_id", "passage_id", F.round("score", 6).alias("score"))
+    q = library_queries(spark, sf)
+    index = lexical.build_index(library(spark, sf), wanted=lexical.query_tokens(q))
+    return lexical.bm25(q, index).select("query_id", "passage_id", F.round("score", 6).alias("score"))
 
 
 @register("r05_phrase_title_boosts", sql(SCORES, "SELECT query_id, passage_id, CAST(score AS DOUBLE) AS score FROM bo"))
