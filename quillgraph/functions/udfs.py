@@ -65,24 +65,25 @@ def decode_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": frame["path"], "text": [p[0] for p in pairs], "encoding": [p[1] for p in pairs]})
 
 
-def slice_text(corpus: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Adds ``text`` to spans (corpus_id, key, start_char, end_char, ...).
+def slice_text(corpus: DataFrame, spans: DataFrame) -> DataFrame:
+    """Adds ``text`` to spans (corpus_id, start_char, end_char and any other columns).
 
     The spans of a corpus travel to its text as one list, so a text is decoded once instead of once
-    per span; key must be unique inside a corpus.
+    per span, and the slices leave with their columns: no text is shuffled to meet its span again.
     """
-    kind = dict(spans.dtypes)[key]
-    lists = spans.groupBy("corpus_id").agg(F.collect_list(F.struct(F.col(key).alias("key"), "start_char", "end_char")).alias("spans"))
+    fields = [f for f in spans.schema.fields if f.name not in ("corpus_id", "text")]
+    names = [f.name for f in fields]
+    lists = spans.groupBy("corpus_id").agg(F.collect_list(F.struct(*names)).alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            rows = [(cid, s["key"], text[s["start_char"]:s["end_char"]])
+            rows = [(cid, *[s[n] for n in names], text[s["start_char"]:s["end_char"]])
                     for cid, text, wanted in zip(frame["corpus_id"], frame["text"], frame["spans"]) for s in wanted]
-            yield pd.DataFrame(rows, columns=["corpus_id", key, "text"])
+            yield pd.DataFrame(rows, columns=["corpus_id", *names, "text"])
 
-    id_type = dict(corpus.dtypes)["corpus_id"]
-    texts = corpus.select("corpus_id", "text").join(lists, "corpus_id").mapInPandas(cut, f"corpus_id {id_type}, {key} {kind}, text string")
-    return spans.join(texts, ["corpus_id", key])
+    out = T.StructType([T.StructField("corpus_id", corpus.schema["corpus_id"].dataType), *[T.StructField(f.name, f.dataType) for f in fields],
+                        T.StructField("text", T.StringType())])
+    return corpus.select("corpus_id", "text").join(lists, "corpus_id").mapInPandas(cut, out)
 
 
 def extract_candidates(windows: DataFrame, fn: Callable[[str], str]) -> DataFrame:

@@ -50,8 +50,7 @@ def window_spans(windows: DataFrame, corpus: DataFrame) -> DataFrame:
     rows = windows.select("corpus_id", "unit_id", "core_start", "core_end", F.explode(F.array(
         span("core", "core_start", "core_end", 0), span("before", "left_start", "core_start", 1),
         span("after", "core_end", "right_end", 2))).alias("s")).select("corpus_id", "unit_id", "core_start", "core_end", "s.*")
-    rows = rows.filter(F.col("start_char") < F.col("end_char")).withColumn("_key", F.concat_ws("#", "unit_id", "span_id"))
-    return slice_text(corpus, rows, "_key").drop("_key")
+    return slice_text(corpus, rows.filter(F.col("start_char") < F.col("end_char")))
 
 
 def window_payload(spans: DataFrame) -> DataFrame:
@@ -71,7 +70,7 @@ def split_windows(windows: DataFrame, chunks: DataFrame, corpus: DataFrame, mode
     least_core = MIN_CORE[mode]
     able = F.col("saturated") & (F.col("core_end") - F.col("core_start") >= 2 * least_core)
     split = windows.filter(able)
-    texts = slice_text(corpus, split.withColumnRenamed("core_start", "start_char").withColumnRenamed("core_end", "end_char"), "unit_id")
+    texts = slice_text(corpus, split.withColumnRenamed("core_start", "start_char").withColumnRenamed("core_end", "end_char"))
     middle = F.floor((F.col("start_char") + F.col("end_char")) / 2)
     low = F.greatest(F.col("start_char") + least_core, middle - 100)
     high = F.least(F.col("end_char") - least_core, middle + 100)
@@ -114,7 +113,7 @@ def segments(windows: DataFrame, chunks: DataFrame, corpus: DataFrame) -> DataFr
     runs = (met.withColumn("_from", F.greatest("a", "start_char", F.coalesce(done, c("a")))).withColumn("_to", stop)
             .filter("_from < _to").select("corpus_id", "unit_id", "region", "region_rank", c("_from").alias("start_char"), c("_to").alias("end_char"))
             .withColumn("_key", F.concat_ws("#", "unit_id", "region", "start_char")))
-    sentences = slice_text(corpus, runs, "_key").select(
+    sentences = slice_text(corpus, runs).select(
         "corpus_id", "unit_id", "region", "region_rank", "_key", "start_char",
         F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("i", "sentence"))
     inside = Window.partitionBy("corpus_id", "_key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)

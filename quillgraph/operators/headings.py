@@ -160,12 +160,12 @@ def best_per_line(scored: DataFrame) -> DataFrame:
             .filter("_rank = 1").drop("_rank"))
 
 
-def flag_dense_runs(best: DataFrame) -> DataFrame:
+def flag_dense_runs(best: DataFrame, *within: str) -> DataFrame:
     """Marks every member of a run of at least three headings whose successive starts lie under 180 apart."""
-    order = Window.partitionBy("corpus_id").orderBy("start_char")
+    order = Window.partitionBy("corpus_id", *within).orderBy("start_char")
     gap = F.col("start_char") - F.lag("start_char").over(order)
     island = F.sum(F.when(gap < 180, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    run = Window.partitionBy("corpus_id", "_island")
+    run = Window.partitionBy("corpus_id", *within, "_island")
     return (best.withColumn("_island", island)
             .withColumn("dense", F.count("*").over(run) >= 3).drop("_island"))
 
@@ -175,17 +175,15 @@ def drop_dense_runs(best: DataFrame) -> DataFrame:
 
 
 def structure_report(corpus: DataFrame, scored: DataFrame) -> DataFrame:
-    """One row per corpus, also for corpora without any candidate."""
-    flagged = flag_dense_runs(best_per_line(scored))
-    found = scored.groupBy("corpus_id").agg(F.count("*").alias("candidates"))
-    kept = flagged.groupBy("corpus_id").agg(
-        F.count_if(~F.col("dense")).alias("kept"),
-        F.count_if(F.col("dense")).alias("dense"),
-        F.avg(F.when(~F.col("dense"), F.least(F.col("final_score"), F.lit(10.0)))).alias("mean_score"),
-        F.sort_array(F.collect_set(F.when(~F.col("dense"), F.col("detector")))).alias("used"),
-    )
-    joined = (corpus.select("corpus_id").join(found, "corpus_id", "left").join(kept, "corpus_id", "left")
-              .fillna(0, ["candidates", "kept", "dense"]))
+    """One row per corpus, also for corpora without any candidate. Flags replace filters: one pass over the candidates."""
+    order = Window.partitionBy("corpus_id", "line_no", "passes").orderBy(F.desc("final_score"), "detector_rank")
+    flagged = flag_dense_runs(scored.withColumn("_best", F.col("passes") & (F.row_number().over(order) == 1)), "_best")
+    kept, dense = F.col("_best") & ~F.col("dense"), F.col("_best") & F.col("dense")
+    found = flagged.groupBy("corpus_id").agg(
+        F.count("*").alias("candidates"), F.count_if(kept).alias("kept"), F.count_if(dense).alias("dense"),
+        F.avg(F.when(kept, F.least(F.col("final_score"), F.lit(10.0)))).alias("mean_score"),
+        F.sort_array(F.collect_set(F.when(kept, F.col("detector")))).alias("used"))
+    joined = corpus.select("corpus_id").join(found, "corpus_id", "left").fillna(0, ["candidates", "kept", "dense"])
     fallback = F.col("kept") < 2
     none = F.array().cast("array<string>")
     return joined.select(
