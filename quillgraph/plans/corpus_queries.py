@@ -82,6 +82,36 @@ sec AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY start_char,
     'section_' || lpad(CAST(row_number() OVER (PARTITION BY corpus_id ORDER BY start_char, end_char) AS VARCHAR), 4, '0') AS section_id FROM sec0)"""
 
 
+def split_sql(name, src, minimum, target, maximum, overlap):
+    """The boundary split as a recursive query over ``src`` (kid, text, s, e); ends in ``name`` (kid, n, a, b)."""
+    def ends(pattern, kind):
+        parts, hits = f"string_split_regex(win, '{pattern}')", f"regexp_extract_all(win, '{pattern}')"
+        total = f"list_sum(list_transform({parts}[1:i], lambda x: length(x))) + list_sum(list_transform({hits}[1:i], lambda x: length(x)))"
+        return f"list_transform(range(1, len({hits}) + 1), lambda i: struct_pack(g := abs({minimum} + {total} - {target}), k := {kind}, p := {total}))"
+    choices = "list_concat(list_concat(" + ends("\\n\\s*\\n", 0) + ", " + ends("[。！？!?]\\s*", 1) + "), " + ends("\\n", 2) + ")"
+    lead, bare = "length(regexp_extract({b}, '^\\s*'))", "length(regexp_replace({b}, '^\\s+|\\s+$', '', 'g'))"
+    back = "strpos(reverse(substr(text, cur+2, resume-cur)), chr(10) || chr(10))"
+    return f"""{name}0 AS (SELECT kid, text, s + {lead.format(b='body')} AS cur, s + {lead.format(b='body')} + {bare.format(b='body')} AS e FROM (SELECT kid, text, s, substr(text, s+1, e-s) AS body FROM {src})),
+{name}r AS (SELECT kid, text, e, cur, NULL::BIGINT AS a, NULL::BIGINT AS b FROM {name}0 WHERE cur < e
+  UNION ALL SELECT kid, text, e, CASE WHEN last THEN e WHEN para > cur THEN para + 2 ELSE resume END, cur + {lead.format(b='body')}, cur + {lead.format(b='body')} + {bare.format(b='body')} FROM (
+    SELECT *, CASE WHEN resume < e AND {back} > 0 THEN cur + (resume-cur) - {back} ELSE -1 END AS para FROM (
+      SELECT *, substr(text, cur+1, stop-cur) AS body, greatest(cur+1, stop-{overlap}) AS resume FROM (
+        SELECT *, e-cur <= {maximum} AS last, CASE WHEN e-cur <= {maximum} THEN e ELSE coalesce(cur + {minimum} + best, cur + {maximum}) END AS stop FROM (
+          SELECT *, CAST(list_min({choices}).p AS BIGINT) AS best FROM (SELECT *, substr(text, cur+{minimum}+1, {maximum-minimum}) AS win FROM {name}r WHERE cur < e)))))),
+{name} AS (SELECT kid, row_number() OVER (PARTITION BY kid ORDER BY a, b) AS n, a, b FROM {name}r WHERE b > a)"""
+
+
+WHOLE_SPLIT = BOOK + ",\nsrc AS (SELECT corpus_id AS kid, text, 0 AS s, length(text) AS e FROM book),\n" + split_sql("pc", "src", 1000, 1800, 2500, 180)
+CHUNKED = SECTIONS + """,
+src AS (SELECT struct_pack(c := s.corpus_id, o := s.section_order) AS kid, b.text, s.body_start AS s, s.end_char AS e FROM sec s JOIN book b USING (corpus_id)
+  UNION ALL SELECT struct_pack(c := corpus_id, o := -1), text, 0, length(text) FROM book WHERE corpus_id NOT IN (SELECT corpus_id FROM acc)),
+""" + split_sql("pc", "src", 1000, 1800, 2500, 180) + """,
+ch0 AS (SELECT kid.c AS corpus_id, kid.o = -1 AS loose, CASE WHEN kid.o = -1 THEN n-1 ELSE kid.o END AS section_order, CASE WHEN kid.o = -1 THEN 1 ELSE n END AS k, a, b FROM pc),
+ch AS (SELECT c.*, 'section_' || lpad(CAST(c.section_order+1 AS VARCHAR), 4, '0') AS section_id, 'section_' || lpad(CAST(c.section_order+1 AS VARCHAR), 4, '0') || '_chunk_' || lpad(CAST(k AS VARCHAR), 3, '0') AS chunk_id,
+  row_number() OVER (PARTITION BY c.corpus_id ORDER BY c.section_order, k) - 1 AS chunk_order, substr(bk.text, a+1, b-a) AS text FROM ch0 c JOIN book bk USING (corpus_id))"""
+PASSAGED = CHUNKED + ",\nsrc2 AS (SELECT struct_pack(c := corpus_id, d := chunk_id, a := a) AS kid, text, 0 AS s, length(text) AS e FROM ch),\n" + split_sql("ps", "src2", 250, 500, 700, 80)
+
+
 def _lines(spark, sf):
     return line_table(books(spark, sf))
 
@@ -178,13 +208,13 @@ def _chunks(spark, sf):
     return S.chunks_and_sections(books(spark, sf), H.accepted_headings(_scored(spark, sf)))
 
 
-@register("c13_fallback_sections")
+@register("c13_fallback_sections", sql(BOOK, CHUNKED, "SELECT corpus_id, section_id, a AS start_char, b AS end_char, 0.0::DOUBLE AS confidence FROM ch WHERE loose"))
 def c13(spark, sf):
     _, sections = _chunks(spark, sf)
     return sections.filter(~F.col("detected")).select("corpus_id", "section_id", "start_char", "end_char", "confidence")
 
 
-@register("c14_boundary_split")
+@register("c14_boundary_split", sql(WHOLE_SPLIT, "SELECT kid AS corpus_id, n - 1 AS piece, a AS start_char, b AS end_char FROM pc"))
 def c14(spark, sf):
     from quillgraph.functions.spans import SplitSpans
     spark.udtf.register("split_spans", SplitSpans)
@@ -193,14 +223,15 @@ def c14(spark, sf):
                      "LATERAL split_spans(text, 0, CAST(length(text) AS INT), 1000, 1800, 2500, 180)")
 
 
-@register("c15_chunk_table")
+@register("c15_chunk_table", sql(BOOK, CHUNKED, "SELECT c.corpus_id, c.chunk_id, c.section_id, s.title AS section_title, c.chunk_order, c.a AS start_char, c.b AS end_char, md5(c.text) AS text_md5 FROM ch c LEFT JOIN sec s ON s.corpus_id = c.corpus_id AND s.section_order = c.section_order"))
 def c15(spark, sf):
     chunks, _ = _chunks(spark, sf)
     return chunks.select("corpus_id", "chunk_id", "section_id", "section_title", "chunk_order", "start_char", "end_char",
                          F.md5("text").alias("text_md5"))
 
 
-@register("c16_passage_table")
+@register("c16_passage_table", sql(BOOK, PASSAGED, """SELECT p.kid.c AS corpus_id, p.kid.d || '_passage_' || lpad(CAST(p.n AS VARCHAR), 3, '0') AS passage_id, p.kid.d AS parent_chunk_id, p.kid.a + p.a AS start_char, p.kid.a + p.b AS end_char,
+ md5(substr(c.text, p.a+1, p.b-p.a)) AS text_md5 FROM ps p JOIN ch c ON c.corpus_id = p.kid.c AND c.chunk_id = p.kid.d"""))
 def c16(spark, sf):
     chunks, _ = _chunks(spark, sf)
     return S.passage_table(chunks).select("corpus_id", "passage_id", "parent_chunk_id", "start_char", "end_char",
@@ -245,7 +276,7 @@ def u01(spark, sf):
     return H.detect_candidates(_lines(spark, sf), H.DEFAULT_DETECTORS + (shouted,)).select(_CCOLS)
 
 
-@register("u05_split_spans_udtf")
+@register("u05_split_spans_udtf", sql(CHUNKS, "src AS (SELECT chunk_id AS kid, text, 0 AS s, length(text) AS e FROM ck)", split_sql("pc", "src", 250, 500, 700, 80), "SELECT kid AS chunk_id, n - 1 AS piece, a AS piece_start, b AS piece_end FROM pc"))
 def u05(spark, sf):
     from quillgraph.functions.spans import SplitSpans
     spark.udtf.register("split_spans", SplitSpans)
