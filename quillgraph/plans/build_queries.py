@@ -127,6 +127,19 @@ kr AS (SELECT *, sha256('["{VERSION}","' || source_id || '","' || type || '","'
 gr AS (SELECT *, sha256('["' || relation_id || '","' || evidence_hash || '"]') AS group_id FROM kr)"""
 
 
+SEGMENTS = """,
+rg0 AS (SELECT *, least(120, (core_end-core_start)//2) AS z FROM win),
+rg AS (SELECT corpus_id, unit_id, 'core' AS region, 0 AS rr, core_start AS a, core_end AS b FROM rg0 UNION ALL SELECT corpus_id, unit_id, 'before', 1, greatest(left_start, core_start - z), core_start FROM rg0
+  UNION ALL SELECT corpus_id, unit_id, 'after', 2, core_end, least(right_end, core_end + z) FROM rg0),
+rn AS (SELECT rg.corpus_id, unit_id, region, rr, greatest(a, c.start_char) AS s, least(b, c.end_char) AS e, c.text, c.start_char AS c0 FROM rg JOIN ck c ON c.corpus_id = rg.corpus_id AND c.start_char < b AND c.end_char > a AND a < b),
+se0 AS (SELECT *, regexp_extract_all(substr(text, s-c0+1, e-s), '[^。！？!?；;\\n]+[。！？!?；;\\n]*|[。！？!?；;\\n]+') AS parts FROM rn),
+se1 AS (SELECT corpus_id, unit_id, region, rr, s, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM se0),
+se AS (SELECT *, s + CAST(sum(length(x)) OVER (PARTITION BY corpus_id, unit_id, region, s ORDER BY i) AS BIGINT) - length(x) AS o FROM se1),
+sg0 AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((length(x)-180)/150.0)) AS BIGINT) + 1)) AS j FROM se),
+sg AS (SELECT corpus_id, unit_id, region, o + j*150 AS start_char, least(o + j*150 + 180, o + length(x)) AS end_char, md5(substr(x, j*150+1, 180)) AS text_md5,
+  's' || (row_number() OVER (PARTITION BY corpus_id, unit_id ORDER BY rr, o + j*150) - 1) AS span_id FROM sg0)"""
+
+
 # ------------------------------------------------------------------------------------- Spark adapters
 def _windows(spark, sf):
     chunks = line_chunks(spark, sf)
@@ -232,13 +245,14 @@ def k02(spark, sf):
     return X.split_windows(full, line_chunks(spark, sf), raw_corpus(spark, sf)).select("corpus_id", "unit_id", "core_start", "core_end")
 
 
-@register("k03_evidence_segments")
+@register("k03_evidence_segments", sql(WIN + SEGMENTS, "SELECT corpus_id, unit_id, span_id, region, start_char, end_char, text_md5 FROM sg"))
 def k03(spark, sf):
     return X.segments(_windows(spark, sf), line_chunks(spark, sf), raw_corpus(spark, sf)).select(
         "corpus_id", "unit_id", "span_id", "region", "start_char", "end_char", F.md5("text").alias("text_md5"))
 
 
-@register("k04_evidence_id_expansion")
+@register("k04_evidence_id_expansion", sql(CANDS + SEGMENTS, """, ids AS (SELECT DISTINCT corpus_id, unit_id, pos, unnest(['s' || (pos%4), 's' || (pos%3), 's0']) AS span_id FROM rel)
+ SELECT i.corpus_id, i.unit_id, i.pos, count(sg.span_id) < count(*) AS rejected, count(*) AS parts FROM ids i LEFT JOIN sg USING (corpus_id, unit_id, span_id) GROUP BY 1, 2, 3""").replace("\n, ids AS", ", ids AS"))
 def k04(spark, sf):
     b = Build(spark, sf)
     segs = X.segments(b.windows, b.chunks, b.corpus)
