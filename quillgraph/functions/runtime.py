@@ -1,28 +1,16 @@
 """Session helpers: durable lineage cuts and scratch folders."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A machine-local folder is used only for a local master with nothing configured (tests).
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="quillgraph-")
-    sc.setCheckpointDir(folder)
-    return folder
+    """The folder every executor can reach: ``spark.checkpoint.dir``, then the context's checkpoint folder, and where
+    neither is set a folder below the warehouse, which is shared by definition. The same rule for every master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> tuple[DataFrame, str]:
