@@ -4,11 +4,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import quality, secrets, url_rules
+import corpus_pipeline
+from quillgraph.llm import decontaminate, mixing, near_dedup, quality, secrets, url_rules
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[k] || ' ' || w[k + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM d) UNION SELECT doc_id, w[1] FROM d WHERE len(w) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, ways.b FROM r JOIN ways ON r.b = ways.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d JOIN c ON d.doc_id = c.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_rules.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -29,6 +51,23 @@ SELECT p.page_id, p.host, p.path, f.rule,
 FROM p LEFT JOIN f ON p.i = f.i AND f.k = 1"""
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("pieces").select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+s AS (SELECT source, sum(size) AS ss, (ARRAY[3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1]::DOUBLE AS w FROM d GROUP BY source),
+l AS (SELECT *, 2.0 * ss / w AS soon, sum(ss) OVER () * 1.5 AS goal FROM s),
+v AS (SELECT *, (goal - (SELECT coalesce(sum(2.0 * b.ss), 0) FROM l AS b WHERE b.soon < a.soon))
+             / (SELECT sum(b.w) FROM l AS b WHERE b.soon >= a.soon) AS level FROM l AS a),
+t AS (SELECT source, ss, least(2.0 * ss, w * (SELECT min_by(level, soon) FROM v WHERE soon > level))::DOUBLE AS target FROM v),
+p AS (SELECT d.*, ss, target, sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS x
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, ss::BIGINT AS source_size, target,
+       (least(greatest(floor(target) - x, 0), size) + least(greatest(floor(target) - ss - x, 0), size))::BIGINT AS taken FROM p"""
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged.select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", F.col("_repeated").alias("n_repeat_words"),
@@ -79,5 +118,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(secrets.listed(F.col("_base")), 256).alias("base_sha256"), secrets.listed(F.col("_spans")).alias("spans"))
 
 
-QUERIES = {"op4_url_rules": op4_url_rules, "op7_quality_rules": op7_quality_rules, "op10_secret_scan": op10_secret_scan}
-SQL = {"op4_url_rules": OP4_SQL, "op7_quality_rules": OP7_SQL}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op3_decontamination": op3_decontamination, "op4_url_rules": op4_url_rules,
+           "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op10_secret_scan": op10_secret_scan, "pipeline": pipeline}
+SQL = {"op1_near_duplicates": OP1_SQL, "op4_url_rules": OP4_SQL, "op6_mixing": OP6_SQL, "op7_quality_rules": OP7_SQL}
