@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillgraph.llm import decontaminate, mixing, near_dedup, quality, secrets, url_rules
+from quillgraph.llm import decontaminate, language_id, mixing, near_dedup, quality, secrets, token_counts, url_rules
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -51,6 +51,10 @@ SELECT p.page_id, p.host, p.path, f.rule,
 FROM p LEFT JOIN f ON p.i = f.i AND f.k = 1"""
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), *token_counts.sentencepiece_vocabulary())
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("pieces").select("doc_id", "size", "source_size", "target", "taken")
 
@@ -111,6 +115,13 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT outside AS kept FROM v"""
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model, limits = language_id.fit(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    return language_id.identify(docs, model, limits).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
@@ -123,5 +134,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op3_decontamination": op3_decontamination, "op4_url_rules": op4_url_rules,
-           "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op10_secret_scan": op10_secret_scan, "pipeline": pipeline}
+           "op5_token_counts": op5_token_counts, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id,
+           "op10_secret_scan": op10_secret_scan, "pipeline": pipeline}
 SQL = {"op1_near_duplicates": OP1_SQL, "op4_url_rules": OP4_SQL, "op6_mixing": OP6_SQL, "op7_quality_rules": OP7_SQL}
