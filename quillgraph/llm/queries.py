@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillgraph.llm import decontaminate, language_id, mixing, near_dedup, quality, secrets, token_counts, url_rules
+from quillgraph.llm import decontaminate, language_id, mixing, near_dedup, quality, secrets, token_counts, url_rules, warc
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -27,6 +27,10 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM d JOIN c ON d.doc_id = c.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -133,7 +137,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op3_decontamination": op3_decontamination, "op4_url_rules": op4_url_rules,
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_warc": op2_warc, "op3_decontamination": op3_decontamination, "op4_url_rules": op4_url_rules,
            "op5_token_counts": op5_token_counts, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id,
            "op10_secret_scan": op10_secret_scan, "pipeline": pipeline}
 SQL = {"op1_near_duplicates": OP1_SQL, "op4_url_rules": OP4_SQL, "op6_mixing": OP6_SQL, "op7_quality_rules": OP7_SQL}
