@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillgraph.llm import decontaminate, language_id, mixing, near_dedup, quality, secrets, token_counts, url_rules, warc
+from quillgraph.llm import decontaminate, language_id, mixing, near_dedup, pitman_yor, quality, secrets, token_counts, url_rules, warc
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -119,6 +119,10 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT outside AS kept FROM v"""
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -138,6 +142,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_warc": op2_warc, "op3_decontamination": op3_decontamination, "op4_url_rules": op4_url_rules,
-           "op5_token_counts": op5_token_counts, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op9_language_id": op9_language_id,
+           "op5_token_counts": op5_token_counts, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_pitman_yor": op8_pitman_yor, "op9_language_id": op9_language_id,
            "op10_secret_scan": op10_secret_scan, "pipeline": pipeline}
 SQL = {"op1_near_duplicates": OP1_SQL, "op4_url_rules": OP4_SQL, "op6_mixing": OP6_SQL, "op7_quality_rules": OP7_SQL}
