@@ -2,7 +2,7 @@
 
 1. In Arrow batches every text becomes its shingle set: size, a 128-bit digest of the set, the low bits of its minima packed into
    longs, and band keys from whole minima. Equal sets are one class, combined before anything is compared.
-2. A band bucket sends its members to its smallest one, never to each other. The packed bits estimate the similarity, corrected for
+2. A band bucket sends its members to two of them, never to each other. The packed bits estimate the similarity, corrected for
    the bits that agree by chance; what is near enough is confirmed on the full sets.
 3. Buckets that still hold more than one component go on with further members in that place, four times as many each round, until
    every pair of a bucket is confirmed, refused or already connected. No link of a bucket is lost to a badly placed first member.
@@ -153,12 +153,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
     members = named.groupBy("key").agg(F.min("doc_id").alias("id"))
     classes = stage(named.join(members, "key").filter("doc_id = id").select("id", "n", "bits", "bands").dropDuplicates(["id", "n"]), "classes")
     buckets = classes.select("id", F.explode("bands").alias("band"))
-    tops = stage(buckets.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count("*").alias("m")).filter("m > 1 and hub <> other"), "buckets")
-    crowd = stage(buckets.join(small_or_joined(tops.filter("m > 2").select("band", "hub")), "band").filter("id <> hub"), "crowd")
-    pairs = tops.filter("m = 2").select(F.col("hub").alias("a"), F.col("other").alias("b")).union(crowd.select("hub", "id")).distinct()
+    # Order by id xor band: another order in every bucket, so that a member meets different centres in its buckets.
+    place = F.col("id").bitwiseXOR(F.col("band"))
+    ends = buckets.groupBy("band").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("m")).filter("m > 1 and lo <> hi")
+    tops = stage(ends.select("band", "m", F.col("lo").bitwiseXOR(F.col("band")).alias("hub"), F.col("hi").bitwiseXOR(F.col("band")).alias("other")), "buckets")
+    crowd = stage(buckets.join(small_or_joined(tops.filter("m > 2").select("band", "hub", "other")), "band"), "crowd").filter("id <> hub and id <> other")
+    met = tops.select(F.col("hub").alias("x"), F.col("other").alias("y")).union(crowd.select("id", "hub")).union(crowd.select("id", "other"))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = linked(pairs, classes, given, size, percent)
     labels = connected(links)
-    crowd, places = crowd.drop("hub"), 4
+    crowd, places = crowd.select("band", "id"), 4
     while True:
         labelled = crowd.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
         mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
