@@ -53,12 +53,15 @@ def base_spans(text: Column) -> Column:
 
 
 def label_samples(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(sample, random): labelled strings of at most ``most`` documents, those with the smallest hashes of their text.
+    """(sample, random): labelled strings of at most ``most`` distinct texts, those with the smallest hashes. Only hashes
+    are sorted; the texts below the last of them are read where they lie.
 
     Random: a value inside a span of the fixed expressions, and two digests per document. Ordinary: words outside the spans.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    chosen = docs.select(text.alias("text")).withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(most)
+    hashed = docs.select(text.alias("text")).withColumn("h", F.xxhash64("text"))
+    last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    chosen = hashed.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"])
     spanned = chosen.withColumn("s", base_spans(F.col("text")))
     values = F.transform("s", lambda s: F.regexp_extract(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), "[A-Za-z0-9+/_=-]*$", 0))
     digests = F.array(F.base64(F.unhex(F.sha2(F.col("h").cast("string"), 256))), F.base64(F.unhex(F.sha2(F.concat(F.lit("x"), F.col("h").cast("string")), 256))))
