@@ -1,8 +1,8 @@
 """Benchmark decontamination with spaced seeds: masks that ignore some token positions, joined on hashes, verified around the hits.
 
 A seed is the hash of the words at the selected positions of a mask. Any 12 or 13 words that differ in at most two places, and any
-9 to 11 that differ in one, share a seed with their original (the tests try every case). Benchmark seeds set bits of a filter of
-bounded size; training texts look their seeds up there and send only hits, with the words around them. The hits join the benchmark
+9 to 11 that differ in one, share a seed with their original (the tests try every case). Benchmark seeds set bits of two
+tables of bounded size, by their leading and by their trailing bits; training texts look their seeds up there and send only hits, with the words around them. The hits join the benchmark
 seeds on the full hash, which gives (document, item, diagonal); each diagonal is verified word by word, substitutions tolerated.
 """
 from __future__ import annotations
@@ -21,7 +21,7 @@ from quillgraph.llm.words import mix, random_words, word_groups
 MASKS = ("11111", "1101011")
 WINDOW = 13
 TOLERANCE = 0.2
-BITS_PER_SEED, LEAST_BITS, MOST_BITS = 16, 16, 26
+BITS_PER_SEED, LEAST_BITS, MOST_BITS = 128, 16, 26
 LONGEST = max(map(len, MASKS))
 
 _FACTORS = random_words(LONGEST, 21) | np.uint64(1)
@@ -73,8 +73,11 @@ def _hits(bits, shift: int, short: tuple[int, ...]):
         known = bits.value
         for batch in batches:
             for first, words in word_groups(batch.column("text")):
-                found = [(at, s) for at, s in seeds(words.hashes, words.firsts, short)]
-                kept = [(at[k], s[k]) for at, s in found for k in [(known[(s >> np.uint64(shift + 3)).astype(np.int64)] >> ((s >> np.uint64(shift)) & np.uint64(7)).astype(np.uint8)) & 1 == 1]]
+                kept = []
+                for at, s in seeds(words.hashes, words.firsts, short):
+                    for table, place in zip(known, (lambda v: v >> np.uint64(shift), lambda v: v & np.uint64((1 << (64 - shift)) - 1))):
+                        at, s = (x[_set(table, place(s))] for x in (at, s))
+                    kept.append((at, s))
                 at = np.concatenate([a for a, _ in kept]) if kept else np.zeros(0, np.int64)
                 if not len(at):
                     continue
@@ -118,9 +121,13 @@ def _verified(batches):
         yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names=names)
 
 
-def bit_filter(seed_rows: DataFrame, bits: int) -> np.ndarray:
-    """A bit per possible leading ``bits`` bits of a seed. At most 2**bits / 32 numbers reach the driver."""
-    rows = (seed_rows.select(F.shiftrightunsigned("seed", 64 - bits).alias("b")).groupBy(F.shiftrightunsigned("b", 5).alias("w"))
+def _set(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def bit_filter(places: DataFrame, bits: int) -> np.ndarray:
+    """A bit per place (column b, below 2**bits). At most 2**bits / 32 numbers reach the driver."""
+    rows = (places.groupBy(F.shiftrightunsigned("b", 5).alias("w"))
             .agg(F.expr("bit_or(shiftleft(1L, cast(b & 31 AS int)))").alias("m")).toPandas())
     table = np.zeros(1 << (bits - 5), np.uint32)
     table[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).astype(np.uint32)
@@ -142,7 +149,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = tuple(sorted(r[0] for r in whole.select(F.size("item").alias("n")).filter(f"n < {LONGEST}").distinct().collect()))
     known = stage(items.mapInArrow(_items(short), "item_id long, seed long, at long"), "seeds")
     bits = min(MOST_BITS, max(LEAST_BITS, int(known.count() * BITS_PER_SEED).bit_length()))
-    table = spark.sparkContext.broadcast(bit_filter(known, bits))
+    leading, trailing = F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
+    table = spark.sparkContext.broadcast([bit_filter(known.select(b.alias("b")), bits) for b in (leading, trailing)])
     regions = stage(training.mapInArrow(_hits(table, 64 - bits, short), "doc_id long, region long, words array<long>, seeds array<long>, places array<long>"), "regions")
     hits = regions.select("doc_id", "region", F.xxhash64("words").alias("w"), F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("doc_id", "region", "w", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
     met = hits.join(known, "seed").select("doc_id", "region", "w", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
