@@ -23,6 +23,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
 SAMPLE_DOCUMENTS = 2_000
 LEAST_LOG_RATIO = 15.0
+BACK_OFF = 5.0
 MARK = "[SECRET]"
 SPAN = "struct<start:int,end:int,kind:int>"
 NAMES = [k for k, *_ in KINDS] + ["random"]
@@ -56,7 +57,8 @@ def label_samples(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """(sample, random): labelled strings of at most ``most`` distinct texts, those with the smallest hashes. Only hashes
     are sorted; the texts below the last of them are read where they lie.
 
-    Random: a value inside a span of the fixed expressions, and two digests per document. Ordinary: words outside the spans.
+    Random: a value inside a span of the fixed expressions, and two digests per document. Ordinary: words outside the
+    spans that are too short to be judged.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hashed = docs.select(text.alias("text")).withColumn("h", F.xxhash64("text"))
@@ -65,34 +67,35 @@ def label_samples(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> DataFrame:
     spanned = chosen.withColumn("s", base_spans(F.col("text")))
     values = F.transform("s", lambda s: F.regexp_extract(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), "[A-Za-z0-9+/_=-]*$", 0))
     digests = F.array(F.base64(F.unhex(F.sha2(F.col("h").cast("string"), 256))), F.base64(F.unhex(F.sha2(F.concat(F.lit("x"), F.col("h").cast("string")), 256))))
-    words = F.regexp_extract_all(masked(F.col("text"), F.col("s"), " "), F.lit("[A-Za-z0-9_-]{4,}"), 0)
+    words = F.regexp_extract_all(masked(F.col("text"), F.col("s"), " "), F.lit("(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{4,15}(?![A-Za-z0-9_-])"), 0)
     return spanned.select(F.explode(F.concat(
         F.transform(F.concat(values, digests), lambda v: F.struct(v.alias("sample"), F.lit(True).alias("random"))),
         F.transform(F.slice(words, 1, 2_000), lambda v: F.struct(v.alias("sample"), F.lit(False).alias("random"))))).alias("e")).select("e.*")
 
 
 def log_ratios(samples: DataFrame) -> list[float]:
-    """log P(next | previous) under the random model minus that under the ordinary one, add-half smoothed, row by row over the
+    """log P(next | previous) under the random model minus that under the ordinary one, row by row over the
     alphabet with the start first: a fixed number of values whatever the samples."""
     n = len(ALPHABET)
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(F.col("sample"), i, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), F.length("sample")), lambda i: F.struct(
-        F.when(i == 1, F.lit(0)).otherwise(at(i - 1)).alias("a"), at(i).alias("b")))
-    counted = (samples.filter(F.length("sample") > 0).select("random", F.explode(pairs).alias("p")).groupBy("random", "p.a", "p.b").agg(F.count("*").alias("n")))
+    codes = F.transform(F.split("sample", ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    pairs = let(codes, lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.struct(F.coalesce(F.get(v, i - 1), F.lit(0)).alias("a"), F.get(v, i).alias("b"))))
+    counted = samples.filter(F.length("sample") > 0).select("random", F.explode(pairs).alias("p")).groupBy("random", "p.a", "p.b").agg(F.count("*").alias("n"))
     tables = {True: {}, False: {}}
     for r in counted.collect():
         tables[r["random"]][(r["a"], r["b"])] = r["n"]
     sums = {k: [sum(t.get((a, b), 0) for b in range(1, n + 1)) for a in range(n + 1)] for k, t in tables.items()}
-    log = lambda k, a, b: math.log((tables[k].get((a, b), 0) + 0.5) / (sums[k][a] + 0.5 * n))
+    single = {k: [sum(t.get((a, b), 0) for a in range(n + 1)) for b in range(n + 1)] for k, t in tables.items()}
+    alone = lambda k, b: (single[k][b] + 0.5) / (sum(single[k]) + 0.5 * n)
+    log = lambda k, a, b: math.log((tables[k].get((a, b), 0) + BACK_OFF * alone(k, b)) / (sums[k][a] + BACK_OFF))
     return [log(True, a, b) - log(False, a, b) for a in range(n + 1) for b in range(1, n + 1)]
 
 
 def model_spans(text: Column, base: Column, ratios: list[float]) -> Column:
     """Runs of at least 16 token characters with a letter and a digit, clear of the base spans, whose summed log ratio says random."""
     table, n = F.array(*[F.lit(float(v)) for v in ratios]), len(ALPHABET)
-    at = lambda t, i: F.instr(F.lit(ALPHABET), F.substring(t, i, F.lit(1)))
-    score = lambda t: F.aggregate(F.sequence(F.lit(1), F.length(t)), F.lit(0.0), lambda acc, i: acc + F.get(
-        table, F.when(i == 1, F.lit(0)).otherwise(at(t, i - 1)) * n + at(t, i) - 1))
+    code = lambda chars: F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c))
+    score = lambda t: let(code(F.split(t, "")), lambda v: F.aggregate(F.sequence(F.lit(0), F.size(v) - 1), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(
+        table, F.coalesce(F.get(v, i - 1), F.lit(0)) * n + F.get(v, i) - 1), F.lit(0.0))))
 
     def told(t: Column, s: Column) -> Column:
         piece = F.substring(t, s["start"] + 1, s["end"] - s["start"])
