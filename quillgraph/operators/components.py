@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.runtime import cut_lineage, forget
 
-MAX_ROUNDS = 60
-
 
 def components(nodes: DataFrame, memberships: DataFrame) -> DataFrame:
     """nodes(id), memberships(id, key) -> (id, component), the smallest id of each component.
@@ -23,7 +21,7 @@ def components(nodes: DataFrame, memberships: DataFrame) -> DataFrame:
     links, links_path = cut_lineage(used.join(shared, "key", "left_semi"), "links")
     active, active_path = cut_lineage(links.select("id").distinct(), "active")
     labels, path = active.select("id", F.col("id").alias("component")), None
-    for _ in range(MAX_ROUNDS):
+    while True:
         by_key = links.join(labels, "id").groupBy("key").agg(F.min("component").alias("component"))
         nearest = links.join(by_key, "key").groupBy("id").agg(F.min("component").alias("component"))
         parent = nearest.select(F.col("id").alias("component"), F.col("component").alias("_up"))
@@ -36,8 +34,6 @@ def components(nodes: DataFrame, memberships: DataFrame) -> DataFrame:
         labels, path = fresh, fresh_path
         if not changed:
             break
-    else:
-        raise RuntimeError("components did not settle")
     forget(spark, active_path)
     forget(spark, links_path)
     return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

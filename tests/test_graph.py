@@ -96,7 +96,7 @@ def test_components_with_one_huge_key_and_a_long_chain(spark):
 
 def graph(spark, edges, kinds=None, groups=None):
     kinds = kinds or {}
-    names = sorted({x for e in edges for x in e[1:3]} | {"x%_"})
+    names = sorted({x for e in edges for x in e[1:3]} | {"50%_off"})
     make = spark.createDataFrame
     ents = make([(n, kinds.get(n, "person"), n, n.lower(), 0) for n in names], "entity_id string, type string, name string, normalized_name string, first_section_order bigint")
     return {"entities": ents, "aliases": ents.select("entity_id", F.col("name").alias("alias"), F.col("normalized_name").alias("normalized_alias")),
@@ -106,28 +106,30 @@ def graph(spark, edges, kinds=None, groups=None):
             "evidence_spans": make([(f"g{r}", 0, 0) for r, *_ in edges], "group_id string, span_index int, section_order bigint")}
 
 
-EDGES = [("ab", "a", "b", "affirmed"), ("ac", "a", "c", "affirmed"), ("bd", "b", "d", "affirmed"), ("cd", "c", "d", "affirmed"), ("da", "d", "a", "denied")]
+# Two ways from p to t, a tail to u, and a denied way back.
+EDGES = [("k1", "p", "q", "affirmed"), ("k2", "p", "r", "affirmed"), ("k3", "q", "t", "affirmed"), ("k4", "r", "t", "affirmed"), ("k5", "t", "u", "affirmed"), ("k6", "u", "p", "denied")]
 REQ = "scope_from bigint, scope_to bigint, entity_types array<string>, relation_types array<string>"
 
 
 def test_paths_skip_denied_edges_and_report_more(spark):
-    rows = [("two", "a", "d", 3, 5, None, None, None, None), ("cut", "a", "d", 3, 1, None, None, None, None), ("self", "a", "a", 1, 5, None, None, None, None), ("far", "a", "d", 1, 5, None, None, None, None), ("typed", "a", "d", 3, 5, None, None, ["item"], None)]
-    g = graph(spark, EDGES, {"b": "item"})
+    rows = [("two", "p", "t", 3, 5, None, None, None, None), ("cut", "p", "t", 3, 1, None, None, None, None), ("self", "p", "p", 1, 5, None, None, None, None),
+            ("far", "p", "u", 1, 5, None, None, None, None), ("typed", "p", "t", 3, 5, None, None, ["item"], None), ("tail", "p", "u", 3, 5, None, None, None, None)]
+    g = graph(spark, EDGES, {"q": "item"})
     paths, meta = Q.shortest_paths(spark.createDataFrame(rows, "request_id string, from_id string, to_id string, max_hops int, limit int, " + REQ), g)
     got = {}
     for p in paths.orderBy("path_index").collect():
-        got.setdefault(p.request_id, []).append(p.node_ids)
-    assert got == {"two": [["a", "b", "d"], ["a", "c", "d"]], "cut": [["a", "b", "d"]], "self": [["a"]], "typed": [["a", "b", "d"]]}
+        got.setdefault(p.request_id, []).append("".join(p.node_ids))
+    assert got == {"two": ["pqt", "prt"], "cut": ["pqt"], "self": ["p"], "typed": ["pqt"], "tail": ["pqtu", "prtu"]}
     assert {m.request_id for m in meta.collect() if m.truncated} == {"cut"}
 
 
 def test_neighbours_take_denied_edges_and_joint_scope(spark):
-    g = graph(spark, EDGES, groups=[(f"g{r}", r, 0, 1 if r == "ab" else 0) for r, *_ in EDGES])
-    rows = [("one", "a", 1, None, None, None, None), ("scope", "a", 1, 0, 0, None, None), ("deep", "b", 3, None, None, None, None)]
+    g = graph(spark, EDGES, groups=[(f"g{r}", r, 0, 1 if r == "k1" else 0) for r, *_ in EDGES])
+    rows = [("one", "p", 1, None, None, None, None), ("scope", "p", 1, 0, 0, None, None), ("deep", "q", 3, None, None, None, None)]
     nodes, edges, meta = Q.neighbors(spark.createDataFrame(rows, "request_id string, entity_id string, depth int, " + REQ), g)
     found = lambda df, rid, c: sorted(r[c] for r in df.collect() if r.request_id == rid)
-    assert found(edges, "one", "relation_id") == ["ab", "ac", "da"] and found(edges, "scope", "relation_id") == ["ac", "da"]
-    assert found(nodes, "deep", "node") == ["a", "b", "c", "d"] and found(edges, "deep", "relation_id") == ["ab", "ac", "bd", "cd", "da"]
+    assert found(edges, "one", "relation_id") == ["k1", "k2", "k6"] and found(edges, "scope", "relation_id") == ["k2", "k6"]
+    assert found(nodes, "deep", "node") == list("pqrtu") and found(edges, "deep", "relation_id") == [e[0] for e in EDGES]
     assert not any(m.truncated for m in meta.collect())
 
 
@@ -141,38 +143,33 @@ def test_hub_is_cut_at_the_first_row_past_a_limit(spark):
 
 def test_search_is_literal(spark):
     g = graph(spark, EDGES)
-    rows = [(q, q, None, 0, 10, None, None) for q in ("%", "_", "x%_", "a", "zz")]
+    rows = [(q, q, None, 0, 10, None, None) for q in ("%", "_", "50%_off", "p", "zz")]
     got = {r.request_id: (r.entity_id, r.match_kind) for r in Q.entity_search(spark.createDataFrame(rows, "request_id string, query string, entity_type string, offset bigint, limit bigint, scope_from bigint, scope_to bigint"), g).collect()}
-    assert got == {"%": ("x%_", "contains"), "_": ("x%_", "contains"), "x%_": ("x%_", "name_exact"), "a": ("a", "name_exact")}
-
-
-def trim(nodes, edges, paths, budget):
-    """One row at a time, as a plain loop."""
-    size = lambda: sum(len(x["json"]) + 1 for x in nodes + edges + paths)
-    while size() > budget:
-        if paths:
-            paths = paths[:-1]
-            used = {e for p in paths for e in p["refs"]}
-            edges = [e for e in edges if e["id"] in used]
-        elif edges:
-            edges = edges[:-1]
-        elif nodes:
-            nodes = nodes[:-1]
-        else:
-            break
-        used = {n for e in edges for n in e["refs"]}
-        nodes = [n for n in nodes if n["id"] in used]
-    return {x["id"] for x in nodes + edges + paths}
-
-
-def test_budget_equals_the_plain_loop(spark):
+    assert got == {"%": ("50%_off", "contains"), "_": ("50%_off", "contains"), "50%_off": ("50%_off", "name_exact"), "p": ("p", "name_exact")}
+
+
+def largest_fit(nodes, edges, paths, budget):
+    """By definition: the most paths that fit with what they refer to; without paths the most edges with their nodes."""
+    def keep(n_paths, n_edges, loose):
+        p, e, n = paths[:n_paths], edges[:n_edges], nodes if loose else []
+        if n_paths < len(paths):
+            e = [x for x in e if any(x["id"] in y["refs"] for y in p)]
+        if n_paths < len(paths) or n_edges < len(edges):
+            n = [x for x in n if any(x["id"] in y["refs"] for y in e)]
+        return p + e + n
+    ways = [(k, len(edges), True) for k in range(len(paths), -1, -1)] + [(0, k, True) for k in range(len(edges) - 1, -1, -1)] + [(0, 0, False)]
+    fits = (kept for kept in itertools.starmap(keep, ways) if sum(len(x["json"]) + 1 for x in kept) <= budget)
+    return {x["id"] for x in next(fits)}
+
+
+def test_budget_keeps_the_largest_fit(spark):
     rng = random.Random(2)
     rows, want = [], {}
     for rid in range(25):
         nodes = [{"id": f"n{i}", "json": "x" * rng.randint(5, 30), "refs": []} for i in range(12)]
         edges = [{"id": f"e{i}", "json": "x" * rng.randint(5, 30), "refs": [f"n{rng.randrange(12)}", f"n{rng.randrange(12)}"]} for i in range(10)]
         paths = [{"id": f"p{i}", "json": "x" * 10, "refs": [f"e{rng.randrange(10)}" for _ in range(2)]} for i in range(5)] if rid % 2 else []
-        want[rid] = trim(nodes, edges, paths, 300)
+        want[rid] = largest_fit(nodes, edges, paths, 300)
         for kind, items in (("nodes", nodes), ("edges", edges), ("paths", paths)):
             rows += [(rid, kind, i + 1, x["id"], x["json"], x["refs"]) for i, x in enumerate(items)]
     df = spark.createDataFrame(rows, "request_id bigint, kind string, position int, item_id string, payload string, refs array<string>")
@@ -189,3 +186,12 @@ def test_versions_are_replaced_alone(spark, tmp_path):
     G.materialize_graph({n: a for n in G.TABLES}, str(tmp_path), "v2")
     G.materialize_graph({n: a.union(a) for n in G.TABLES}, str(tmp_path), "v2")
     assert [G.read_graph(spark, str(tmp_path), v)["relations"].count() for v in ("v1", "v2")] == [1, 2]
+
+
+def test_paths_follow_the_limit_of_their_request(spark):
+    """Nine equal paths of two hops: a request gets as many as it asks for, and is told when there are more."""
+    g = graph(spark, [(f"{a}{b}", a, b, "affirmed") for i in range(9) for a, b in (("s", f"m{i}"), (f"m{i}", "t"))])
+    rows = [(f"r{n}", "s", "t", 3, n, None, None, None, None) for n in (1, 5, 8, 9)]
+    paths, meta = Q.shortest_paths(spark.createDataFrame(rows, "request_id string, from_id string, to_id string, max_hops int, limit int, " + REQ), g)
+    assert {r["request_id"]: r["count"] for r in paths.groupBy("request_id").count().collect()} == {"r1": 1, "r5": 5, "r8": 8, "r9": 9}
+    assert {r.request_id: r.truncated for r in meta.collect()} == {"r1": True, "r5": True, "r8": True, "r9": False}
