@@ -10,11 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-try:  # optional statistical detector
-    from charset_normalizer import from_bytes
-except ImportError:
-    from_bytes = None
-
 
 @F.pandas_udf(T.StringType())
 def _nfkc_fold(names: pd.Series) -> pd.Series:
@@ -32,28 +27,25 @@ def with_folded(df: DataFrame, name: str, out: str) -> DataFrame:
     return df.join(folded, name, "left")
 
 
-def decoded(raw: bytes) -> tuple[str | None, str | None]:
-    """Marks first, then strict UTF-8, strict GB18030, the detector if present, and bare UTF-16. Never lossy."""
-    marks = [(codecs.BOM_UTF8, "utf-8-sig", "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le", "utf-16-le"),
-             (codecs.BOM_UTF16_BE, "utf-16-be", "utf-16-be")]
-    for mark, label, codec in marks:
-        if raw.startswith(mark):
-            try:
-                return raw[len(mark):].decode(codec), label
-            except UnicodeDecodeError:
-                return None, None
-    tries = ["utf-8", "gb18030"]
-    guess = None
-    for codec in tries:
-        try:
-            return raw.decode(codec), codec
-        except UnicodeDecodeError:
-            continue
-    if from_bytes is not None:
-        guess = from_bytes(raw).best()
-    for codec in ([guess.encoding] if guess and guess.encoding else []) + ["utf-16-le", "utf-16-be"]:
+def attempts(raw: bytes, detector: Callable[[bytes], str | None] | None) -> Iterator[tuple[str, int, str]]:
+    """(codec, bytes to skip, label) in the order of trial. A mark settles the codec; guesses are tried only without one."""
+    marks = ((codecs.BOM_UTF8, "utf-8", "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16-le", "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be", "utf-16-be"))
+    marked = [(codec, len(mark), label) for mark, codec, label in marks if raw.startswith(mark)]
+    if marked:
+        yield marked[0]
+        return
+    yield "utf-8", 0, "utf-8"
+    yield "gb18030", 0, "gb18030"
+    guess = detector(raw) if detector else None
+    for codec in ([guess] if guess else []) + ["utf-16-le", "utf-16-be"]:
+        yield codec, 0, codec.lower()
+
+
+def decoded(raw: bytes, detector: Callable[[bytes], str | None] | None = None) -> tuple[str | None, str | None]:
+    """Strict decoding, never lossy. What is installed on an executor plays no part: a statistical detector is the caller's argument."""
+    for codec, skip, label in attempts(raw, detector):
         try:
-            return raw.decode(codec), codec.lower()
+            return raw[skip:].decode(codec), label
         except (LookupError, UnicodeDecodeError):
             continue
     return None, None
