@@ -139,6 +139,16 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_up(labels: DataFrame, fresh: DataFrame) -> DataFrame:
+    """labels with the components that fresh links (a, b) join: only those components are walked again, not all links."""
+    new = fresh.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti")
+    known = stage(labels.unionByName(new.select("id", F.col("id").alias("component"))), "known")
+    end = lambda n: known.select(F.col("id").alias(n), F.col("component").alias(f"c{n}"))
+    ends = fresh.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    over = connected(ends).select(F.col("id").alias("component"), F.col("component").alias("over"))
+    return known.join(over, "component", "left").select("id", F.coalesce("over", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id).
 
@@ -175,8 +185,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
         placed = crowd.join(heads.select("band", "id", F.col("place").alias("own")), ["band", "id"], "left")
         met = placed.join(h, "band").filter((F.col("hc") != F.col("component")) & (F.col("own").isNull() | (F.col("own") > F.col("place"))))
         fresh = linked(met.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), classes, given, size, percent)
-        links = stage(links.union(fresh), "links")
-        labels = connected(links)
+        if fresh.limit(1).count():
+            labels = stage(joined_up(labels, fresh), "labels")
         crowd = placed.filter("own is null").select("band", "id")
         places *= 4
     own = members.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
