@@ -75,11 +75,15 @@ def representative_contexts(items: DataFrame, limit: int = 3) -> DataFrame:
     return ranked.withColumn("_pick", pick).filter("_pick").drop("_pick")
 
 
+def _span_keys(entities: DataFrame) -> DataFrame:
+    """(id, key): each entity under every span that it mentions."""
+    return entities.select(F.struct("corpus_id", "entity_key").alias("id"), F.explode("spans").alias("s"), "corpus_id", "type").select(
+        "id", F.concat_ws("|", F.lit("m"), "corpus_id", "type", "s.start_char", "s.end_char").alias("key"))
+
+
 def dependency_groups(entities: DataFrame) -> DataFrame:
     """Entities whose name or mention lookups can meet: (corpus_id, entity_key, group_key)."""
-    ident = F.struct("corpus_id", "entity_key")
-    spans = entities.select(ident.alias("id"), F.explode("spans").alias("s"), "corpus_id", "type").select(
-        "id", F.concat_ws("|", F.lit("m"), "corpus_id", "type", "s.start_char", "s.end_char").alias("key"))
+    ident, spans = F.struct("corpus_id", "entity_key"), _span_keys(entities)
     names = entities.filter(~is_generic(F.col("name"))).select(
         ident.alias("id"), F.concat_ws("|", F.lit("n"), "corpus_id", "type", "folded").alias("key"))
     found = components(entities.select(ident.alias("id")), spans.unionByName(names))
@@ -118,11 +122,17 @@ def apply_decisions(entities: DataFrame, cands: DataFrame, decisions: DataFrame)
 
 
 def clusters(entities: DataFrame, joins: DataFrame) -> DataFrame:
-    """Components of accepted joins (corpus_id, entity_key, joins): adds ``cluster`` to each entity key."""
+    """Components of accepted joins (corpus_id, entity_key, joins) and of shared mention spans: adds ``cluster`` to each entity key.
+
+    Every span that two entities share joins them, so an entity bridges all earlier identities whose spans it repeats. Spans are
+    memberships of their own, not pairs. Entities without a spans column are joined by ``joins`` alone.
+    """
     ident = F.struct("corpus_id", "entity_key")
     edge = joins.filter(F.col("joins").isNotNull()).withColumn("key", F.concat_ws("|", "corpus_id", "entity_key", "joins"))
     members = edge.select(ident.alias("id"), "key").unionByName(
         edge.select(F.struct("corpus_id", F.col("joins").alias("entity_key")).alias("id"), "key"))
+    if "spans" in entities.columns:
+        members = members.unionByName(_span_keys(entities))
     found = components(entities.select(ident.alias("id")), members)
     return found.select("id.corpus_id", "id.entity_key", F.col("component.entity_key").alias("cluster"))
 
@@ -131,8 +141,8 @@ def merge_identities(entities: DataFrame, clustered: DataFrame, links: DataFrame
     """Explicit identity links between clusters; returns (entity_key -> identity, link outcomes).
 
     Links: corpus_id, link_key, source_key, target_key, evidence_refs, context_refs. Decisions: corpus_id,
-    link_key, decision, supporting. A link counts when the ends agree in type, neither established name is
-    generic, and the decision cites link evidence and nothing outside the offered refs.
+    link_key, decision, candidate_key, supporting. A link counts when the ends agree in type, neither established name is
+    generic, and the decision names the link's target and cites link evidence and nothing outside the offered refs.
     """
     head = Window.partitionBy("corpus_id", "cluster").orderBy("position", "entity_key")
     named = entities.join(clustered, ["corpus_id", "entity_key"]).withColumn("_first", F.first("name").over(head))
@@ -141,7 +151,7 @@ def merge_identities(entities: DataFrame, clustered: DataFrame, links: DataFrame
     rows = (links.join(side("source"), ["corpus_id", "source_key"]).join(side("target"), ["corpus_id", "target_key"])
             .join(decisions, ["corpus_id", "link_key"], "left"))
     fit = ((F.col("source_type") == F.col("target_type")) & ~is_generic(F.col("source_name")) & ~is_generic(F.col("target_name"))
-           & (F.col("decision") == "merge") & F.arrays_overlap("supporting", "evidence_refs")
+           & (F.col("decision") == "merge") & (F.col("candidate_key") == F.col("target_key")) & F.arrays_overlap("supporting", "evidence_refs")
            & (F.size(F.array_except("supporting", F.array_union("evidence_refs", "context_refs"))) == 0))
     outcome = F.when(F.col("source_cluster") == F.col("target_cluster"), "same").when(F.coalesce(fit, F.lit(False)), "merged").otherwise("ambiguous")
     judged = rows.withColumn("outcome", outcome)

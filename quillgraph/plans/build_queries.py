@@ -109,7 +109,7 @@ root AS (SELECT corpus_id, entity_key, entity_key AS root FROM jn WHERE joins IS
 cl AS (SELECT corpus_id, entity_key, min(entity_key) OVER (PARTITION BY corpus_id, root) AS cluster FROM root),
 hd AS (SELECT cl.*, en.type, first_value(en.name) OVER (PARTITION BY cl.corpus_id, cluster ORDER BY en.position, en.entity_key) AS head FROM cl JOIN en USING (corpus_id, entity_key)),
 lo AS (SELECT k.corpus_id, k.unit_id || '|' || k.pos AS link_key, s.cluster AS sc, t.cluster AS tc,
-   CASE WHEN s.cluster = t.cluster THEN 'same' WHEN k.pos%3 = 0 THEN 'merged' ELSE 'ambiguous' END AS outcome FROM vk k
+   CASE WHEN s.cluster = t.cluster THEN 'same' WHEN k.pos%6 = 0 THEN 'merged' ELSE 'ambiguous' END AS outcome FROM vk k
    JOIN hd s ON s.corpus_id=k.corpus_id AND s.entity_key = k.unit_id || '|' || k.source JOIN hd t ON t.corpus_id=k.corpus_id AND t.entity_key = k.unit_id || '|' || k.target WHERE k.valid)"""
 CANON = ENTITIES + f""",
 idn AS (SELECT *, min(entity_key) OVER (PARTITION BY corpus_id, type, folded) AS identity FROM en),
@@ -387,6 +387,7 @@ def _identities(spark, sf):
         F.transform("spans", lambda s: F.concat_ws("-", s["start_char"], s["end_char"])).alias("evidence_refs"))
     links = links.withColumn("context_refs", F.array("source_key", "target_key"))
     decisions = links.select("corpus_id", "link_key", F.when(F.col("pos") % 3 == 2, "ambiguous").otherwise("merge").alias("decision"),
+                             F.when(F.col("pos") % 2 == 0, F.col("target_key")).otherwise(F.col("source_key")).alias("candidate_key"),
                              F.when(F.col("pos") % 3 == 0, F.array(F.col("evidence_refs")[0], F.col("source_key"))).otherwise(
                                  F.array(F.col("evidence_refs")[0], F.lit("foreign"))).alias("supporting"))
     return R.merge_identities(e, stage(R.clusters(e, joins), "clusters"), stage(links.drop("pos"), "links"), decisions)

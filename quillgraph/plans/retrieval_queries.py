@@ -336,11 +336,11 @@ def _letters(texts):
     return [[float(t.lower().count(c)) + 1.0 for c in "aeiou"] for t in texts]
 
 
-EMB = """, e0 AS (SELECT corpus_id, passage_id, list_transform(['a','e','i','o','u'], lambda c: 1.0 + length(text) - length(replace(replace(text, c, ''), upper(c), ''))) AS v FROM lib WHERE corpus_id <> 'src3'),
+EMB = """, e0 AS (SELECT corpus_id, passage_id, list_transform(['a','e','i','o','u'], lambda c: 1.0 + length(text) - length(replace(replace(text, c, ''), upper(c), ''))) AS v FROM lib),
  e1 AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x*x))) AS n FROM e0)"""
 
 
-@register("r18_embed_passages", sql(LIBRARY + EMB, "SELECT corpus_id, passage_id, round(v[1]/n, 6) AS a, round(v[5]/n, 6) AS u, 1 AS attempts FROM e1"))
+@register("r18_embed_passages", sql(LIBRARY + EMB, "SELECT corpus_id, passage_id, round(v[1]/n, 6) AS a, round(v[5]/n, 6) AS u, 1 AS attempts FROM e1 WHERE corpus_id <> 'src3'"))
 def r18(spark, sf):
     lib = library(spark, sf)
     done = lib.filter("corpus_id = 'src3'").select("corpus_id").distinct()
@@ -351,8 +351,7 @@ def r18(spark, sf):
 
 @register("u02_pluggable_vectors", sql(LIBRARY + EMB, "SELECT corpus_id, count(*) AS n, round(avg(v[2]/n), 6) AS mean_e FROM e1 GROUP BY 1"))
 def u02(spark, sf):
-    lib = library(spark, sf).filter("corpus_id <> 'src3'")
-    return dense.embed_passages(lib, _letters).groupBy("corpus_id").agg(
+    return dense.embed_passages(library(spark, sf), _letters).groupBy("corpus_id").agg(
         F.count("*").alias("n"), F.round(F.avg(F.col("embedding")[1]), 6).alias("mean_e"))
 
 

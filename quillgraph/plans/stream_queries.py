@@ -72,7 +72,7 @@ def w04(spark, sf):
     return P.latest_rows(spark, path, ["run_id", "node", "is_total"])
 
 
-@register("w05_inactive_sweep", """SELECT user_id AS run_id, count(*) + 1 AS sequence, 'failed' AS status FROM events GROUP BY 1
+@register("w05_inactive_sweep", """SELECT user_id AS run_id, max(event_id) + 1 AS sequence, 'failed' AS status FROM events GROUP BY 1
  HAVING arg_max(event_type, event_id) IN ('signup','view','click') AND max(ts) + INTERVAL 120 MINUTE < (SELECT max(ts) FROM events)""")
 def w05(spark, sf):
     t = F.col("event_type")

@@ -74,14 +74,16 @@ def live_usage(usage: DataFrame) -> DataFrame:
 
 
 _SWEPT = "run_id {key}, sequence bigint, timestamp timestamp, type string, status string, error string"
-_STATE = "sequence bigint, status string, seen timestamp, events bigint"
+_STATE = "sequence bigint, status string, seen timestamp"
 
 
-def sweep_inactive(events: DataFrame, idle_minutes: int, delay: str = "0 seconds") -> DataFrame:
+def sweep_inactive(events: DataFrame, idle_minutes: int, delay: str = "0 seconds", keep_minutes: int = 7 * 24 * 60) -> DataFrame:
     """Interruption events for runs that stay active without any event for longer than the idle time.
 
     Events: run_id, sequence, timestamp, status. One small state per run holds its newest event; the
-    event-time timer fires when the watermark passes the last event plus the idle time.
+    event-time timer fires when the watermark passes the last event plus the idle time. The interruption takes
+    the highest sequence plus one, whether events repeat or have gaps; it stays in the state for ``keep_minutes``
+    after it, so a run that goes on is numbered onwards. Then, and for ended runs at once, the state is dropped.
     """
     key = dict(events.dtypes)["run_id"]
     schema = _SWEPT.format(key=key)
@@ -89,21 +91,23 @@ def sweep_inactive(events: DataFrame, idle_minutes: int, delay: str = "0 seconds
 
     def sweep(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            sequence, status, seen, count = state.get
-            state.remove()
-            if status in ACTIVE:
-                at = pd.Timestamp(seen) + pd.Timedelta(minutes=idle_minutes)
-                yield pd.DataFrame([[keys[0], count + 1, at, "error", "failed", "run_interrupted"]], columns=columns)
+            sequence, status, seen = state.get
+            if status not in ACTIVE:
+                state.remove()
+                return
+            at = pd.Timestamp(seen) + pd.Timedelta(minutes=idle_minutes)
+            state.update((sequence + 1, "failed", seen))
+            state.setTimeoutTimestamp(max(int(at.timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_minutes * 60_000)
+            yield pd.DataFrame([[keys[0], sequence + 1, at, "error", "failed", "run_interrupted"]], columns=columns)
             return
-        sequence, status, seen, count = state.get if state.exists else (-1, None, None, 0)
+        sequence, status, seen = state.get if state.exists else (-1, None, None)
         for frame in frames:
-            count += len(frame)
             top = frame.loc[frame["sequence"].idxmax()]
             if int(top["sequence"]) > sequence:
                 sequence, status = int(top["sequence"]), str(top["status"])
             newest = frame["timestamp"].max().to_pydatetime()
             seen = newest if seen is None or newest > seen else seen
-        state.update((sequence, status, seen, count))
+        state.update((sequence, status, seen))
         due = int(pd.Timestamp(seen).timestamp() * 1000) + idle_minutes * 60_000
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([], columns=columns)

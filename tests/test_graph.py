@@ -195,3 +195,23 @@ def test_paths_follow_the_limit_of_their_request(spark):
     paths, meta = Q.shortest_paths(spark.createDataFrame(rows, "request_id string, from_id string, to_id string, max_hops int, limit int, " + REQ), g)
     assert {r["request_id"]: r["count"] for r in paths.groupBy("request_id").count().collect()} == {"r1": 1, "r5": 5, "r8": 8, "r9": 9}
     assert {r.request_id: r.truncated for r in meta.collect()} == {"r1": True, "r5": True, "r8": True, "r9": False}
+
+
+def test_a_mention_bridges_the_identities_whose_spans_it_repeats(spark):
+    schema = "corpus_id bigint, entity_key string, type string, name string, folded string, position bigint, spans array<struct<start_char:bigint,end_char:bigint,section_order:bigint,chunk_id:string,quote:string>>"
+    rows = [(1, k, "person", "王五", "王五", min(at), [(p, p + 2, 0, "k0", "王五") for p in at]) for k, at in (("a", (0, 90)), ("b", (5, 50)), ("z", (50, 90)), ("y", (300,)))]
+    e = spark.createDataFrame(rows, schema)
+    apart = spark.createDataFrame([(1, "b", "new", None, ["r"], ["r"]), (1, "y", "new", None, ["r"], ["r"])],
+                                  "corpus_id bigint, entity_key string, decision string, candidate_key string, supporting array<string>, allowed array<string>")
+    joins = R.apply_decisions(e, R.candidates(e), apart)
+    assert {r.entity_key: r.cluster for r in R.clusters(e, joins).collect()} == {"a": "a", "b": "a", "z": "a", "y": "y"}
+
+
+def test_a_link_decision_must_name_its_target(spark):
+    e = entities(spark, [("a", "王五", 0), ("b", "老王", 50), ("c", "张三", 80)])
+    own = e.select("corpus_id", "entity_key", F.col("entity_key").alias("cluster"))
+    links = spark.createDataFrame([(1, "l1", "a", "b", ["r"], []), (1, "l2", "a", "c", ["r"], [])], "corpus_id bigint, link_key string, source_key string, target_key string, evidence_refs array<string>, context_refs array<string>")
+    said = spark.createDataFrame([(1, "l1", "merge", "b", ["r"]), (1, "l2", "merge", "b", ["r"])], "corpus_id bigint, link_key string, decision string, candidate_key string, supporting array<string>")
+    ids, outcome = R.merge_identities(e, own, links, said)
+    assert {r.link_key: r.outcome for r in outcome.collect()} == {"l1": "merged", "l2": "ambiguous"}
+    assert {r.entity_key: r.identity for r in ids.collect()} == {"a": "a", "b": "a", "c": "c"}

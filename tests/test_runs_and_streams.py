@@ -69,6 +69,17 @@ def test_inactive_runs_are_interrupted(spark, tmp_path):
     assert [(r.run_id, r.sequence, r.status) for r in rows if r.run_id != "busy"] == [("idle", 2, "failed")]
 
 
+def test_interruptions_are_numbered_onwards(spark, tmp_path):
+    """Gaps and repeats do not change the number, and a run that goes on after a sweep is not numbered from one again."""
+    src, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    run = lambda: P.write_batches(P.sweep_inactive(P.stream_events(spark, str(src)).select("run_id", "sequence", "timestamp", "status"), 5), out, mark)
+    for name, rows in (("1", [event("idle", 4, 0, "running"), event("idle", 4, 0, "running"), event("clock", 1, 0, "completed")]), ("2", [event("clock", 2, 20, "completed")]),
+                       ("3", [event("idle", 6, 21, "running"), event("clock", 3, 21, "completed")]), ("4", [event("clock", 4, 50, "completed")])):
+        write(src, f"{name}.json", rows)
+        run()
+    assert sorted((r.sequence, r.status) for r in spark.read.parquet(out).filter("run_id = 'idle'").collect()) == [(5, "failed"), (7, "failed")]
+
+
 def test_corpus_intake_takes_new_content_once(spark, tmp_path):
     src, store, mark = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "mark")
     src.mkdir()
