@@ -320,3 +320,12 @@ def test_near_duplicates_awkward(spark, odd):
     assert len(got) == odd.count()
     assert all(r.kept and r.component_id is None for r in got if r.doc_id is None) and all(r.n_shingles == 0 for r in got if r.doc_id in (0, 1, 2))
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_fresh_links_join_components_like_all_links(spark):
+    rng = random.Random(5)
+    for _ in range(2):
+        pairs = [tuple(sorted(rng.sample(range(60), 2))) for _ in range(40)]
+        table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+        told = lambda df: {r.id: r.component for r in df.collect()}
+        assert told(near_dedup.joined_up(near_dedup.connected(table(pairs[:25])), table(pairs[25:]))) == told(near_dedup.connected(table(pairs)))
