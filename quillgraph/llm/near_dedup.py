@@ -4,8 +4,10 @@
    longs, and band keys from whole minima. Equal sets are one class, combined before anything is compared.
 2. A band bucket sends its members to two of them, never to each other. The packed bits estimate the similarity, corrected for
    the bits that agree by chance; what is near enough is confirmed on the full sets.
-3. Buckets that still hold more than one component go on with further members in that place, four times as many each round, until
-   every pair of a bucket is confirmed, refused or already connected. No link of a bucket is lost to a badly placed first member.
+3. Members of buckets that still hold more than one component meet over their rarest shingles: a pair that is similar enough must
+   share one of the first shingles of both sets in one common order, rarest first. How many are the first ones follows from the
+   limit and the set size alone, so no link is lost, and families of texts just under the limit, which differ in rare
+   shingles, are not compared pair by pair.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^40 = 1.3e-7; the estimate keeps a margin of six deviations.
 """
@@ -18,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quillgraph.functions.runtime import cut_lineage, forget, stage
 from quillgraph.llm.common import need, small_or_joined
@@ -149,6 +150,40 @@ def joined_up(labels: DataFrame, fresh: DataFrame) -> DataFrame:
     return known.join(over, "component", "left").select("id", F.coalesce("over", "component").alias("component"))
 
 
+def rare_firsts(sets: DataFrame, percent: int) -> DataFrame:
+    """Shingles by which similar sets meet: id, component, n, e, its place ``at`` in the set's order, and ``index``.
+
+    Sets are ordered by how many of them hold a shingle, then by the shingle. Two sets with similarity t or more share one of the
+    first n - ceil(t * n) + 1 shingles of the larger and of the first n - ceil(2 * t / (1 + t) * n) + 1 of the smaller (``index``).
+    Shingles of a single set meet nothing; they only take up places.
+    """
+    rows = sets.select("id", "component", F.size("set").alias("n"), F.xxhash64("set").alias("own"), F.explode("set").alias("e"))
+    shared = rows.groupBy("e").agg(F.count("*").alias("holders")).filter("holders > 1")
+    listed = rows.join(shared, "e").groupBy("id", "component", "n", "own").agg(F.sort_array(F.collect_set(F.struct("holders", "e"))).alias("by"))
+    listed = listed.withColumn("alone", F.col("n") - F.size("by"))
+    alone = F.col("alone")
+    larger = F.expr(f"cast(n - ({percent}L * n + 99) div 100 + 1 as int)") - alone
+    smaller = F.expr(f"cast(n - ({2 * percent}L * n + {99 + percent}) div {100 + percent} + 1 as int)") - alone
+    firsts = listed.filter(larger > 0).select("id", "component", "n", "alone", smaller.alias("smaller"), F.posexplode(F.slice("by", F.lit(1), larger)).alias("at", "s"))
+    return firsts.select("id", "component", "n", F.col("s.e").alias("e"), (F.col("at") + F.col("alone")).alias("at"), (F.col("at") < F.col("smaller")).alias("index"))
+
+
+def rare_pairs(firsts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a shingle after which enough of both sets is left to be similar.
+    Components meet first, by the bounds of their members in that shingle, so the members of one never meet."""
+    firsts = firsts.withColumn("rest", F.col("n") - F.col("at"))
+    enough = lambda least, smallest: (100 + percent) * F.least(*least) >= percent * (F.col(smallest[0]) + F.col(smallest[1]))
+    held = firsts.groupBy("e", "component").agg(F.max("index").alias("index"), F.max("rest").alias("rest"), F.min("n").alias("least"))
+    several = held.groupBy("e").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("index").alias("any")).filter("lo <> hi and any").select("e")
+    firsts, held = (stage(t.join(several, "e", "left_semi"), "meeting") for t in (firsts, held))
+    side = lambda n: held.select("e", F.col("component").alias(f"c{n}"), F.col("index").alias(f"index{n}"), F.col("rest").alias(f"rest{n}"), F.col("least").alias(f"least{n}"))
+    met = side("a").filter("indexa").join(side("b"), "e").filter((F.col("ca") != F.col("cb")) & enough(("resta", "restb"), ("leasta", "leastb"))).select("e", "ca", "cb")
+    member = lambda n: firsts.select("e", F.col("component").alias(f"c{n}"), F.col("index").alias(f"index{n}"), F.col("id").alias(n), F.col("n").alias(f"n{n}"), F.col("rest").alias(f"rest{n}"))
+    fits = (F.col("na") <= F.col("nb")) & (100 * F.col("na") >= percent * F.col("nb")) & enough(("resta", "restb"), ("na", "nb"))
+    pairs = met.join(member("a").filter("indexa"), ["e", "ca"]).join(member("b"), ["e", "cb"]).filter(fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id).
 
@@ -172,23 +207,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = linked(pairs, classes, given, size, percent)
     labels = connected(links)
-    crowd, places = crowd.select("band", "id"), 4
-    while True:
-        labelled = crowd.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
-        crowd = stage(labelled.join(mixed, "band", "left_semi"), "crowd")
-        if not crowd.limit(1).count():
-            break
-        order = W.partitionBy("band").orderBy(F.xxhash64("id", "band"), "id")
-        heads = stage(crowd.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= places), "heads")
-        h = heads.select("band", F.col("id").alias("head"), F.col("component").alias("hc"), "place")
-        placed = crowd.join(heads.select("band", "id", F.col("place").alias("own")), ["band", "id"], "left")
-        met = placed.join(h, "band").filter((F.col("hc") != F.col("component")) & (F.col("own").isNull() | (F.col("own") > F.col("place"))))
-        fresh = linked(met.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), classes, given, size, percent)
-        if fresh.limit(1).count():
-            labels = stage(joined_up(labels, fresh), "labels")
-        crowd = placed.filter("own is null").select("band", "id")
-        places *= 4
+    labelled = crowd.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
+    left = small_or_joined(labelled.join(mixed, "band", "left_semi").select("id", "component").distinct())
+    sets = stage(given.select(F.col("doc_id").alias("id"), "text").join(left.select("id"), "id", "left_semi").mapInArrow(_sets(size), "id long, set array<long>"), "sets")
+    met = rare_pairs(stage(rare_firsts(sets.filter(F.size("set") > 0).join(left, "id"), percent), "firsts"), percent)
+    fresh = linked(met, classes, given, size, percent)
+    if fresh.limit(1).count():
+        labels = stage(joined_up(labels, fresh), "labels")
     own = members.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "key").join(own, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -329,3 +329,22 @@ def test_fresh_links_join_components_like_all_links(spark):
         table = lambda rows: spark.createDataFrame(rows, "a long, b long")
         told = lambda df: {r.id: r.component for r in df.collect()}
         assert told(near_dedup.joined_up(near_dedup.connected(table(pairs[:25])), table(pairs[25:]))) == told(near_dedup.connected(table(pairs)))
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_rare_shingles_meet_every_similar_pair(spark, percent):
+    """Families around the limit, sets of different sizes, one common shingle: no similar pair is missed, few others meet."""
+    rng = random.Random(percent)
+    sets = {}
+    for family in range(4):
+        base = [family * 1000 + k for k in range(60)] + [-1]
+        for _ in range(40):
+            own = set(rng.sample(base, rng.choice([61, 57, 50]))) | {rng.randrange(10_000, 40_000) for _ in range(rng.choice([0, 2, 5, 14]))}
+            sets[len(sets)] = own
+    sets |= {200: {5}, 201: {5}, 202: {-1}}
+    rows = spark.createDataFrame([(i, i // 2 * 2, sorted(s)) for i, s in sets.items()], "id long, component long, set array<long>")
+    found = {(r.a, r.b) for r in near_dedup.rare_pairs(near_dedup.rare_firsts(rows, percent), percent).collect()}
+    apart = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if a // 2 != b // 2]
+    similar = {(a, b) for a, b in apart if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert similar <= found and all(a < b and a // 2 != b // 2 for a, b in found)
+    assert len(similar) > 100 and len(found) < len(apart) / 3
