@@ -2,7 +2,7 @@
 
 1. In Arrow batches every text becomes its shingle set: size, a 128-bit digest of the set, the low bits of its minima packed into
    longs, and band keys from whole minima. Equal sets are one class, combined before anything is compared.
-2. A band bucket sends its members to two of them, never to each other. The packed bits estimate the similarity, corrected for
+2. A band bucket sends its members to one of them, never to each other. The packed bits estimate the similarity, corrected for
    the bits that agree by chance; what is near enough is confirmed on the full sets.
 3. Members of buckets that still hold more than one component meet over their rarest shingles: a pair that is similar enough must
    share one of the first shingles of both sets in one common order, rarest first. How many are the first ones follows from the
@@ -200,10 +200,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
     buckets = classes.select("id", F.explode("bands").alias("band"))
     # Order by id xor band: another order in every bucket, so that a member meets different centres in its buckets.
     place = F.col("id").bitwiseXOR(F.col("band"))
-    ends = buckets.groupBy("band").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("m")).filter("m > 1 and lo <> hi")
-    tops = stage(ends.select("band", "m", F.col("lo").bitwiseXOR(F.col("band")).alias("hub"), F.col("hi").bitwiseXOR(F.col("band")).alias("other")), "buckets")
-    crowd = stage(buckets.join(small_or_joined(tops.filter("m > 2").select("band", "hub", "other")), "band"), "crowd").filter("id <> hub and id <> other")
-    met = tops.select(F.col("hub").alias("x"), F.col("other").alias("y")).union(crowd.select("id", "hub")).union(crowd.select("id", "other"))
+    tops = buckets.groupBy("band").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("band", F.col("lo").bitwiseXOR(F.col("band")).alias("hub"))
+    crowd = stage(buckets.join(small_or_joined(tops), "band").filter("id <> hub"), "crowd")
+    met = crowd.select(F.col("id").alias("x"), F.col("hub").alias("y"))
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = linked(pairs, classes, given, size, percent)
     labels = connected(links)
