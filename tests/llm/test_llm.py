@@ -190,6 +190,22 @@ def test_pitman_yor(spark, odd):
     assert pitman_yor.scores(df.limit(0), F.lit(False)).count() == 0
 
 
+def test_pitman_yor_hot_words_of_held_out_texts(spark):
+    """Every token has its share of both scores: a repeated word that only held-out texts have, and nothing learnt at all."""
+    texts = ["the of the", "zzz zzz zzz zzz the", "of zzz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pitman_yor.scores(df, F.col("doc_id") > 0).collect()}
+    learnt = collections.Counter([*texts[0].split(), None])
+    base = lambda words: sum(math.log10((learnt[w] + 1) / (4 + 3 + 1)) for w in words)
+    for i, t in enumerate(texts):
+        own = [*t.split(), None]
+        assert got[i].base_score == pytest.approx(base(own)) and got[i].n_known == sum(learnt[w] > 0 for w in own)
+    extra = {r.doc_id: r for r in pitman_yor.scores(df.union(spark.createDataFrame([(3, "zzz zzz zzz zzz zzz the")], df.schema)), F.col("doc_id") > 0).collect()}
+    assert extra[3].score < extra[1].score - 0.1
+    nothing = pitman_yor.scores(df, F.lit(True)).collect()
+    assert len(nothing) == 3 and all(r.n_known == r.train_tokens == 0 and r.score == pytest.approx(0) and r.base_score == pytest.approx(0) for r in nothing)
+
+
 def test_pitman_yor_sums_to_one():
     rng = np.random.default_rng(4)
     pairs = np.unique(rng.integers(0, 50 * pitman_yor.CLASSES, 3000))
