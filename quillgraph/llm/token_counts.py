@@ -22,19 +22,22 @@ MOST_PIECES = 2_000_000  # a vocabulary, which every executor holds; not data
 
 
 def sentencepiece_vocabulary(path: str = VOCABULARY) -> tuple[list[str], list[str]]:
-    """(pieces that begin a word, pieces that go on) of a public vocabulary file; control and byte entries are left out."""
+    """(pieces that begin a word, pieces that go on) of a public vocabulary file; control and byte entries are left out. The lone
+    mark of a word's begin is the empty piece that begins a word."""
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return [n[1:] for n in names if n[0] == "▁" and len(n) > 1 and "▁" not in n[1:]], [n for n in names if "▁" not in n]
+    return [n[1:] for n in names if n[0] == "▁" and "▁" not in n[1:]], [n for n in names if "▁" not in n]
 
 
 class Automaton:
-    """Sorted transition keys (node * 256 + byte) with targets, failure links (-1: none) and popped counts per node."""
+    """Sorted transition keys (node * 256 + byte) with targets, failure links (-1: none) and popped counts per node. An empty initial
+    piece is one token before the first byte: a word that no other piece begins goes on from it."""
 
     def __init__(self, initial: Iterable[str], further: Iterable[str]):
         children: list[dict[int, int]] = [{}, {}]
         final = [False, False]
+        initial = list(initial)
         for root, pieces in ((0, initial), (1, further)):
             for piece in pieces:
                 node = root
@@ -48,6 +51,8 @@ class Automaton:
         if len(children) > 8 * MOST_PIECES:
             raise ValueError("the vocabulary is too large to be held by every executor")
         link, popped = [-1] * len(children), [0] * len(children)
+        if "" in initial:
+            link[0], popped[0] = 1, 1
         queue = deque((root, b, v) for root in (0, 1) for b, v in children[root].items())
         while queue:
             parent, b, node = queue.popleft()

@@ -151,6 +151,36 @@ def test_token_counts_against_word_piece(spark, odd):
     assert token_counts.token_counts(frame, [], []).agg(F.sum("n_unknown")).first()[0] == 40 * 80
 
 
+def test_token_counts_with_the_lone_begin_piece(spark):
+    """The real vocabulary: words whose first character has no begin piece start with the lone mark; small ones by brute force."""
+    initial, further = token_counts.sentencepiece_vocabulary()
+    begin, on = set(initial), set(further)
+
+    def pieces(word, first, then):
+        out, at = [], 0
+        while at < len(word) or not out:
+            known = first if not out else then
+            end = next((e for e in range(len(word), at - (not out), -1) if word[at:e] in known), None)
+            if end is None:
+                return None
+            out.append(word[at:end])
+            at = end
+        return out
+    assert "" in begin and pieces("2024", begin, on) == ["", "2", "0", "2", "4"]
+    words = ["2024", "3.14", "1", "第一章", "中文没有空格的一行文字", "the", "Häuser", "don't", "(x)", "x2", "\U000f0000", "1\U000f0000", "日本語2024年"]
+    rng = random.Random(6)
+    words += ["".join(rng.choices("0123456789中文一人the,.é\U000f0000", [9] * 10 + [9] * 4 + [5] * 6 + [1], k=rng.randrange(1, 12))) for _ in range(300)]
+    got = {r.doc_id: r for r in token_counts.token_counts(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), initial, further).collect()}
+    for i, w in enumerate(words):
+        own = pieces(w, begin, on)
+        assert (got[i].n_words, got[i].n_tokens, got[i].n_unknown) == (1, len(own or "?"), own is None)
+    small = [["", "a", "abc", "bcd"], ["b", "bc", "d", "ab"]]
+    short = ["".join(w) for k in range(1, 6) for w in itertools.product("abcd", repeat=k)]
+    row = spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")
+    told = {r.doc_id: r.n_tokens * (r.n_unknown == 0) for r in token_counts.token_counts(row, *small).collect()}
+    assert told == {i: len(pieces(w, *map(set, small)) or ()) for i, w in enumerate(short)} and sum(map(bool, told.values())) > 50
+
+
 def test_mixing(spark, odd):
     rows = [(i, " ".join(["w"] * (i % 37)), None if i % 9 == 0 else f"s{i % 4}") for i in range(600)] + [(600, "w " * 9000, "one")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
