@@ -23,6 +23,7 @@ ORDER = 4
 DISCOUNT = 0.75
 MOST_CHARACTERS = 1_500_000
 MOST_TOTAL = 60_000_000
+SPAN_SHARE = 16
 STEP = 1 << 19
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,14 +150,27 @@ class KneserNey:
 
 
 def bounded_sample(labelled: DataFrame, most: int = MOST_CHARACTERS) -> dict[str, list[str]]:
-    """At most ``most`` characters per language, and ``MOST_TOTAL`` in all: the texts first in hash order, cut by running length."""
-    order = W.partitionBy("lang").orderBy("h", "text")
+    """At most ``most`` characters per language, and ``MOST_TOTAL`` in all, cut by running length in hash order.
+
+    A text longer than a ``SPAN_SHARE``-th of the bound is sampled in spans of that length. Each text offers one span, chosen by hash,
+    before any offers its others, so no text displaces the rest, and a language with any text has a sample, short of the bound by less
+    than a span if it has that many characters.
+    """
     sized = labelled.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    lengths = small_or_joined(sized.groupBy("lang").agg(F.sum("n").alias("all")))
-    most = min(most, MOST_TOTAL // max(1, lengths.count()))
-    # keep hashes below the share of the range that holds twice the bound, then cut exactly
-    near = sized.join(lengths, "lang").filter(F.pmod("h", F.lit(1 << 20)) <= (2.0 * most + 2e5) / F.col("all") * (1 << 20))
-    rows = near.withColumn("upto", F.sum("n").over(order)).filter(F.col("upto") <= most).select("lang", "text").collect()
+    most = max(1, min(most, MOST_TOTAL // max(1, sized.select("lang").distinct().count())))
+    span = max(1, most // SPAN_SHARE)
+    lengths = small_or_joined(sized.groupBy("lang").agg(F.sum(F.least("n", F.lit(span))).alias("first"), F.sum("n").alias("all")))
+    spans = F.greatest(F.lit(1), F.ceil(F.col("n") / span).cast("int"))
+    chosen = F.pmod(F.xxhash64("h"), spans).cast("int")
+    # keep hashes below the share of the range that holds twice the bound, then cut exactly; others are needed where all first spans are
+    below = lambda h, characters: F.pmod(h, F.lit(1 << 20)) * characters.cast("double") <= (2.0 * most + 2e5) * (1 << 20)
+    others = F.filter(F.sequence(F.lit(0), spans - 1), lambda k: (k != F.col("chosen")) & (F.col("first") < most) & below(F.xxhash64("h", k), F.col("all") - F.col("first")))
+    picked = F.concat(F.when(below(F.col("h"), F.col("first")), F.array("chosen")).otherwise(F.array().cast("array<int>")), others)
+    texts = F.transform(picked, lambda k: F.struct((k != F.col("chosen")).alias("later"), F.when(k == F.col("chosen"), F.col("h")).otherwise(F.xxhash64("h", k)).alias("h"),
+                                                   F.substring(F.col("text"), k * span + 1, F.lit(span)).alias("text")))
+    near = sized.join(lengths, "lang").withColumn("chosen", chosen).select("lang", F.explode(texts).alias("s")).select("lang", "s.*")
+    order = W.partitionBy("lang").orderBy("later", "h", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = near.withColumn("upto", F.sum(F.length("text")).over(order)).filter(F.col("upto") <= most).select("lang", "text").collect()
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault(r["lang"], []).append(r["text"])

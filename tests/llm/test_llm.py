@@ -273,6 +273,31 @@ def test_language_id(spark, odd):
     assert {r.lang_pred for r in language_id.identify(odd, *nothing).collect()} == {"und"}
 
 
+def test_language_sample_with_very_long_texts(spark):
+    """A text longer than the bound that comes first in hash order, one that is all a language has, and copies with one hash."""
+    rng = random.Random(12)
+    text = lambda letters, n: "".join(rng.choices(letters + " ", k=n))
+    short = [("first", text("abcde", 200)) for _ in range(100)]
+    h = lambda rows: rows.withColumn("h", F.xxhash64("text"))
+    table = lambda rows: spark.createDataFrame(rows, "lang string, text string")
+    low = h(table(short)).agg(F.min("h")).first()[0]
+    first = h(table([("first", text("abcde", 50_000)) for _ in range(1000)])).filter(F.col("h") < low).drop("h").limit(1).collect()
+    assert len(first) == 1
+    rows = short + [tuple(first[0])] + [("only", text("vwxyz", 70_000))] + [("copies", "mno " * 50)] * 200 + [("tiny", "q"), ("empty", ""), (None, "abc"), ("null", None)]
+    sample = language_id.bounded_sample(table(rows), 10_000)
+    sizes = {name: sum(map(len, own)) for name, own in sample.items()}
+    assert set(sizes) == {"first", "only", "copies", "tiny", "empty"} and sizes["tiny"] == 1
+    assert all(10_000 - 625 < sizes[name] <= 10_000 for name in ("first", "only", "copies"))
+    assert len({t for t in sample["first"]} & {t for _, t in short}) > 40 and max(map(len, sample["first"])) <= 625
+    whole = rows[101][1]
+    assert len(set(sample["only"])) == len(sample["only"]) and all(whole.index(t) % 625 == 0 for t in sample["only"])
+    # with all within the bound, every character is in the sample
+    assert sorted(map(len, language_id.bounded_sample(table(rows), 1_000_000)["only"])) == [7500] + [62_500]
+    model, limits = language_id.fit(table(rows), 10_000)
+    probe = spark.createDataFrame([(1, text("abcde", 300)), (2, text("vwxyz", 300))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(probe, model, limits).collect()} == {1: "first", 2: "only"}
+
+
 def test_kneser_ney_sums_to_one():
     model = language_id.KneserNey({"x": ["abra cadabra", "barb"], "y": ["cabbage"]})
     letters = " abcdegr"
