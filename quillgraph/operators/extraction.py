@@ -4,9 +4,12 @@ Candidate tables share (corpus_id, unit_id, pos). Anchors of every kind are loca
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.runtime import stage
 from quillgraph.functions.text import cut
 from quillgraph.functions.udfs import slice_text
 from quillgraph.operators.ontology import allowed
@@ -87,6 +90,24 @@ def split_windows(windows: DataFrame, chunks: DataFrame, corpus: DataFrame, mode
     return with_context(kept.unionByName(children), chunks)
 
 
+def split_until_settled(windows: DataFrame, chunks: DataFrame, corpus: DataFrame, judge: Callable[[DataFrame], DataFrame], mode: str = "full") -> DataFrame:
+    """Rounds of ``split_windows`` until no window that can be split is saturated; ``saturated`` is kept.
+
+    ``judge`` adds the column ``saturated`` (null: not saturated) and sees each window once: a round judges only the halves of the
+    last. Halves are never shorter than the least core, so the rounds end.
+    """
+    settled = None
+    while True:
+        judged = stage(judge(windows).withColumn("saturated", F.coalesce("saturated", F.lit(False))), "judged")
+        able = F.col("saturated") & (F.col("core_end") - F.col("core_start") >= 2 * MIN_CORE[mode])
+        rest = judged.filter(~able).select("corpus_id", "unit_id", "chunk_order", "core_start", "core_end", "left_start", "right_end", "saturated")
+        settled = rest if settled is None else settled.unionByName(rest)
+        again = judged.filter(able)
+        if again.isEmpty():
+            return settled
+        windows = split_windows(again, chunks, corpus, mode)
+
+
 def _covering(chunks: DataFrame) -> DataFrame:
     """Chunks repeated for every position bucket they touch, for equi joins instead of range joins."""
     buckets = F.sequence(F.floor(F.col("start_char") / BUCKET), F.floor((F.greatest("end_char", F.col("start_char") + 1) - 1) / BUCKET))
