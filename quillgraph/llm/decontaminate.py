@@ -1,12 +1,14 @@
 """Benchmark decontamination with spaced seeds: masks that ignore some token positions, joined on hashes, verified around the hits.
 
-A seed is the hash of the words at the selected positions of a mask. Any 12 or 13 words that differ in at most two places, and any
-9 to 11 that differ in one, share a seed with their original (the tests try every case). Benchmark seeds set bits of two
+A seed is the hash of the words at the selected positions of a mask. Any 12 or 13 words that differ in at most two places share a
+seed of two masks with their original. Items of 5 to 11 words have further masks for the changes that those two miss, chosen for the
+lengths that the benchmark has, so that every change the verifier accepts is met (the tests try every case). Benchmark seeds set bits of two
 tables of bounded size, by their leading and by their trailing bits; training texts look their seeds up there and send only hits, with the words around them. The hits join the benchmark
 seeds on the full hash, which gives (document, item, diagonal); each diagonal is verified word by word, substitutions tolerated.
 """
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,17 +22,41 @@ from quillgraph.llm.words import mix, random_words, word_groups
 
 MASKS = ("11111", "1101011")
 WINDOW = 13
+SHORT = 12  # from so many words on, items need no masks beside MASKS
 TOLERANCE = 0.2
 BITS_PER_SEED, LEAST_BITS, MOST_BITS = 128, 16, 26
 LONGEST = max(map(len, MASKS))
 
-_FACTORS = random_words(LONGEST, 21) | np.uint64(1)
+_FACTORS = random_words(WINDOW, 21) | np.uint64(1)
 
 
-def seeds(hashes: np.ndarray, firsts: np.ndarray, short: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, seed hashes) per mask, and per run length in ``short``; a seed lies inside one row."""
+def _weight(length: int) -> int:
+    """Words that a further mask selects in an item of 5 to 11 words."""
+    return min(5, length - int(length * TOLERANCE))
+
+
+def _meets(mask: str, length: int, wrong: tuple[int, ...]) -> bool:
+    return any(all(mask[k - at:k - at + 1] != "1" for k in wrong if k >= at) for at in range(length - len(mask) + 1))
+
+
+def short_masks(lengths: list[int]) -> tuple[str, ...]:
+    """Masks beside MASKS for items of these lengths, all under 12: the whole item under 5 words, else few that meet all changes allowed."""
+    missed = {(n, wrong) for n in lengths if n >= 5 for wrong in itertools.combinations(range(n), int(n * TOLERANCE)) if not any(_meets(m, n, wrong) for m in MASKS)}
+    found = {"1" * n for n in lengths if n < 5}
+    choices = sorted({"1" + "".join("1" if k in inner else "0" for k in range(1, span - 1)) + "1" for n in {n for n, _ in missed} for span in range(_weight(n), n + 1)
+                      for inner in itertools.combinations(range(1, span - 1), _weight(n) - 2)})
+    while missed:
+        met = [{(n, wrong) for n, wrong in missed if mask.count("1") == _weight(n) and _meets(mask, n, wrong)} for mask in choices]
+        best = max(range(len(choices)), key=lambda k: (len(met[k]), -k))
+        found.add(choices[best])
+        missed -= met[best]
+    return tuple(sorted(found))
+
+
+def seeds(hashes: np.ndarray, firsts: np.ndarray, short: tuple[str, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, seed hashes) per mask, those of ``short`` last; a seed lies inside one row."""
     ends = np.repeat(firsts[1:], np.diff(firsts))
-    for number, mask in enumerate(list(MASKS) + ["1" * n for n in short]):
+    for number, mask in enumerate((*MASKS, *short)):
         span = len(mask)
         n = len(hashes) - span + 1
         if n <= 0:
@@ -43,16 +69,18 @@ def seeds(hashes: np.ndarray, firsts: np.ndarray, short: tuple[int, ...] = ()) -
         yield at, mix(total)[at]
 
 
-def _items(short: tuple[int, ...]):
+def _items(short: tuple[str, ...]):
     def run(batches):
         for batch in batches:
             for first, words in word_groups(batch.column("text")):
                 lengths = np.diff(words.firsts)
                 row = words.rows()
                 for k, (at, seed) in enumerate(seeds(words.hashes, words.firsts, short)):
-                    if k >= len(MASKS):  # a whole short item, matched exactly
-                        whole = lengths[row[at]] == short[k - len(MASKS)]
-                        at, seed = at[whole], seed[whole]
+                    if k >= len(MASKS):  # whole items under 5 words, or items under 12
+                        mask = short[k - len(MASKS)]
+                        own = [n for n in range(1, SHORT) if (mask == "1" * n if n < 5 else mask.count("1") == _weight(n))]
+                        used = np.isin(lengths[row[at]], own)
+                        at, seed = at[used], seed[used]
                     yield pa.record_batch([batch.column("item_id").take(pa.array(row[at] + first)), pa.array(seed.view(np.int64)),
                                            pa.array(at - words.firsts[row[at]])], names=["item_id", "seed", "at"])
     return run
@@ -65,7 +93,7 @@ def _whole(batches):
             yield pa.record_batch([batch.column("item_id").slice(first, len(own)), pa.array(own, pa.list_(pa.int64()))], names=["item_id", "item"])
 
 
-def _hits(bits, shift: int, short: tuple[int, ...]):
+def _hits(bits, shift: int, short: tuple[str, ...]):
     """Per run of hits that lie close together: the words around them and where the seeds are."""
     schema = pa.schema([("doc_id", pa.int64()), ("region", pa.int64()), ("words", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
 
@@ -139,14 +167,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An overlap is an alignment without gaps that holds a window of 13 words (the whole item if shorter) with at most 20 % of them
     unequal, rounded down; start and end are words of the document. Words compare with A-Z lower-cased. Items of fewer than 5 words
-    must be found exactly; longer ones under 9 words are found when five words in a row, or all, are equal. Null, empty and blank
+    must be found exactly; in longer ones every placement of unequal words that the share allows is found. Null, empty and blank
     texts overlap with nothing; null ids are carried along; repeated rows give the pair once. Either table empty: no rows.
     """
     spark = docs.sparkSession
     items = need(benchmark, item_id="long", text="string").filter("text is not null")
     training = need(docs, doc_id="long", text="string").filter("text is not null")
     whole = stage(items.mapInArrow(_whole, "item_id long, item array<long>").filter("size(item) > 0"), "items")
-    short = tuple(sorted(r[0] for r in whole.select(F.size("item").alias("n")).filter(f"n < {LONGEST}").distinct().collect()))
+    short = short_masks([r[0] for r in whole.select(F.size("item").alias("n")).filter(f"n < {SHORT}").distinct().collect()])
     known = stage(items.mapInArrow(_items(short), "item_id long, seed long, at long"), "seeds")
     bits = min(MOST_BITS, max(LEAST_BITS, int(known.count() * BITS_PER_SEED).bit_length()))
     leading, trailing = F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))

@@ -99,6 +99,34 @@ def test_masks_find_every_allowed_substitution():
             assert any(not spot(m, o) & set(bad) for m in decontaminate.MASKS for o in range(length - len(m) + 1))
 
 
+def test_masks_meet_every_change_of_short_items():
+    """All placements that the verifier accepts, for every length alone and for all together."""
+    spot = lambda m, o: {o + i for i, c in enumerate(m) if c == "1"}
+    for length in range(5, 14):
+        for given in ([length], range(1, 12)):
+            more = [m for m in decontaminate.short_masks([n for n in given if n < 12]) if length < 12 and m.count("1") == decontaminate._weight(length)]
+            for wrong in range(int(length * decontaminate.TOLERANCE) + 1):
+                for bad in itertools.combinations(range(length), wrong):
+                    assert any(not spot(m, o) & set(bad) for m in (*decontaminate.MASKS, *more) for o in range(length - len(m) + 1))
+
+
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(13)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 13)}
+    docs, expected, spoilt = [], set(), set()
+    for n, own in items.items():
+        allowed = int(n * 0.2)
+        for wrong in range(allowed + 2):
+            for bad in itertools.combinations(range(n), wrong):
+                if wrong > allowed and rng.random() > 0.1:
+                    continue
+                (expected if wrong <= allowed else spoilt).add((len(docs), n))
+                docs.append(" ".join(f"f{rng.randrange(10_000)}" for _ in range(20)) + " " + " ".join("no" if k in bad else w for k, w in enumerate(own)) + " end of it")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
+    assert got == expected and spoilt
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     items = {i: [f"b{rng.randrange(500)}" for _ in range(n)] for i, n in enumerate([30, 20, 13, 9, 3])}
