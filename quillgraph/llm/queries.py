@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillgraph.llm import decontaminate, language_id, mixing, near_dedup, pitman_yor, quality, secrets, token_counts, url_rules, warc
+from quillgraph.llm import (decontaminate, fill_middle, language_id, licenses, mixing, near_dedup, pitman_yor, quality, secrets, token_counts, url_rules,
+                            vector_codes, warc)
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -137,11 +138,69 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(secrets.listed(F.col("_base")), 256).alias("base_sha256"), secrets.listed(F.col("_spans")).alias("spans"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    starts = F.transform("places", lambda p: p["start"].cast("long"))
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                        "base_labels", "labels", "score")
+
+
+def _listed(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+# The rule without an index: every place of every template against every word.
+_TEMPLATES = [licenses.template(*t) for t in licenses.TEMPLATES]
+OP11_SQL = rf"""
+WITH t(t, label, j, word, is_key, need, n_keys, m) AS (VALUES {_listed([(k, t.label, j, w, j in t.keys, t.need, len(t.keys), len(t.words)) for k, t in enumerate(_TEMPLATES) for j, w in enumerate(t.words)])}),
+d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT i, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM d),
+n AS (SELECT i, k, word, lead(word) OVER o AS n1, lead(word, 2) OVER o AS n2 FROM p WINDOW o AS (PARTITION BY i ORDER BY k)),
+b AS (SELECT i, k, CASE WHEN word = 'mit' AND n1 = 'license' THEN 'mit' WHEN word = 'apache' AND n1 = 'license' THEN 'apache'
+                        WHEN word = 'general' AND n1 = 'public' AND n2 = 'license' THEN 'gpl' END AS label FROM n),
+a AS (SELECT p.i, t.label, count(*) / t.m AS share FROM p JOIN t ON p.word = t.word GROUP BY p.i, t.t, t.label, t.need, t.n_keys, t.m, p.k - t.j
+      HAVING count(*) >= t.need AND count(*) FILTER (t.is_key) = t.n_keys),
+x AS (SELECT i, count(*) AS n, min(k) AS f, max(k) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM b WHERE label IS NOT NULL GROUP BY i),
+y AS (SELECT i, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM (SELECT i, label FROM b WHERE label IS NOT NULL UNION ALL SELECT i, label FROM a) GROUP BY i),
+s AS (SELECT i, max(share) AS share FROM a GROUP BY i)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(x.n, 0)::BIGINT AS n_base, x.f::BIGINT AS first_word, x.l::BIGINT AS last_word, coalesce(x.ls, '') AS base_labels,
+       coalesce(y.ls, '') AS labels, CASE WHEN x.n > 0 THEN 1.0::DOUBLE ELSE coalesce(s.share, 0)::DOUBLE END AS score
+FROM d LEFT JOIN x ON d.i = x.i LEFT JOIN y ON d.i = y.i LEFT JOIN s ON d.i = s.i"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+                  list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), k, 8))::BIGINT) AS h FROM documents),
+c AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                  WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output FROM p),
+r AS (SELECT *, CASE form WHEN 'plain' THEN output
+       WHEN 'psm' THEN substr(output, 4, strpos(output, '<S>') - 4) || substr(output, strpos(output, '<M>') + 3) || substr(output, strpos(output, '<S>') + 3, strpos(output, '<M>') - strpos(output, '<S>') - 3)
+       ELSE substr(output, strpos(output, '<P>') + 3, strpos(output, '<M>') - strpos(output, '<P>') - 3) || substr(output, strpos(output, '<M>') + 3) || substr(output, 4, strpos(output, '<P>') - 4) END AS whole FROM o)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(whole) AS restored_sha256 FROM r"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_warc": op2_warc, "op3_decontamination": op3_decontamination, "op4_url_rules": op4_url_rules,
            "op5_token_counts": op5_token_counts, "op6_mixing": op6_mixing, "op7_quality_rules": op7_quality_rules, "op8_pitman_yor": op8_pitman_yor, "op9_language_id": op9_language_id,
-           "op10_secret_scan": op10_secret_scan, "pipeline": pipeline}
-SQL = {"op1_near_duplicates": OP1_SQL, "op4_url_rules": OP4_SQL, "op6_mixing": OP6_SQL, "op7_quality_rules": OP7_SQL}
+           "op10_secret_scan": op10_secret_scan, "op11_license_scan": op11_license_scan, "op12_fill_in_middle": op12_fill_in_middle,
+           "op13_vector_codes": op13_vector_codes, "pipeline": pipeline}
+SQL = {"op1_near_duplicates": OP1_SQL, "op4_url_rules": OP4_SQL, "op6_mixing": OP6_SQL, "op7_quality_rules": OP7_SQL, "op11_license_scan": OP11_SQL,
+       "op12_fill_in_middle": OP12_SQL}
