@@ -283,3 +283,17 @@ def u05(spark, sf):
     line_chunks(spark, sf).createOrReplaceTempView("quill_line_chunks")
     return spark.sql("SELECT chunk_id, piece, s.start_char AS piece_start, s.end_char AS piece_end FROM quill_line_chunks c, "
                      "LATERAL split_spans(text, 0, CAST(length(text) AS INT), 250, 500, 700, 80) s")
+
+
+@register("u05_split_sections_udtf", sql(BOOK, SECTIONS, """src AS (SELECT struct_pack(c := s.corpus_id, o := s.section_order) AS kid, b.text, s.body_start AS s, s.end_char AS e FROM sec s JOIN book b USING (corpus_id))""",
+    split_sql("pc", "src", 250, 500, 700, 80), "SELECT kid.c AS corpus_id, kid.o AS section_order, n - 1 AS piece, a AS start_char, b AS end_char FROM pc"))
+def u05_sections(spark, sf):
+    """All sections of a text in one call: the text is passed and searched once."""
+    from quillgraph.functions.spans import SplitSections
+    spark.udtf.register("split_sections", SplitSections)
+    texts = books(spark, sf)
+    sections = S.heading_sections(texts, H.accepted_headings(_scored(spark, sf)))
+    listed = sections.groupBy("corpus_id").agg(F.array_sort(F.collect_list(F.struct("section_order", "body_start", "end_char"))).alias("s"))
+    texts.join(listed, "corpus_id").select("corpus_id", "text", F.col("s.section_order").alias("orders"), F.transform("s", lambda x: x["body_start"].cast("int")).alias("starts"),
+                                           F.transform("s", lambda x: x["end_char"].cast("int")).alias("ends")).createOrReplaceTempView("quill_sectioned")
+    return spark.sql("SELECT corpus_id, orders[span] AS section_order, piece, start_char, end_char FROM quill_sectioned, LATERAL split_sections(text, starts, ends, 250, 500, 700, 80)")

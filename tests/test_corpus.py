@@ -1,12 +1,13 @@
 """Golden rows for text preparation; texts are written for these tests."""
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions.numerals import chinese_value, english_value
-from quillgraph.functions.spans import CHUNK_SIZES, PASSAGE_SIZES, pieces
+from quillgraph.functions.spans import CHUNK_SIZES, PASSAGE_SIZES, Breaks, pieces
 from quillgraph.functions.text import fold
 from quillgraph.operators import headings as H
 from quillgraph.operators import sections as S
@@ -104,6 +105,50 @@ def test_pieces_cover_and_end_at_breaks(sizes):
         assert near.isspace() or text[b - 1] in "。！？!?" or b - a == sizes["maximum"] or not re.search(r"[。！？!?\n]", text[a + sizes["minimum"]:a + sizes["maximum"]])
 
 
+def nearest_rule(text, low, high, goal):
+    """The closest end of a break among all matches inside the window, by distance, kind and position."""
+    patterns = (r"\n\s*\n", r"[。！？!?]\s*", r"\n")
+    found = [(abs(low + m.end() - goal), kind, low + m.end()) for kind, p in enumerate(patterns) for m in re.finditer(p, text[low:high])]
+    return min(found)[2] if found else None
+
+
+def test_breaks_by_binary_search_are_those_of_the_window():
+    """Windows that cut runs of blanks, empty texts, texts without a blank and without anything else."""
+    rng = random.Random(8)
+    signs = ["词", "w", "。", "\n", "\n\n", "！ ", " ", "?", "\t", "\n \n", "𠮷", "\u3000", "\x1c"]
+    for _ in range(1500):
+        text = "".join(rng.choices(signs, [rng.random() ** 3 for _ in signs], k=rng.choice([0, 1, 6, 60])))
+        breaks, low = Breaks(text), rng.randint(0, len(text))
+        high = rng.randint(low, len(text))
+        goal = rng.randint(low, high)
+        assert breaks.nearest(low, high, goal) == nearest_rule(text, low, high, goal)
+        body = text[low:high]
+        a, b = breaks.tight(low, high)
+        assert text[a:b] == body.strip() and (not body.strip() or a == low + len(body) - len(body.lstrip()))
+        sizes = {"minimum": 5, "target": 9, "maximum": 14, "overlap": 3}
+        shifted = [(low + x, low + y) for x, y in pieces(body, 0, len(body), **sizes)]
+        assert list(breaks.pieces(low, high, **sizes)) == list(pieces(text, low, high, **sizes)) == shifted
+
+
+def test_chunking_time_is_linear_in_the_sections(spark):
+    """Four times the sections take about four times the time, in Python and through the chunk table."""
+    def seconds(sections):
+        text = "\n".join("word " * 480 for _ in range(sections))
+        spans = [(k * 2401, min((k + 1) * 2401, len(text))) for k in range(sections)]
+        runs = []
+        for _ in range(3):
+            started = time.perf_counter()
+            breaks = Breaks(text)
+            assert sum(1 for a, b in spans for _ in breaks.pieces(a, b, **CHUNK_SIZES)) == sections
+            runs.append(time.perf_counter() - started)
+        return min(runs)
+    assert seconds(1600) < 6 * seconds(400)
+    text = "".join(f"Chapter {k}\n\n" + "word " * 400 + "\n\n" for k in range(1, 401))
+    corpus = spark.createDataFrame([(1, text)], "corpus_id bigint, text string")
+    chunks, sections = S.chunks_and_sections(corpus, H.headings_of(line_table(corpus)))
+    assert sections.count() == 400 and {(r.section_order, r.chunk_in_section) for r in chunks.collect()} == {(k, 0) for k in range(400)}
+
+
 def test_decoding_of_files(spark, tmp_path):
     text = "第一行\n第二行：旧城\n"
     for name, codec in (("a", "utf-8"), ("b", "utf-8-sig"), ("c", "utf-16"), ("d", "gb18030")):
