@@ -1,18 +1,24 @@
-"""Entity resolution: candidates, dependency groups, decisions, canonical entities and relations.
+"""Entity resolution: candidate identities, dependency groups, decisions, canonical entities and relations.
 
-Mentions of one entity are judged in order of (position, entity_key) inside their corpus. Nearest earlier
-candidates come from lagged windows; no pair list of a name group is ever built.
+Mentions are judged in order of (position, entity_key) inside their corpus against the identities settled so far. Identities never
+leave a name: shared spans spell the same name and candidates share it. So the entities of one name of one corpus are dealt to one
+place, sorted there and streamed: what is known of the name so far is, per identity, where it was mentioned last, and the mentions
+that still lie ahead, which reach no further than a window. Nothing is paired, no group is held, and no rounds are needed.
 
 Entities: corpus_id, entity_key, type, name, folded, position, spans (array of structs with start_char,
 end_char, section_order, chunk_id, quote).
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.runtime import stage
 from quillgraph.functions.udfs import with_folded
-from quillgraph.operators.components import components
+from quillgraph.operators.components import components, give_back
 from quillgraph.operators.ontology import is_generic, is_symmetric
 
 TOP = 5
@@ -25,37 +31,127 @@ def entity_table(valid_entities: DataFrame) -> DataFrame:
     return with_folded(rows, "name", "folded")
 
 
-def _earlier(group: list[str], extra: str | None = None):
-    order = Window.partitionBy(*group).orderBy("position", "entity_key")
-    ref = F.struct("position", "entity_key", "spans")
-    return F.array_compact(F.array(*[F.lag(ref, i).over(order) for i in range(1, TOP + 1)])), F.row_number().over(order) - 1
+class _Name:
+    """The identities of one name, in the order of the text. An identity is the (position, key) of its first entity."""
+
+    def __init__(self, generic: bool):
+        self.generic = generic
+        self.behind: dict[tuple, int] = {}  # identity -> start of its last mention passed, latest identity last
+        self.ahead: dict[tuple, tuple] = {}  # span not yet passed -> identity
+        self.count = 0
+
+    def advance(self, position: int) -> None:
+        """Spans that begin before ``position`` cannot be shared any more; their starts stay with the identity."""
+        for span in sorted(s for s in self.ahead if s[0] < position):
+            identity = self.ahead.pop(span)
+            self.behind.pop(identity, None)
+            self.behind[identity] = span[0]
+
+    def _distances(self, position: int) -> dict[tuple, int]:
+        """Distance of the nearest mention per identity: all that have one ahead, and of the others the nearest that may be offered."""
+        found: dict[tuple, int] = {}
+        for (start, _), identity in self.ahead.items():
+            passed = position - self.behind[identity] if identity in self.behind else start - position
+            found[identity] = min(found.get(identity, passed), start - position, passed)
+        last, n = None, 0
+        for identity in reversed(self.behind):
+            distance = position - self.behind[identity]
+            if n >= TOP and distance > last:
+                break
+            n, last = n + 1, distance
+            found[identity] = min(found.get(identity, distance), distance)
+        return found
+
+    def judge(self, position: int, key: str, spans: list[tuple], decision: str | None, wanted: str | None, cited: bool) -> dict:
+        self.advance(position)
+        shared = sorted({self.ahead[s] for s in spans if s in self.ahead})
+        known, total = self._distances(position), self.count
+        if self.generic:
+            known, total = {i: known[i] for i in shared}, len(shared)
+        offered = sorted(known, key=lambda i: (i not in shared, known[i], i))[:TOP]
+        named = {i[1]: i for i in offered}
+        if shared:
+            outcome, into = "shared_span", shared[0]
+        elif not offered:
+            outcome, into = "new", None
+        elif decision == "merge" and cited and wanted in named:
+            outcome, into = "merged", named[wanted]
+        elif decision == "new" and cited:
+            outcome, into = "kept_apart", None
+        elif total == 1:
+            outcome, into = "same_name_reused", offered[0]
+        else:
+            outcome, into = "ambiguous", None
+        identity = into or (position, key)
+        self.count += (into is None) - len(shared[1:])
+        for other in shared[1:]:  # one span too many: they were one identity all along
+            self.ahead = {s: identity if i == other else i for s, i in self.ahead.items()}
+            if other in self.behind:
+                self.behind[identity] = max(self.behind.pop(other), self.behind.get(identity, 0))
+        if shared[1:]:
+            self.behind = dict(sorted(self.behind.items(), key=lambda item: item[1]))
+        self.ahead.update(dict.fromkeys(spans, identity))
+        return {"outcome": outcome, "joins": into and into[1], "identity": {"position": identity[0], "entity_key": identity[1]},
+                "absorbed": [{"position": i[0], "entity_key": i[1]} for i in shared[1:]], "n_candidates": total,
+                "offered": [{"candidate_key": i[1], "shared": i in shared, "distance": known[i]} for i in offered]}
+
+
+_IDENTITY = "struct<position:bigint,entity_key:string>"
+_JUDGED = f"entity_key string, outcome string, joins string, identity {_IDENTITY}, absorbed array<{_IDENTITY}>, n_candidates bigint, offered array<struct<candidate_key:string,shared:boolean,distance:bigint>>"
+
+
+def _judge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by name group and order to their outcomes; one group's state at a time."""
+    group, names = None, None
+    identity = pa.struct([("position", pa.int64()), ("entity_key", pa.string())])
+    offer = pa.struct([("candidate_key", pa.string()), ("shared", pa.bool_()), ("distance", pa.int64())])
+    for batch in batches:
+        schema = pa.schema([batch.schema.field("corpus_id"), ("entity_key", pa.string()), ("outcome", pa.string()), ("joins", pa.string()), ("identity", identity),
+                            ("absorbed", pa.list_(identity)), ("n_candidates", pa.int64()), ("offered", pa.list_(offer))])
+        out = []
+        for r in batch.to_pylist():
+            own = (r["corpus_id"], r["type"], r["folded"], r["generic"])
+            if own != group:
+                group, names = own, _Name(r["generic"])
+            spans = sorted(set(zip(r["starts"], r["ends"])))
+            out.append({"corpus_id": r["corpus_id"], "entity_key": r["entity_key"], **names.judge(r["position"], r["entity_key"], spans, r["decision"], r["candidate_key"], r["cited"])})
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+
+def resolve(entities: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """One row per entity: what it was offered and what came of it.
+
+    ``offered``: up to five identities of the same type and name (for generic names: that share a span), those that share a mention
+    span first, then by the distance of the nearest of all their earlier mentions, then the older one; an identity is named by its
+    first entity. ``n_candidates`` counts all of them. Outcomes: a shared span joins (several: they become one, see ``absorbed``); a
+    supported merge into an offered identity joins it; ``new`` with valid support keeps apart; otherwise a name with one
+    identity is reused, and one with several stays separate. ``identity`` is the identity right after the entity.
+
+    Decisions, one row per entity at most: corpus_id, entity_key, decision, candidate_key, supporting (array), allowed (array of refs
+    that may be cited). Entities without one count as doubtful.
+    """
+    keys = ["corpus_id", "entity_key"]
+    rows = entities.select(*keys, "type", "folded", "position", is_generic(F.col("name")).alias("generic"),
+                           F.transform("spans", lambda s: s["start_char"]).alias("starts"), F.transform("spans", lambda s: s["end_char"]).alias("ends"))
+    cited = (F.coalesce(F.size("supporting"), F.lit(0)) > 0) & (F.size(F.array_except("supporting", "allowed")) == 0)
+    if decisions is None:
+        none = F.lit(None).cast("string")
+        rows = rows.select("*", none.alias("decision"), none.alias("candidate_key"), F.lit(False).alias("cited"))
+    else:
+        rows = rows.join(decisions.select(*keys, "decision", "candidate_key", F.coalesce(cited, F.lit(False)).alias("cited")), keys, "left").fillna(False, ["cited"])
+    group = ["corpus_id", "type", "folded", "generic"]
+    placed = rows.repartition(*group).sortWithinPartitions(*group, "position", "entity_key")
+    return placed.mapInArrow(_judge_sorted, f"corpus_id {entities.schema['corpus_id'].dataType.simpleString()}, {_JUDGED}")
+
 
+def candidates(entities: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """The identities that ``resolve`` offers each entity, one row each; ``truncated`` where there were more than five."""
+    return offers(resolve(entities, decisions))
 
-def candidates(entities: DataFrame) -> DataFrame:
-    """Up to five earlier entities per entity: shared mention span first, then nearest, then latest.
 
-    Candidates share the type and a mention span or, unless generic, the folded name. A shared span means
-    an equal name, because mentions must spell the name; so the name group holds every candidate of a
-    non-generic entity, and generic ones are matched by span alone.
-    """
-    named = entities.filter(~is_generic(F.col("name")))
-    near, before = _earlier(["corpus_id", "type", "folded"])
-    by_name = named.select("corpus_id", "entity_key", "position", "spans", near.alias("near"), before.alias("earlier"))
-    spans = entities.select("corpus_id", "entity_key", "type", "position", "spans", F.explode("spans").alias("s")).select(
-        "corpus_id", "entity_key", "type", "position", "spans", "s.start_char", "s.end_char")
-    near_span, before_span = _earlier(["corpus_id", "type", "start_char", "end_char"])
-    by_span = spans.select("corpus_id", "entity_key", "position", "spans", near_span.alias("near"), before_span.alias("earlier"))
-    both = by_name.withColumn("_named", F.lit(True)).unionByName(by_span.withColumn("_named", F.lit(False)))
-    flat = both.select("corpus_id", "entity_key", "position", "spans", "earlier", "_named", F.explode("near").alias("c")).filter(
-        F.col("c.entity_key") != F.col("entity_key"))
-    shared = F.exists("spans", lambda a: F.exists("c.spans", lambda b: (a["start_char"] == b["start_char"]) & (a["end_char"] == b["end_char"])))
-    pairs = flat.groupBy("corpus_id", "entity_key", F.col("c.entity_key").alias("candidate_key")).agg(
-        F.max(shared).alias("shared"), F.max("earlier").alias("earlier"),
-        F.min(F.col("position") - F.col("c.position")).alias("distance"), F.max("c.position").alias("candidate_position"))
-    order = Window.partitionBy("corpus_id", "entity_key").orderBy(
-        F.desc("shared"), "distance", F.desc("candidate_position"), F.desc("candidate_key"))
-    return (pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP)
-            .withColumn("truncated", F.col("earlier") > TOP).drop("earlier", "candidate_position"))
+def offers(resolved: DataFrame) -> DataFrame:
+    return resolved.select("corpus_id", "entity_key", (F.col("n_candidates") > TOP).alias("truncated"), F.posexplode("offered").alias("rank", "o")).select(
+        "corpus_id", "entity_key", "o.candidate_key", "o.shared", "o.distance", (F.col("rank") + 1).alias("rank"), "truncated")
 
 
 def representative_contexts(items: DataFrame, limit: int = 3) -> DataFrame:
@@ -75,65 +171,51 @@ def representative_contexts(items: DataFrame, limit: int = 3) -> DataFrame:
     return ranked.withColumn("_pick", pick).filter("_pick").drop("_pick")
 
 
-def _span_keys(entities: DataFrame) -> DataFrame:
-    """(id, key): each entity under every span that it mentions."""
-    return entities.select(F.struct("corpus_id", "entity_key").alias("id"), F.explode("spans").alias("s"), "corpus_id", "type").select(
-        "id", F.concat_ws("|", F.lit("m"), "corpus_id", "type", "s.start_char", "s.end_char").alias("key"))
-
-
 def dependency_groups(entities: DataFrame) -> DataFrame:
-    """Entities whose name or mention lookups can meet: (corpus_id, entity_key, group_key)."""
-    ident, spans = F.struct("corpus_id", "entity_key"), _span_keys(entities)
-    names = entities.filter(~is_generic(F.col("name"))).select(
-        ident.alias("id"), F.concat_ws("|", F.lit("n"), "corpus_id", "type", "folded").alias("key"))
-    found = components(entities.select(ident.alias("id")), spans.unionByName(names))
-    return found.select("id.corpus_id", "id.entity_key", F.col("component.entity_key").alias("group_key"))
-
-
-def apply_decisions(entities: DataFrame, cands: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The outcome for every entity: which earlier entity it joins, if any, and why.
-
-    Decisions: corpus_id, entity_key, decision, candidate_key, supporting (array), allowed (array of refs that
-    may be cited). Rules: a shared span merges; a supported merge into a candidate merges; ``new`` with valid
-    support keeps apart; otherwise a name with one established identity is reused, and one with several
-    stays separate. An identity count above one can only start with a kept-apart entity, so a running flag
-    over the name group replaces the registry.
+    """Entities whose name or mention lookups can meet: (corpus_id, entity_key, group_key), the smallest key of each group.
+
+    A name of a corpus is a group by itself, a generic name's entity its own. Only groups that share a mention span with another one
+    enter the search for components; in validated tables spans spell their name, and none does but those of generic names.
     """
-    keys = ["corpus_id", "entity_key"]
-    per = cands.groupBy(*keys).agg(
-        F.min_by("candidate_key", F.when(F.col("shared"), F.col("rank"))).alias("shared_with"),
-        F.collect_set("candidate_key").alias("candidate_keys"))
-    rows = entities.select(*keys, "type", "folded", "name", "position").join(per, keys, "left").join(decisions, keys, "left")
-    offered = F.coalesce(F.size("candidate_keys"), F.lit(0)) > 0
-    cited = (F.coalesce(F.size("supporting"), F.lit(0)) > 0) & (F.size(F.array_except("supporting", "allowed")) == 0)
-    merges = offered & (F.col("decision") == "merge") & cited & F.array_contains("candidate_keys", F.col("candidate_key"))
-    apart = offered & F.col("shared_with").isNull() & (F.col("decision") == "new") & cited
-    rows = rows.withColumn("_merge", F.coalesce(merges, F.lit(False))).withColumn("_apart", F.coalesce(apart, F.lit(False)))
-    order = Window.partitionBy("corpus_id", "type", "folded").orderBy("position", "entity_key")
-    several = F.coalesce(F.max("_apart").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    rows = rows.withColumn("_previous", F.lag("entity_key").over(order)).withColumn("_several", several)
-    outcome = (F.when(F.col("shared_with").isNotNull(), "shared_span").when(F.col("_merge"), "merged")
-               .when(F.col("_apart"), "kept_apart")
-               .when(~is_generic(F.col("name")) & F.col("_previous").isNotNull() & ~F.col("_several"), "same_name_reused")
-               .when(offered, "ambiguous").otherwise("new"))
-    target = (F.when(outcome == "shared_span", F.col("shared_with")).when(outcome == "merged", F.col("candidate_key"))
-              .when(outcome == "same_name_reused", F.col("_previous")))
-    return rows.select(*keys, outcome.alias("outcome"), target.alias("joins"))
-
-
-def clusters(entities: DataFrame, joins: DataFrame) -> DataFrame:
-    """Components of accepted joins (corpus_id, entity_key, joins) and of shared mention spans: adds ``cluster`` to each entity key.
-
-    Every span that two entities share joins them, so an entity bridges all earlier identities whose spans it repeats. Spans are
-    memberships of their own, not pairs. Entities without a spans column are joined by ``joins`` alone.
+    own = F.when(is_generic(F.col("name")), F.col("entity_key")).otherwise("")
+    rows = stage(entities.select("corpus_id", "entity_key", F.struct("corpus_id", "type", "folded", own.alias("own")).alias("group"),
+                                 F.transform("spans", lambda s: F.struct("corpus_id", "type", s["start_char"].alias("a"), s["end_char"].alias("b"))).alias("keys")), "grouped")
+    keys = rows.select(F.col("group").alias("id"), F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("key")
+    bridges = stage(keys.join(shared, "key", "left_semi").distinct(), "bridges")
+    firsts = rows.groupBy(F.col("group").alias("id")).agg(F.min("entity_key").alias("group_key"), F.count("*").alias("n"))
+    if not bridges.isEmpty():
+        firsts = stage(firsts, "firsts")
+        joined = components(bridges.select("id").distinct(), bridges)
+        least = joined.join(firsts, "id").groupBy("component").agg(F.min("group_key").alias("_least"))
+        named = joined.join(least, "component").select("id", "_least")
+        firsts = firsts.join(named, "id", "left").select("id", F.coalesce("_least", "group_key").alias("group_key"), "n")
+    per_group = stage(firsts.withColumnRenamed("id", "group"), "groups")
+    return give_back(rows.select("corpus_id", "entity_key", "group"), per_group, "group").select("corpus_id", "entity_key", "group_key")
+
+
+def clusters(resolved: DataFrame) -> DataFrame:
+    """(corpus_id, entity_key, cluster): the identity of each entity at the end, named by its first entity.
+
+    The rows of ``resolve`` carry the identity right after each entity. Only identities that a later entity bridged are named anew,
+    and only they enter the search for components.
     """
+    ident = lambda c: F.struct("corpus_id", F.col(c)["position"].alias("position"), F.col(c)["entity_key"].alias("entity_key"))
+    bridges = stage(resolved.filter(F.size("absorbed") > 0).select("corpus_id", F.concat_ws("|", "corpus_id", "entity_key").alias("key"),
+                                                                     F.explode(F.concat("absorbed", F.array("identity"))).alias("i")).select(ident("i").alias("id"), "key"), "bridges")
+    own = resolved.select("corpus_id", "entity_key", ident("identity").alias("id"))
+    if bridges.isEmpty():
+        return own.select("corpus_id", "entity_key", F.col("id.entity_key").alias("cluster"))
+    found = components(bridges.select("id").distinct(), bridges)
+    return own.join(found, "id", "left").select("corpus_id", "entity_key", F.coalesce("component.entity_key", "id.entity_key").alias("cluster"))
+
+
+def _joined(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(corpus_id, entity_key, cluster) of ids joined by edges (corpus_id, entity_key, joins)."""
     ident = F.struct("corpus_id", "entity_key")
-    edge = joins.filter(F.col("joins").isNotNull()).withColumn("key", F.concat_ws("|", "corpus_id", "entity_key", "joins"))
-    members = edge.select(ident.alias("id"), "key").unionByName(
-        edge.select(F.struct("corpus_id", F.col("joins").alias("entity_key")).alias("id"), "key"))
-    if "spans" in entities.columns:
-        members = members.unionByName(_span_keys(entities))
-    found = components(entities.select(ident.alias("id")), members)
+    edge = edges.withColumn("key", F.concat_ws("|", "corpus_id", "entity_key", "joins"))
+    members = edge.select(ident.alias("id"), "key").unionByName(edge.select(F.struct("corpus_id", F.col("joins").alias("entity_key")).alias("id"), "key"))
+    found = components(ids.select(ident.alias("id")), members)
     return found.select("id.corpus_id", "id.entity_key", F.col("component.entity_key").alias("cluster"))
 
 
@@ -156,7 +238,7 @@ def merge_identities(entities: DataFrame, clustered: DataFrame, links: DataFrame
     outcome = F.when(F.col("source_cluster") == F.col("target_cluster"), "same").when(F.coalesce(fit, F.lit(False)), "merged").otherwise("ambiguous")
     judged = rows.withColumn("outcome", outcome)
     ids = clustered.select("corpus_id", F.col("cluster").alias("entity_key")).distinct()
-    merged = clusters(ids, judged.filter("outcome = 'merged'").select(
+    merged = _joined(ids, judged.filter("outcome = 'merged'").select(
         "corpus_id", F.col("source_cluster").alias("entity_key"), F.col("target_cluster").alias("joins")))
     final = clustered.join(merged.select("corpus_id", F.col("entity_key").alias("cluster"), F.col("cluster").alias("identity")), ["corpus_id", "cluster"])
     return final.select("corpus_id", "entity_key", "identity"), judged.select("corpus_id", "link_key", "outcome")

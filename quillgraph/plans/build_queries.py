@@ -90,23 +90,29 @@ vk AS (SELECT l.*, s.type AS st, s.name AS sn, s.start_char AS sa, s.end_char AS
 # NFKC folding of the names in these texts is lower case with the sharp s written out
 ENTITIES = VALID + """,
 en AS (SELECT corpus_id, unit_id, local_id, unit_id || '|' || local_id AS entity_key, type, name, replace(lower(name),'ß','ss') AS folded, start_char AS position, end_char, section_order, chunk_id FROM ok),
-g AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, type, folded ORDER BY position, entity_key) AS rn FROM en),
-cd0 AS (SELECT a.corpus_id, a.entity_key, b.entity_key AS candidate_key, a.position = b.position AND a.end_char = b.end_char AS shared, a.position - b.position AS distance, b.position AS cp, a.rn - 1 > 5 AS truncated
-   FROM g a JOIN g b ON a.corpus_id=b.corpus_id AND a.type=b.type AND a.folded=b.folded AND b.rn BETWEEN a.rn-5 AND a.rn-1),
-cd AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, entity_key ORDER BY shared DESC, distance, cp DESC, candidate_key DESC) AS rank FROM cd0 QUALIFY rank <= 5)"""
-DECIDE = ENTITIES + """,
-oc0 AS (SELECT g.*, s.candidate_key AS shared_with, r1.candidate_key AS best FROM g
-   LEFT JOIN (SELECT corpus_id, entity_key, arg_min(candidate_key, rank) AS candidate_key FROM cd WHERE shared GROUP BY 1,2) s USING (corpus_id, entity_key)
-   LEFT JOIN (SELECT * FROM cd WHERE rank = 1) r1 USING (corpus_id, entity_key)),
-oc1 AS (SELECT *, best IS NOT NULL AND shared_with IS NULL AND position%5 = 1 AS apart, best IS NOT NULL AND position%5 = 0 AS merge_ok,
-   lag(entity_key) OVER (PARTITION BY corpus_id, type, folded ORDER BY position, entity_key) AS previous FROM oc0),
-oc2 AS (SELECT *, coalesce(max(apart::INT) OVER (PARTITION BY corpus_id, type, folded ORDER BY position, entity_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS several FROM oc1),
-oc AS (SELECT *, CASE WHEN shared_with IS NOT NULL THEN 'shared_span' WHEN merge_ok THEN 'merged' WHEN apart THEN 'kept_apart'
-   WHEN previous IS NOT NULL AND NOT several THEN 'same_name_reused' WHEN best IS NOT NULL THEN 'ambiguous' ELSE 'new' END AS outcome FROM oc2),
-jn AS (SELECT *, CASE outcome WHEN 'shared_span' THEN shared_with WHEN 'merged' THEN best WHEN 'same_name_reused' THEN previous END AS joins FROM oc),
-root AS (SELECT corpus_id, entity_key, entity_key AS root FROM jn WHERE joins IS NULL
-   UNION ALL SELECT j.corpus_id, j.entity_key, r.root FROM jn j JOIN root r ON r.corpus_id=j.corpus_id AND r.entity_key=j.joins),
-cl AS (SELECT corpus_id, entity_key, min(entity_key) OVER (PARTITION BY corpus_id, root) AS cluster FROM root),
+g AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, type, folded ORDER BY position, entity_key) AS rn, position % 5 AS p FROM en)"""
+
+
+def _judged_sql(decided: bool) -> str:
+    """The entities of a name one after the other, with the list of its identities (first entity, spans) as the state."""
+    return f""",
+st AS (SELECT corpus_id, type, folded, 0 AS k, CAST([] AS STRUCT(key VARCHAR, s STRUCT(a BIGINT, b BIGINT)[])[]) AS ids, NULL::VARCHAR AS entity_key, NULL::VARCHAR AS outcome, NULL::VARCHAR AS joins,
+    CAST([] AS STRUCT(apart INT, d BIGINT, i BIGINT, key VARCHAR)[]) AS ranked FROM (SELECT DISTINCT corpus_id, type, folded FROM g)
+  UNION ALL SELECT corpus_id, type, folded, k, CASE WHEN joins IS NULL THEN list_append(ids, struct_pack(key := entity_key, s := [span]))
+      ELSE list_transform(ids, lambda x: struct_pack(key := x.key, s := CASE WHEN x.key = joins THEN list_append(x.s, span) ELSE x.s END)) END, entity_key, outcome, joins, ranked FROM (
+   SELECT *, CASE outcome WHEN 'shared_span' THEN ranked[1].key WHEN 'merged' THEN wanted WHEN 'same_name_reused' THEN ranked[1].key END AS joins FROM (
+    SELECT *, CASE WHEN n > 0 AND ranked[1].apart = 0 THEN 'shared_span' WHEN n = 0 THEN 'new' WHEN merging AND list_contains(list_transform(ranked[1:5], lambda x: x.key), wanted) THEN 'merged'
+       WHEN apart THEN 'kept_apart' WHEN n = 1 THEN 'same_name_reused' ELSE 'ambiguous' END AS outcome FROM (
+     SELECT st.corpus_id, st.type, st.folded, st.k + 1 AS k, st.ids, len(st.ids) AS n, g.entity_key, struct_pack(a := g.position, b := g.end_char) AS span,
+        {'g.p = 0' if decided else 'false'} AS merging, {'g.p = 1' if decided else 'false'} AS apart, CASE WHEN len(st.ids) > 0 THEN st.ids[1].key END AS wanted,
+        list_sort(list_transform(st.ids, lambda x, i: struct_pack(apart := CASE WHEN list_contains(x.s, struct_pack(a := g.position, b := g.end_char)) THEN 0 ELSE 1 END,
+          d := list_min(list_transform(x.s, lambda y: abs(y.a - g.position))), i := i, key := x.key))) AS ranked
+     FROM st JOIN g ON g.corpus_id = st.corpus_id AND g.type = st.type AND g.folded = st.folded AND g.rn = st.k + 1)))),
+jn AS (SELECT * FROM st WHERE k > 0),
+cl AS (SELECT corpus_id, entity_key, coalesce(joins, entity_key) AS cluster FROM jn)"""
+
+
+DECIDE = ENTITIES + _judged_sql(True) + """,
 hd AS (SELECT cl.*, en.type, first_value(en.name) OVER (PARTITION BY cl.corpus_id, cluster ORDER BY en.position, en.entity_key) AS head FROM cl JOIN en USING (corpus_id, entity_key)),
 lo AS (SELECT k.corpus_id, k.unit_id || '|' || k.pos AS link_key, s.cluster AS sc, t.cluster AS tc,
    CASE WHEN s.cluster = t.cluster THEN 'same' WHEN k.pos%6 = 0 THEN 'merged' ELSE 'ambiguous' END AS outcome FROM vk k
@@ -316,8 +322,19 @@ def k12(spark, sf):
     return X.mention_contexts(mentions, b.chunks).select("corpus_id", "entity_key", "context_start", "context_end", F.md5("context").alias("context_md5"))
 
 
-@register("k13_blocking_candidates", sql(ENTITIES, "SELECT corpus_id, entity_key, candidate_key, shared, distance, rank, truncated FROM cd"))
+OFFERED = """SELECT corpus_id, entity_key, r.key AS candidate_key, r.apart = 0 AS shared, r.d AS distance, rank, truncated FROM
+ (SELECT corpus_id, entity_key, unnest(ranked[1:5]) AS r, unnest(range(1, least(len(ranked), 5) + 1)) AS rank, len(ranked) > 5 AS truncated FROM jn)"""
+
+
+@register("k13_blocking_candidates", sql(ENTITIES + _judged_sql(True), OFFERED))
 def k13(spark, sf):
+    """Names get homonyms by planted decisions; those with more than five identities are truncated."""
+    return R.offers(_judged(spark, sf)[2]).select("corpus_id", "entity_key", "candidate_key", "shared", "distance", "rank", "truncated")
+
+
+@register("k13_undecided_candidates", sql(ENTITIES + _judged_sql(False), OFFERED))
+def k13_undecided(spark, sf):
+    """What is offered before anything is decided: one identity a name, however many mentions."""
     return R.candidates(Build(spark, sf).table).select("corpus_id", "entity_key", "candidate_key", "shared", "distance", "rank", "truncated")
 
 
@@ -339,48 +356,42 @@ def k15(spark, sf):
     return R.dependency_groups(Build(spark, sf).table)
 
 
-@register("k15_shared_line_components", """WITH RECURSIVE m AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS k FROM documents UNION SELECT doc_id, string_split(text, chr(10))[-1] FROM documents),
+@register("k15_shared_line_components", """WITH RECURSIVE m AS (SELECT DISTINCT doc_id AS id, unnest(string_split(text, chr(10))) AS k FROM documents),
  hub AS (SELECT id, min(id) OVER (PARTITION BY k) AS h FROM m), edge AS (SELECT id AS a, h AS b FROM hub WHERE id <> h UNION SELECT h, id FROM hub WHERE id <> h),
  reach AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM reach r JOIN edge e ON e.a = r.id AND r.c < e.b)
  SELECT id, min(c) AS component FROM reach GROUP BY 1""")
 def k15_lines(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("l"))
-    members = docs.select(F.col("doc_id").alias("id"), F.explode(F.array(F.col("l")[0], F.element_at("l", -1))).alias("key"))
-    return components(docs.select(F.col("doc_id").alias("id")), members)
-
-
-def _decisions(cands):
-    """Planted decisions: by position, a supported merge, a supported or unsupported split, doubt, a bad candidate."""
-    best = cands.groupBy("corpus_id", "entity_key").agg(F.min_by("candidate_key", "rank").alias("best"), F.collect_set("candidate_key").alias("allowed"))
-    return best
+    """Documents that share any line, however far apart."""
+    docs = table(spark, sf, "documents")
+    return components(docs.select(F.col("doc_id").alias("id")), docs.select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("key")))
 
 
 def _judged(spark, sf):
+    """Planted decisions, by position: a supported merge into the name's first identity, a supported or an unsupported split, doubt,
+    a merge into nobody."""
+    from pyspark.sql import Window
     b = Build(spark, sf)
     e = b.table
-    cands = stage(R.candidates(e), "candidates")
-    d = _decisions(cands).join(e.select("corpus_id", "entity_key", "position"), ["corpus_id", "entity_key"])
-    p = F.col("position") % 5
-    none = F.array().cast("array<string>")
-    decisions = d.select("corpus_id", "entity_key", F.when(p.isin(0, 3), "merge").when(p.isin(1, 4), "new").otherwise("ambiguous").alias("decision"),
-                         F.when(p == 0, F.col("best")).when(p == 3, F.lit("nobody")).alias("candidate_key"),
-                         F.when(p.isin(0, 1, 3), F.array("best")).otherwise(none).alias("supporting"), "allowed")
-    return b, e, stage(R.apply_decisions(e, cands, decisions), "outcomes")
+    first = F.first("entity_key").over(Window.partitionBy("corpus_id", "type", "folded").orderBy("position", "entity_key"))
+    p, none = F.col("position") % 5, F.array().cast("array<string>")
+    decisions = e.select("corpus_id", "entity_key", F.when(p.isin(0, 3), "merge").when(p.isin(1, 4), "new").otherwise("ambiguous").alias("decision"),
+                         F.when(p == 0, first).when(p == 3, F.lit("nobody")).alias("candidate_key"),
+                         F.when(p.isin(0, 1, 3), F.array(first)).otherwise(none).alias("supporting"), F.array(first).alias("allowed"))
+    return b, e, stage(R.resolve(e, decisions), "outcomes")
 
 
 @register("k16_merge_decisions", sql(DECIDE, "SELECT corpus_id, entity_key, outcome, joins FROM jn"))
 def k16(spark, sf):
-    return _judged(spark, sf)[2]
+    return _judged(spark, sf)[2].select("corpus_id", "entity_key", "outcome", "joins")
 
 
 @register("k16_clusters", sql(DECIDE, "SELECT corpus_id, entity_key, cluster FROM cl"))
 def k16_clusters(spark, sf):
-    _, e, joins = _judged(spark, sf)
-    return R.clusters(e, joins)
+    return R.clusters(_judged(spark, sf)[2])
 
 
 def _identities(spark, sf):
-    b, e, joins = _judged(spark, sf)
+    b, e, resolved = _judged(spark, sf)
     links = b.valid()[2].filter("valid").select(
         "corpus_id", F.concat_ws("|", "unit_id", "pos").alias("link_key"), F.concat_ws("|", "unit_id", "source").alias("source_key"),
         F.concat_ws("|", "unit_id", "target").alias("target_key"), "pos",
@@ -390,7 +401,7 @@ def _identities(spark, sf):
                              F.when(F.col("pos") % 2 == 0, F.col("target_key")).otherwise(F.col("source_key")).alias("candidate_key"),
                              F.when(F.col("pos") % 3 == 0, F.array(F.col("evidence_refs")[0], F.col("source_key"))).otherwise(
                                  F.array(F.col("evidence_refs")[0], F.lit("foreign"))).alias("supporting"))
-    return R.merge_identities(e, stage(R.clusters(e, joins), "clusters"), stage(links.drop("pos"), "links"), decisions)
+    return R.merge_identities(e, stage(R.clusters(resolved), "clusters"), stage(links.drop("pos"), "links"), decisions)
 
 
 @register("k17_identity_links", sql(DECIDE, "SELECT corpus_id, link_key, outcome FROM lo"))

@@ -80,11 +80,10 @@ def entities(spark, rows):
 
 def test_homonyms_kept_apart_and_doubt_reused(spark):
     e = entities(spark, [("a", "王五", 0), ("b", "王五", 50), ("c", "王五", 90), ("d", "王五", 120), ("s", "王五", 0), ("g", "先生", 10), ("h", "先生", 60)])
-    cands = R.candidates(e)
     schema = "corpus_id bigint, entity_key string, decision string, candidate_key string, supporting array<string>, allowed array<string>"
     decisions = spark.createDataFrame([(1, "b", "ambiguous", None, [], ["r"]), (1, "c", "new", None, ["r"], ["r"]), (1, "d", "merge", "nobody", ["r"], ["r"])], schema)
-    got = {r.entity_key: (r.outcome, r.joins) for r in R.apply_decisions(e, cands, decisions).collect()}
-    assert got["s"] == ("shared_span", "a") and got["b"] == ("same_name_reused", "s")
+    got = {r.entity_key: (r.outcome, r.joins) for r in R.resolve(e, decisions).collect()}
+    assert got["s"] == ("shared_span", "a") and got["b"] == ("same_name_reused", "a")
     assert got["c"] == ("kept_apart", None) and got["d"] == ("ambiguous", None)
     assert got["g"] == ("new", None) and got["h"] == ("new", None)  # generic names never match by name
 
@@ -102,8 +101,36 @@ def test_components_with_one_huge_key_and_a_long_chain(spark):
     for i, k in members:
         a, b = root(i), root(first.setdefault(k, i))
         parent[max(a, b)] = min(a, b)
-    got = {r.id: r.component for r in components(spark.range(n), spark.createDataFrame(members, "id bigint, key string")).collect()}
-    assert got == {i: root(i) for i in range(n)}
+    for hot_rows in (100_000, 50):
+        got = {r.id: r.component for r in components(spark.range(n), spark.createDataFrame(members, "id bigint, key string"), hot_rows).collect()}
+        assert got == {i: root(i) for i in range(n)}
+
+
+def test_components_of_random_memberships(spark):
+    """Sparse to dense, ids in no order, a node with a third of all memberships; nothing shared; nothing at all."""
+    rng = random.Random(4)
+    for n, links in ((40, 30), (60, 90), (300, 420), (5, 0)):
+        members = [(rng.randrange(n), rng.randrange(n)) for _ in range(links)] + [(7, k) for k in range(links // 2) if n > 7]
+        groups = [{i} for i in range(n)]
+        for key in {k for _, k in members}:
+            own = {i for i, k in members if k == key}
+            hit = [g for g in groups if g & own]
+            groups = [g for g in groups if not g & own] + [set().union(own, *hit)]
+        want = {i: min(g) for g in groups for i in g}
+        table = spark.createDataFrame(members, "id bigint, key bigint")
+        for hot_rows in (100_000, 3):
+            assert {r.id: r.component for r in components(spark.range(n), table, hot_rows).collect()} == want
+
+
+def test_dependency_groups_follow_names_and_shared_spans(spark):
+    schema = "corpus_id bigint, entity_key string, type string, name string, folded string, position bigint, spans array<struct<start_char:bigint,end_char:bigint>>"
+    rows = [(1, "c", "person", "王五", "王五", 0, [(0, 2)]), (1, "b", "person", "王五", "王五", 9, [(9, 11)]), (1, "a", "place", "王五", "王五", 9, [(9, 11)]), (2, "c", "person", "王五", "王五", 0, [(0, 2)]),
+            (1, "g1", "person", "先生", "先生", 20, [(20, 22)]), (1, "g2", "person", "先生", "先生", 20, [(20, 22), (40, 42)]), (1, "g3", "person", "先生", "先生", 40, [(40, 42)]), (1, "g0", "person", "先生", "先生", 60, [(60, 62)])]
+    group = lambda extra: {(r.corpus_id, r.entity_key): r.group_key for r in R.dependency_groups(spark.createDataFrame(rows + extra, schema)).collect()}
+    alone = {(1, "c"): "b", (1, "b"): "b", (1, "a"): "a", (2, "c"): "c", (1, "g1"): "g1", (1, "g2"): "g1", (1, "g3"): "g1", (1, "g0"): "g0"}
+    assert group([]) == alone
+    bridged = group([(1, "x", "person", "李四", "李四", 0, [(0, 2), (60, 62)])])  # one span under two names joins them
+    assert bridged == alone | {(1, "x"): "b", (1, "g0"): "b"}
 
 
 def graph(spark, edges, kinds=None, groups=None):
@@ -215,8 +242,101 @@ def test_a_mention_bridges_the_identities_whose_spans_it_repeats(spark):
     e = spark.createDataFrame(rows, schema)
     apart = spark.createDataFrame([(1, "b", "new", None, ["r"], ["r"]), (1, "y", "new", None, ["r"], ["r"])],
                                   "corpus_id bigint, entity_key string, decision string, candidate_key string, supporting array<string>, allowed array<string>")
-    joins = R.apply_decisions(e, R.candidates(e), apart)
-    assert {r.entity_key: r.cluster for r in R.clusters(e, joins).collect()} == {"a": "a", "b": "a", "z": "a", "y": "y"}
+    assert {r.entity_key: r.cluster for r in R.clusters(R.resolve(e, apart)).collect()} == {"a": "a", "b": "a", "z": "a", "y": "y"}
+
+
+def judged_rule(rows, decisions):
+    """Each entity against the components of all entities before it: edges are shared spans and the joins decided so far."""
+    edges, out = [], {}
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    for n, (key, name, position, spans) in enumerate(order):
+        before, group = order[:n], {}
+        parent = {r[0]: r[0] for r in before}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+        for a, b in edges:
+            parent[root(a)] = root(b)
+        for r in before:
+            group.setdefault(root(r[0]), []).append(r)
+        found = []
+        for members in group.values():
+            shared = any(set(r[3]) & set(spans) for r in members)
+            if shared or (name not in ("先生",) and members[0][1] == name):
+                found.append((not shared, min(abs(a - position) for r in members for a, _ in r[3]), members[0][2], members[0][0], shared))
+        found.sort()
+        offered = found[:5]
+        decision, wanted, cited = decisions.get(key, (None, None, False))
+        if any(f[4] for f in found):
+            joins = min((f[2], f[3]) for f in found if f[4])[1]
+            outcome, targets = "shared_span", [f[3] for f in found if f[4]]
+        else:
+            names, joins = [f[3] for f in offered], None
+            outcome = ("new" if not found else "merged" if decision == "merge" and cited and wanted in names else "kept_apart" if decision == "new" and cited
+                       else "same_name_reused" if len(found) == 1 else "ambiguous")
+            joins = wanted if outcome == "merged" else names[0] if outcome == "same_name_reused" else None
+            targets = [joins] if joins else []
+        edges += [(key, t) for t in targets]
+        out[key] = (outcome, joins, len(found), [(f[3], f[4], f[1]) for f in offered])
+    parent = {r[0]: r[0] for r in order}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    place = {r[0]: i for i, r in enumerate(order)}
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)), key=place.get)
+        parent[y] = x
+    return out, {k: top(k) for k in parent}
+
+
+def test_resolution_follows_the_rule_one_entity_at_a_time(spark):
+    """Homonyms by the dozen, entities of several mentions that reach ahead, shared spans, bridges, generic names, all decisions."""
+    rng = random.Random(17)
+    schema = "corpus_id bigint, entity_key string, type string, name string, folded string, position bigint, spans array<struct<start_char:bigint,end_char:bigint,section_order:bigint,chunk_id:string,quote:string>>"
+    books, rows, said = {}, [], []
+    for book in range(12):
+        own, decisions, names = [], {}, ["王五", "李四", "先生"]
+        for n in range(90):
+            name = rng.choice(names[:1] * 6 + names)
+            at = rng.randrange(200) * 3 + names.index(name)  # a span spells one name
+            old = [s for r in own if r[1] == name for s in r[3] if s[0] >= at]
+            spans = {(at, at + 2)} | {(at + d, at + d + 2) for d in rng.sample(range(3, 90, 3), rng.choice([0, 0, 1, 2]))} | set(rng.sample(old, min(len(old), rng.choice([0, 0, 0, 1, 2]))))
+            own.append((f"{rng.randrange(10**6):06}-{n}", name, at, sorted(spans)))
+            if rng.random() < 0.8:
+                decisions[own[-1][0]] = (rng.choice(["merge", "merge", "new", "new", "new", "ambiguous"]), None, rng.random() < 0.8)
+        for key, (d, _, c) in decisions.items():
+            decisions[key] = (d, rng.choice([r[0] for r in own]), c)
+        undecided = judged_rule(own, decisions)[0]
+        for key in decisions:  # half of the merges name something that was on offer at first
+            if undecided[key][3] and rng.random() < 0.5:
+                decisions[key] = (decisions[key][0], rng.choice(undecided[key][3])[0], decisions[key][2])
+        books[book] = judged_rule(own, decisions)
+        rows += [(book, k, "person", n, n, p, [(a, b, 0, "k0", n) for a, b in s]) for k, n, p, s in own]
+        said += [(book, k, d, w, ["r"] if c else ["other"], ["r"]) for k, (d, w, c) in decisions.items()]
+    e = spark.createDataFrame(rows, schema).repartition(5)
+    resolved = R.resolve(e, spark.createDataFrame(said, "corpus_id bigint, entity_key string, decision string, candidate_key string, supporting array<string>, allowed array<string>")).cache()
+    got = resolved.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.outcome, r.joins, r.n_candidates, [tuple(o) for o in r.offered]) == books[r.corpus_id][0][r.entity_key]
+    assert {(r.corpus_id, r.entity_key): r.cluster for r in R.clusters(resolved).collect()} == {(b, k): c for b, (_, own) in books.items() for k, c in own.items()}
+    assert sum(r.n_candidates > 5 for r in got) > 100 and sum(bool(r.absorbed) for r in got) > 20 and {r.outcome for r in got} == {"new", "shared_span", "merged", "kept_apart", "same_name_reused", "ambiguous"}
+    offered = R.offers(resolved)
+    assert offered.filter("truncated").select("corpus_id", "entity_key").distinct().count() == sum(r.n_candidates > 5 for r in got) and offered.filter("rank > 5").count() == 0
+
+
+def test_many_mentions_of_one_identity_hide_no_homonym(spark):
+    """Six mentions of one homonym lie between an entity and another homonym; it is still offered and can be merged into."""
+    e = entities(spark, [("far", "王五", 0), ("near", "王五", 10)] + [(f"n{i}", "王五", 20 + i * 10) for i in range(8)] + [("last", "王五", 500)])
+    merge = [(1, f"n{i}", "merge", "near", ["r"], ["r"]) for i in range(8)]
+    decisions = spark.createDataFrame([(1, "near", "new", None, ["r"], ["r"]), (1, "last", "merge", "far", ["r"], ["r"])] + merge,
+                                      "corpus_id bigint, entity_key string, decision string, candidate_key string, supporting array<string>, allowed array<string>")
+    last = R.resolve(e, decisions).filter("entity_key = 'last'").first()
+    assert (last.outcome, last.joins, last.n_candidates) == ("merged", "far", 2) and [tuple(o) for o in last.offered] == [("near", False, 410), ("far", False, 500)]
 
 
 def test_a_link_decision_must_name_its_target(spark):
