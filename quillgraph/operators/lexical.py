@@ -7,13 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import collapse, fold, occurrences
+from quillgraph.functions.runtime import stage
+from quillgraph.functions.text import SPACE, collapse, fold, occurrences
 
 # BM25 parameters, boost weights, candidate and page bounds.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PHRASE_BOOST, TITLE_BOOST = 5.0, 2.0
 CANDIDATES = 30
 MAX_K = 20
+HOT_RUN, SALTS = 100_000, 64
+SCANNED_TERMS, BROADCAST_TERMS = 1_000, 100_000
 WORD = r"[\p{L}\p{N}]{2,}"
 PAIR = r"(?=([\x{3400}-\x{9fff}A-Za-z0-9]{2}))"  # zero-width, so overlapping pairs are all found
 
@@ -101,7 +104,7 @@ def build_index(passages: DataFrame, words: Words = regex_words, wanted: DataFra
 
     The vocabulary always covers every token: the mean idf depends on all of them.
     """
-    toks = tokenized(passages, words)
+    toks = stage(tokenized(passages, words), "tokens")
     rows = toks.select("corpus_id", "passage_id", "section_order", "start_char", "doc_length", F.explode("tokens").alias("token"))
     if wanted is not None:
         rows = rows.join(wanted.select("corpus_id", "token").distinct(), ["corpus_id", "token"], "left_semi")
@@ -123,27 +126,119 @@ def bm25(queries: DataFrame, index: Index, words: Words = regex_words) -> DataFr
             .groupBy("query_id", "corpus_id", "passage_id", "section_order", "start_char").agg(F.sum(part).alias("score")))
 
 
-def boosts(queries: DataFrame, passages: DataFrame) -> DataFrame:
+def runs_of(passages: DataFrame) -> DataFrame:
+    """One row per blank-free run of a passage: in the text (kind 0), in the title (1), or where the two touch (2)."""
+    texts = passages.select("corpus_id", "passage_id", "section_order", "start_char",
+                            fold(F.col("text")).alias("_text"), fold(F.coalesce("section_title", F.lit(""))).alias("_title"))
+    split = lambda c: F.filter(F.split(c, SPACE + "+"), lambda r: r != "")
+    staged = texts.withColumn("_t", split(F.col("_text"))).withColumn("_s", split(F.col("_title")))
+    touching = ~F.col("_text").rlike(SPACE + "$") & ~F.col("_title").rlike("^" + SPACE) & (F.size("_t") > 0) & (F.size("_s") > 0)
+    kinds = lambda runs, kind: F.transform(runs, lambda r: F.struct(r.alias("run"), F.lit(kind).alias("kind")))
+    both = F.array(F.concat(F.element_at("_t", -1), F.element_at("_s", 1)))
+    tagged = F.concat(kinds(F.col("_t"), 0), kinds(F.col("_s"), 1), F.when(touching, kinds(both, 2)).otherwise(F.array().cast("array<struct<run:string,kind:int>>")))
+    return staged.select("corpus_id", "passage_id", "section_order", "start_char", F.inline(tagged))
+
+
+def _pieces(c: Column, lengths: tuple[int, ...]) -> Column:
+    """All pieces of the given lengths, overlapping ones too; linear in the run."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]))
+
+
+def runs_with_terms(terms: DataFrame, runs: DataFrame) -> DataFrame:
+    """terms(corpus_id, term), distinct and without blanks; runs(corpus_id, run, n), distinct -> (corpus_id, run, n, term, found):
+    the runs that hold a term, and how often.
+
+    A term of up to three characters is its own key, a longer one is met on that of its pieces of three which the fewest runs
+    hold; a term with a piece that no run holds is nowhere. Pieces nobody asks for are not joined, and ``contains`` has the last word.
+    """
+    own = F.when(F.length("term") <= 3, F.array("term")).otherwise(_pieces(F.col("term"), (3,)))
+    asked = terms.withColumn("pieces", own)
+    wanted = asked.select("corpus_id", F.explode("pieces").alias("piece")).distinct()
+    wanted = stage(wanted, "wanted")
+    lengths = tuple(r[0] for r in wanted.select(F.length("piece")).distinct().collect())  # one to three
+    held = stage(runs.select("corpus_id", "run", "n", F.explode(_pieces(F.col("run"), lengths or (1,))).alias("piece")).join(wanted, ["corpus_id", "piece"], "left_semi"), "held")
+    counts = held.groupBy("corpus_id", "piece").agg(F.count("*").alias("runs"))
+    rarest = (asked.select("corpus_id", "term", F.size("pieces").alias("of"), F.explode("pieces").alias("piece")).join(counts, ["corpus_id", "piece"])
+              .groupBy("corpus_id", "term", "of").agg(F.min(F.struct("runs", "piece")).alias("key"), F.count("*").alias("present"))
+              .filter("present = of").select("corpus_id", "term", F.col("key.piece").alias("piece")))
+    return (held.join(rarest, ["corpus_id", "piece"]).filter(F.contains("run", F.col("term")))
+            .select("corpus_id", "run", "n", "term", occurrences(F.col("run"), F.col("term")).alias("found")))
+
+
+def _spread(rows: DataFrame, weights: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join on (corpus_id, run) with a salt. Runs with a thousandth of all rows, so at most a thousand, are dealt by
+    passage to ``SALTS`` places; their weights go to each of them."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.filter((F.col("n") * 1_000 >= total) & (F.col("n") >= HOT_RUN)).select("corpus_id", "run", F.lit(SALTS).alias("_of")))
+    salted = lambda df: df.join(hot, ["corpus_id", "run"], "left").fillna(1, ["_of"])
+    left = salted(rows).withColumn("salt", F.pmod(F.xxhash64("passage_id"), F.col("_of")).cast("int")).drop("_of")
+    return left, salted(weights).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
+
+
+def boosts(queries: DataFrame, passages: DataFrame, scanned: int = SCANNED_TERMS) -> DataFrame:
     """Literal counts of the terms in text and title. A one-term query counts its term once more.
 
-    Only pairs with at least one contained term leave the join.
+    Only pairs with at least one contained term come out. Where a corpus is asked for few terms, reading its passages once for all of
+    them is cheapest: their queries are broadcast, if all together are few as well. The other corpora are searched through their runs.
     """
-    asked = queries.select("query_id", "corpus_id", terms_of(F.col("query")).alias("terms"))
+    asked = stage(queries.select("query_id", "corpus_id", terms_of(F.col("query")).alias("terms")).filter(F.col("terms").isNotNull()), "asked")
+    sizes = asked.groupBy("corpus_id").agg(F.sum(F.size("terms")).alias("n"))
+    counted = sizes.agg(F.coalesce(F.sum(F.when(F.col("n") <= scanned, F.col("n"))), F.lit(0)).alias("few"), F.count(F.when(F.col("n") > scanned, 1)).alias("large")).first()
+    if counted["few"] > BROADCAST_TERMS:
+        return indexed_boosts(asked, passages)
+    if not counted["large"]:
+        return scanned_boosts(asked, passages)
+    few = sizes.filter(F.col("n") <= scanned).select("corpus_id")
+    return scanned_boosts(asked.join(few, "corpus_id", "left_semi"), passages).unionByName(indexed_boosts(asked.join(few, "corpus_id", "left_anti"), passages))
+
+
+def scanned_boosts(asked: DataFrame, passages: DataFrame) -> DataFrame:
+    """asked(query_id, corpus_id, terms) of bounded size against every passage of its corpus, where the passages lie."""
     texts = passages.select("corpus_id", "passage_id", "section_order", "start_char",
                             fold(F.col("text")).alias("_text"), fold(F.coalesce("section_title", F.lit(""))).alias("_title"))
-    pairs = texts.join(asked, "corpus_id").filter(
-        F.exists("terms", lambda t: F.contains(F.concat("_text", "_title"), t)))
+    pairs = texts.join(F.broadcast(asked), "corpus_id").filter(F.exists("terms", lambda t: F.contains(F.concat("_text", "_title"), t)))
     zero = F.lit(0).cast("bigint")
     in_both = lambda t: occurrences(F.col("_text"), t) + occurrences(F.col("_title"), t)
     rest = F.when(F.size("terms") > 1, F.slice("terms", F.lit(2), F.size("terms") - 1)).otherwise(F.col("terms"))
-    score = (in_both(F.col("terms")[0]) * PHRASE_BOOST
-             + F.aggregate(rest, zero, lambda a, t: a + in_both(t))
+    score = (in_both(F.col("terms")[0]) * PHRASE_BOOST + F.aggregate(rest, zero, lambda a, t: a + in_both(t))
              + F.aggregate("terms", zero, lambda a, t: a + occurrences(F.col("_title"), t)) * TITLE_BOOST)
     return pairs.select("query_id", "corpus_id", "passage_id", "section_order", "start_char", score.alias("score"))
 
 
+def indexed_boosts(asked: DataFrame, passages: DataFrame) -> DataFrame:
+    """The same pairs for any number of terms, without meeting others: a term without blanks lies inside a run without blanks, so
+    terms are looked for in the distinct runs of a corpus, once each, and runs lead to passages. A phrase lies where each of its
+    words does; pairs that hold its rarest word are compared with the text.
+    """
+    asked = stage(asked, "asked")
+    searched = passages.join(asked.select("corpus_id").distinct(), "corpus_id", "left_semi")
+    rows = stage(runs_of(searched), "runs")
+    words = asked.select("query_id", "corpus_id", F.size("terms").alias("of"), F.explode(F.filter("terms", lambda t: ~F.contains(t, F.lit(" ")))).alias("term"))
+    distinct = stage(rows.groupBy("corpus_id", "run").agg(F.count("*").alias("n")), "distinct-runs")
+    matched = stage(runs_with_terms(words.select("corpus_id", "term").distinct(), distinct), "matched")
+    frequency = matched.groupBy("corpus_id", "term").agg(F.sum("n").alias("n"))
+    rarest = (words.filter("of > 1").join(frequency, ["corpus_id", "term"], "left").groupBy("query_id")
+              .agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("rarest")))
+    alone = F.col("of") == 1
+    in_text, in_title = F.when(alone, PHRASE_BOOST + 1).otherwise(1.0), F.when(alone, PHRASE_BOOST + 1 + TITLE_BOOST).otherwise(1.0 + TITLE_BOOST)
+    weights = (matched.drop("n").join(words, ["corpus_id", "term"]).join(rarest, "query_id", "left").groupBy("corpus_id", "run", "query_id")
+               .agg(F.sum(F.col("found") * in_text).alias("text_weight"), F.sum(F.col("found") * in_title).alias("title_weight"),
+                    F.max(F.coalesce(F.col("term") == F.col("rarest"), F.lit(False))).alias("phrase")))
+    left, right = _spread(rows, stage(weights, "weights"), distinct)
+    keys = ["query_id", "corpus_id", "passage_id", "section_order", "start_char"]
+    part = F.when(F.col("kind") == 0, F.col("text_weight")).when(F.col("kind") == 1, F.col("title_weight")).otherwise(0.0)
+    pairs = left.join(right, ["corpus_id", "run", "salt"]).groupBy(*keys).agg(F.sum(part).alias("score"), F.max("phrase").alias("phrase"))
+    held = stage(pairs, "pairs")
+    whole = F.col("terms")[0]
+    phrased = (held.filter("phrase").join(searched.select("corpus_id", "passage_id", "text", "section_title"), ["corpus_id", "passage_id"])
+               .join(asked.select("query_id", "terms"), "query_id")
+               .withColumn("_text", fold(F.col("text"))).withColumn("_title", fold(F.coalesce("section_title", F.lit("")))).select(*keys, (F.col("score") + occurrences(F.col("_text"), whole) * PHRASE_BOOST + occurrences(F.col("_title"), whole) * (PHRASE_BOOST + TITLE_BOOST)).alias("score")))
+    return held.filter("not phrase").select(*keys, "score").unionByName(phrased)
+
+
 def lexical_scores(queries: DataFrame, passages: DataFrame, index: Index | None = None, words: Words = regex_words) -> DataFrame:
     """Candidates share a token with the query or contain one of its terms; everything else scores nothing."""
+    passages = stage(passages.select("corpus_id", "passage_id", "section_order", "start_char", "section_title", "text"), "passages")
     index = index or build_index(passages, words, query_tokens(queries, words))
     keys = ["query_id", "corpus_id", "passage_id", "section_order", "start_char"]
     return (bm25(queries, index, words).unionByName(boosts(queries, passages))

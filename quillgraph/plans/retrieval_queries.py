@@ -119,6 +119,12 @@ def r05(spark, sf):
     return lexical.boosts(library_queries(spark, sf), library(spark, sf)).select("query_id", "passage_id", "score")
 
 
+@register("r05_boosts_through_runs", sql(SCORES, "SELECT query_id, passage_id, CAST(score AS DOUBLE) AS score FROM bo"))
+def r05_runs(spark, sf):
+    """The way of large batches, whatever the size of this one."""
+    return lexical.boosts(library_queries(spark, sf), library(spark, sf), scanned=0).select("query_id", "passage_id", "score")
+
+
 def _scoped(spark, sf):
     return lexical.section_scope(library_queries(spark, sf), library_sections(spark, sf))
 
@@ -152,7 +158,7 @@ VEC = """vl AS (SELECT d.source AS corpus_id, e.vec_id AS passage_id, e.vec_id//
 unit AS (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x*x))) AS norm FROM vl),
 uv AS (SELECT * EXCLUDE (embedding, norm), list_transform(embedding, lambda x: x/norm) AS u FROM unit)"""
 VQ = """, vq AS (SELECT corpus_id, row_number() OVER (ORDER BY corpus_id) AS rn, arg_min(passage_id, passage_id) AS query_id, arg_min(u, passage_id) AS vector,
-   arg_min(array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '),1,3),' '), passage_id) AS query, 8 AS k FROM uv GROUP BY 1)"""
+   arg_min(text, passage_id) AS query, 8 AS k FROM uv GROUP BY 1)"""
 
 
 def vector_library(spark, sf):
@@ -165,13 +171,12 @@ def vector_library(spark, sf):
 
 
 def vector_queries(spark, sf):
-    """One query per corpus: the text start and the vector of its first passage."""
+    """One query per corpus: the whole text and the vector of its first passage."""
     lib = dense.normalize_vectors(vector_library(spark, sf))
-    start = F.substring_index(F.regexp_replace("text", "\n", " "), " ", 3)
     null = F.lit(None).cast("bigint")
     return lib.groupBy("corpus_id").agg(
         F.min("passage_id").alias("query_id"), F.min_by("embedding", "passage_id").alias("vector"),
-        F.min_by(start, F.col("passage_id")).alias("query")).select(
+        F.min_by("text", "passage_id").alias("query")).select(
         "query_id", "corpus_id", "query", "vector", F.lit(8).cast("bigint").alias("k"), null.alias("scope_from"), null.alias("scope_to"),
         F.lit(None).cast("string").alias("scope_error"))
 
