@@ -4,6 +4,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +27,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, label)[0]
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small_or_joined(df: DataFrame, label: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written copy of the rows, marked for broadcast only if there are at most ``most`` of them; beyond that joins are shuffled."""
+    written = stage(df, label)
+    return F.broadcast(written) if written.limit(most + 1).count() <= most else written
+
+
 def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target

@@ -5,6 +5,7 @@ Everything here stays in the JVM. Offsets are code points, half open, zero based
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,12 @@ LINE_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 LINE_PATTERN = rf"(?s)[^{LINE_BREAKS}]*+(?:\r\n|[{LINE_BREAKS}])|[^{LINE_BREAKS}]++"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it inside a lambda: a column that only a lambda reads
+    is otherwise computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(col: Column) -> Column:
     """Runs of whitespace become one blank; ends are trimmed."""
     return F.trim(F.regexp_replace(col, SPACE + "+", " "))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.runtime import stage
+from quillgraph.functions.runtime import small_or_joined, stage
 from quillgraph.functions.text import SPACE, collapse, fold, occurrences
 
 # BM25 parameters, boost weights, candidate and page bounds.
@@ -102,12 +102,14 @@ def query_tokens(queries: DataFrame, words: Words = regex_words) -> DataFrame:
 def build_index(passages: DataFrame, words: Words = regex_words, wanted: DataFrame | None = None) -> Index:
     """The whole index, or with ``wanted`` (corpus_id, token) only the postings a query batch can touch.
 
-    The vocabulary always covers every token: the mean idf depends on all of them.
+    The vocabulary always covers every token: the mean idf depends on all of them. Passages are dealt before their tokens are
+    listed, so that counting the tokens of a passage, and summing its scores later, moves nothing.
     """
     toks = stage(tokenized(passages, words), "tokens")
-    rows = toks.select("corpus_id", "passage_id", "section_order", "start_char", "doc_length", F.explode("tokens").alias("token"))
+    placed = toks.repartition("corpus_id", "passage_id")
+    rows = placed.select("corpus_id", "passage_id", "section_order", "start_char", "doc_length", F.explode("tokens").alias("token"))
     if wanted is not None:
-        rows = rows.join(wanted.select("corpus_id", "token").distinct(), ["corpus_id", "token"], "left_semi")
+        rows = rows.join(small_or_joined(wanted.select("corpus_id", "token").distinct(), "wanted"), ["corpus_id", "token"], "left_semi")
     postings = (rows.groupBy("corpus_id", "passage_id", "section_order", "start_char", "doc_length", "token")
                 .agg(F.count("*").alias("tf")))
     return Index(postings, vocabulary_of(toks))
@@ -119,7 +121,7 @@ def bm25(queries: DataFrame, index: Index, words: Words = regex_words) -> DataFr
     The query side meets the vocabulary first, so idf travels with the few query tokens and the
     postings are joined once; the join is map-side whenever the query batch is small.
     """
-    weighted = query_tokens(queries, words).join(index.vocabulary, ["corpus_id", "token"])
+    weighted = small_or_joined(query_tokens(queries, words).join(index.vocabulary, ["corpus_id", "token"]), "weighted")
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_length") / F.col("mean_length")))
     return (index.postings.join(weighted, ["corpus_id", "token"])
@@ -196,12 +198,14 @@ def scanned_boosts(asked: DataFrame, passages: DataFrame) -> DataFrame:
     """asked(query_id, corpus_id, terms) of bounded size against every passage of its corpus, where the passages lie."""
     texts = passages.select("corpus_id", "passage_id", "section_order", "start_char",
                             fold(F.col("text")).alias("_text"), fold(F.coalesce("section_title", F.lit(""))).alias("_title"))
-    pairs = texts.join(F.broadcast(asked), "corpus_id").filter(F.exists("terms", lambda t: F.contains(F.concat("_text", "_title"), t)))
-    zero = F.lit(0).cast("bigint")
-    in_both = lambda t: occurrences(F.col("_text"), t) + occurrences(F.col("_title"), t)
-    rest = F.when(F.size("terms") > 1, F.slice("terms", F.lit(2), F.size("terms") - 1)).otherwise(F.col("terms"))
-    score = (in_both(F.col("terms")[0]) * PHRASE_BOOST + F.aggregate(rest, zero, lambda a, t: a + in_both(t))
-             + F.aggregate("terms", zero, lambda a, t: a + occurrences(F.col("_title"), t)) * TITLE_BOOST)
+    both = texts.withColumn("_both", F.concat("_text", "_title"))
+    # most terms are in few passages: all are looked for, but only those found are counted
+    held = F.filter("terms", lambda t: F.contains("_both", t))
+    pairs = both.join(F.broadcast(asked), "corpus_id").withColumn("held", held).filter(F.size("held") > 0)
+    first, alone = F.col("terms")[0], F.size("terms") == 1
+    times = lambda t: F.when(alone, PHRASE_BOOST + 1).when(t == first, PHRASE_BOOST).otherwise(1.0)
+    count = lambda t: occurrences(F.col("_text"), t) * times(t) + occurrences(F.col("_title"), t) * (times(t) + TITLE_BOOST)
+    score = F.aggregate("held", F.lit(0.0), lambda a, t: a + count(t))
     return pairs.select("query_id", "corpus_id", "passage_id", "section_order", "start_char", score.alias("score"))
 
 

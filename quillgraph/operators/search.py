@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import cut, fold, strip
+from quillgraph.functions.text import cut, fold, let, strip
 from quillgraph.operators import dense, lexical
 
 RRF_K = 60
@@ -41,11 +41,11 @@ def hits(selected: DataFrame, passages: DataFrame, queries: DataFrame) -> DataFr
     rows = selected.join(texts, ["corpus_id", "passage_id"]).join(
         queries.select("query_id", lexical.terms_of(F.col("query")).alias("terms")), "query_id")
     haystack = fold(F.concat("text", F.lit(" "), F.coalesce("section_title", F.lit(""))))
-    rows = rows.withColumn("_hay", haystack).withColumn("matched", F.filter("terms", lambda t: F.contains("_hay", t)))
+    rows = rows.withColumn("matched", let(haystack, lambda h: F.filter("terms", lambda t: F.contains(h, t))))
     body = strip(F.col("text"))
     wanted = F.when(F.size("matched") > 0, F.col("matched")).otherwise(F.col("terms"))
-    rows = rows.withColumn("_body", body).withColumn("_folded", fold(F.col("_body"))).withColumn("_wanted", wanted)
-    first = F.array_min(F.filter(F.transform("_wanted", lambda t: F.instr(F.col("_folded"), t) - 1), lambda p: p >= 0))
+    rows = rows.withColumn("_body", body).withColumn("_wanted", wanted)
+    first = let(fold(F.col("_body")), lambda f: F.array_min(F.filter(F.transform("_wanted", lambda t: F.instr(f, t) - 1), lambda p: p >= 0)))
     start = F.greatest(F.lit(0), F.coalesce(first, F.lit(0)) - SNIPPET_LEAD)
     around = strip(cut(F.col("_body"), start, start + SNIPPET))
     snippet = F.when(F.length("_body") <= SNIPPET, F.col("_body")).otherwise(around)

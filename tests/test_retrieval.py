@@ -112,3 +112,29 @@ def test_context_is_clamped_at_the_ends(spark):
     assert sorted(r.chunk_id for r in rows if r.request_id == 0) == ["k0", "k1"]
     assert [r.error for r in rows if r.request_id == 1] == ["unknown_chunk"]
     assert sorted(r.chunk_id for r in rows if r.request_id == 2) == ["k2", "k3"]
+
+
+def test_boosts_by_scan_and_through_runs_follow_the_literal_rule(spark):
+    """Terms inside words, across the seam of text and title, of one character, with marks, repeated, nowhere; CJK; phrases; long runs."""
+    rng = random.Random(6)
+    words = ["aa", "aaa", "b", "ab", "Straße", "strasse", "王五", "王五到了", "c,d", "𠮷a", "x" * 3000, "É"]
+    passages = []
+    for n in range(120):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", "\u3000", ""]) for _ in range(rng.choice([0, 1, 3, 12])))
+        passages.append((f"k{n % 3}", f"p{n}", n, n, rng.choice([None, "", "b aa", "王五 b", " c"]), text))
+    passages += [("k0", "seam", 500, 500, "qq r", "o zz"), ("k0", "apart", 501, 501, " qq r", "o zz")]
+    asked = [(100, "k0", "zq")] + [(q, f"k{q % 4}", t) for q, t in enumerate(["aa", "aaa b", "王五", "王五 b aa", "五到", "b  b", " ", "c,d strasse", "aab", "é 𠮷a", "nowhere", "x" * 5, "aa aa", "b c", "ab aaa", "straße 王五 b"])]
+    q = spark.createDataFrame(asked, "query_id bigint, corpus_id string, query string")
+    p = spark.createDataFrame(passages, "corpus_id string, passage_id string, section_order bigint, start_char bigint, section_title string, text string")
+    want = {}
+    for qid, corpus_id, query in asked:
+        whole = " ".join(query.split()).casefold()
+        terms = list(dict.fromkeys([whole, *whole.split(" ")])) if whole else []
+        for own, pid, _, _, title, text in passages:
+            body, head = text.casefold(), (title or "").casefold()
+            if own == corpus_id and any(t in body + head for t in terms):
+                both = {t: body.count(t) + head.count(t) for t in terms}
+                want[qid, pid] = 5.0 * both[terms[0]] + sum(both[t] for t in terms[1:] or terms) + 2.0 * sum(head.count(t) for t in terms)
+    assert len(want) > 150 and 0.0 in want.values()
+    for scanned in (1000, 0, 2):
+        assert {(r.query_id, r.passage_id): r.score for r in lexical.boosts(q, p, scanned).collect()} == want
