@@ -27,40 +27,35 @@ def decimal_value(col: Column) -> Column:
     return F.translate(col, WIDE_DIGITS, "0123456789").try_cast("bigint")
 
 
-def chinese_value(col: Column) -> Column:
-    """Positional strings of digits read as decimals; otherwise units multiply what stands before them."""
-    zero = F.lit(0).cast("bigint")
-    state = F.struct(zero.alias("total"), zero.alias("part"), zero.alias("digit"))
+def _chinese_part(part: Column) -> Column:
+    """What stands between two signs for ten thousand: the sum of digit times unit, and the digit at the end.
+
+    A unit without a digit, or with a zero before it, counts once; of several digits in a row the last one counts.
+    """
+    digits, units = "[" + CN_DIGITS + "]", "[" + "".join(CN_UNITS) + "]"
+    digit = lambda c: F.coalesce(F.translate(c, CN_DIGITS, CN_DIGIT_VALUES).try_cast("bigint"), F.lit(0).cast("bigint"))
+    pair = lambda group: F.regexp_extract_all(part, F.lit(f"({digits}?)({units})"), F.lit(group))
+    products = F.zip_with(pair(1), pair(2), lambda d, u: F.greatest(digit(d), F.lit(1).cast("bigint")) * _lookup(u, CN_UNITS))
+    return F.aggregate(products, F.lit(0).cast("bigint"), lambda a, x: a + x) + digit(F.regexp_extract(part, f"({digits})$", 1))
 
-    def step(acc: Column, ch: Column) -> Column:
-        digit = F.translate(ch, CN_DIGITS, CN_DIGIT_VALUES).try_cast("bigint")
-        unit = _lookup(ch, CN_UNITS)
-        big = _lookup(ch, CN_BIG_UNITS)
-        scaled = F.when(acc["digit"] == 0, F.lit(1).cast("bigint")).otherwise(acc["digit"])
-        return (
-            F.when(digit.isNotNull(), F.struct(acc["total"].alias("total"), acc["part"].alias("part"), digit.alias("digit")))
-            .when(unit.isNotNull(), F.struct(acc["total"].alias("total"), (acc["part"] + scaled * unit).alias("part"), zero.alias("digit")))
-            .otherwise(F.struct((acc["total"] + (acc["part"] + acc["digit"]) * big).alias("total"), zero.alias("part"), zero.alias("digit")))
-        )
 
-    mixed = F.aggregate(F.split(col, ""), state, step, lambda s: s["total"] + s["part"] + s["digit"])
+def chinese_value(col: Column) -> Column:
+    """A string of digits alone is positional. Otherwise the text splits at the signs for ten thousand: every part before one of
+    them counts ten thousandfold, the last part once."""
+    parts = F.split(col, "[" + "".join(CN_BIG_UNITS) + "]", -1)
+    scale = F.lit(CN_BIG_UNITS["万"]).cast("bigint")
+    values = F.transform(parts, lambda part, i: _chinese_part(part) * F.when(i < F.size(parts) - 1, scale).otherwise(F.lit(1).cast("bigint")))
     plain = F.translate(col, CN_DIGITS, CN_DIGIT_VALUES)
     return (F.when(~col.rlike(f"^[{CN_NUMBER_CLASS}]+$"), F.lit(None).cast("bigint"))
-            .when(plain.rlike("^[0-9]+$"), plain.try_cast("bigint")).otherwise(mixed))
+            .when(plain.rlike("^[0-9]+$"), plain.try_cast("bigint")).otherwise(F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)))
 
 
 def roman_value(col: Column) -> Column:
-    """Read from the right; a smaller sign before a larger one is taken away."""
-    zero = F.lit(0).cast("bigint")
-
-    def step(acc: Column, ch: Column) -> Column:
-        value = _lookup(ch, ROMAN)
-        return F.struct((acc["total"] + F.when(value < acc["top"], -value).otherwise(value)).alias("total"),
-                        F.greatest(acc["top"], value).alias("top"))
-
-    signs = F.reverse(F.split(F.upper(col), ""))
-    total = F.aggregate(signs, F.struct(zero.alias("total"), zero.alias("top")), step, lambda s: s["total"])
-    return F.when(F.upper(col).rlike("^[IVXLCDM]+$"), total)
+    """The sum of the signs, those that stand before a larger one anywhere behind them taken negative."""
+    signs = F.transform(F.split(F.upper(col), ""), lambda s: _lookup(s, ROMAN))
+    behind = lambda i: F.array_max(F.slice(signs, i + 2, F.size(signs)))
+    signed = F.transform(signs, lambda v, i: F.when(v < F.coalesce(behind(i), F.lit(0).cast("bigint")), -v).otherwise(v))
+    return F.when(F.upper(col).rlike("^[IVXLCDM]+$"), F.aggregate(signed, F.lit(0).cast("bigint"), lambda a, x: a + x))
 
 
 def english_value(col: Column) -> Column:

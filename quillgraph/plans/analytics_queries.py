@@ -146,7 +146,7 @@ def a07(spark, sf):
 
 
 @register("a08_limitations", sql(TERM, """, li AS (SELECT run_id, unnest(list_concat(list_concat(list_transform(range(0, run_id%7), lambda i: '缺失信息：gap' || i%3), list_transform(range(0, run_id%5), lambda i: '证据矛盾：clash' || i)),
-   CASE termination_reason WHEN 'max_steps_reached' THEN ['调查已达最大步数，结论仅基于当前已验证证据。'] WHEN 'repeated_tool_call' THEN ['检索路径出现重复，结论仅基于当前已验证证据。'] ELSE [] END)) AS value,
+   CASE termination_reason WHEN 'max_steps_reached' THEN ['stopped: steps'] WHEN 'repeated_tool_call' THEN ['repeated_tool_call'] ELSE [] END)) AS value,
    generate_subscripts(list_concat(list_concat(list_transform(range(0, run_id%7), lambda i: ''), list_transform(range(0, run_id%5), lambda i: '')), CASE WHEN termination_reason IN ('max_steps_reached','repeated_tool_call') THEN [''] ELSE [] END), 1) AS p FROM tm),
  f AS (SELECT run_id, value, min(p) AS p FROM li GROUP BY 1,2), b AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY p DESC) AS b FROM f QUALIFY b <= 8)
  SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY b DESC) AS rank, value FROM b""").replace("\n, li AS", ", li AS"))
@@ -155,7 +155,7 @@ def a08(spark, sf):
     some = lambda n: F.when(k % n > 0, F.sequence(F.lit(0).cast("bigint"), k % n - 1)).otherwise(F.array().cast("array<bigint>"))
     runs = A.termination(_runs(spark, sf)).select(
         "run_id", F.transform(some(7), lambda i: F.concat(F.lit("gap"), i % 3)).alias("missing"), F.transform(some(5), lambda i: F.concat(F.lit("clash"), i)).alias("contradictions"), "termination_reason")
-    return A.limitations(runs)
+    return A.limitations(runs, {"max_steps_reached": "stopped: steps"})
 
 
 @register("a09_question_complexity", """SELECT conv_id, turn, CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) <= 60 AND NOT regexp_matches(regexp_replace(text, '\\s+', '', 'g'), '分析|为什么|为何|如何体现|变化|成长|关系|动机|原因|意义|象征|主题|对比|评价|解读|发展|矛盾|影响|阶段')
@@ -179,23 +179,24 @@ def a10(spark, sf):
     return A.run_metrics(runs, A.tool_history(*_calls(spark, sf)), evidence, A.task_status(_tasks(spark, sf))[0])
 
 
-@register("a11_event_detail", sql(EV, """SELECT event_id, CASE event_type WHEN 'signup' THEN '制定调查计划' WHEN 'click' THEN '选择检索动作' WHEN 'view' THEN '读取小说原文' WHEN 'error' THEN '整理并审查证据' ELSE '生成最终解读' END AS label,
-  CASE WHEN event_type='signup' THEN k%4 END AS task_count, CASE WHEN event_type='click' THEN CASE WHEN k%2=0 THEN 'find,read' ELSE 'find' END END AS tool_calls,
-  CASE WHEN event_type='view' THEN 'find,graph' END AS tools, CASE WHEN event_type='view' THEN k%5 END AS graph_nodes, CASE WHEN event_type='error' THEN k%3 END AS evidence_count, CASE WHEN event_type='error' THEN k%2=0 END AS sufficient,
+@register("a11_event_detail", sql(EV, """SELECT event_id, CASE event_type WHEN 'signup' THEN 'a plan' WHEN 'click' THEN 'researcher' WHEN 'view' THEN 'tools' WHEN 'error' THEN 'assessor' ELSE 'an answer' END AS label,
+  CASE WHEN event_type='signup' THEN k%4 END AS task_count, CASE WHEN event_type='click' THEN CASE WHEN k%2=0 THEN 'find{"q":' || k || ',"in":["a"]},read{}' ELSE 'find{"q":' || k || ',"in":["a"]}' END END AS tool_calls,
+  CASE WHEN event_type='view' THEN 'find,graph' END AS tools, CASE WHEN event_type='view' THEN k%5 END AS graph_nodes, CASE WHEN event_type='error' THEN k%3 END AS evidence_count, CASE WHEN event_type='error' THEN k%2=0 END AS sufficient, CASE WHEN event_type='error' THEN CASE WHEN k%2=0 THEN '' ELSE 'gap ' || k END END AS rationale,
   CASE WHEN event_type='purchase' THEN k%3<>0 END AS answer_ready FROM ev"""))
 def a11(spark, sf):
     t, k = F.col("event_type"), _k()
     node = F.when(t == "signup", "planner").when(t == "click", "researcher").when(t == "view", "tools").when(t == "error", "assessor").otherwise("writer")
     listed = lambda n: F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('{"x":1}'), n.cast("int")), ","), F.lit("]"))
-    call = F.concat(F.lit('{"messages":[{"tool_calls":[{"name":"find"}'), F.when(k % 2 == 0, ',{"name":"read"}').otherwise(""), F.lit("]}]}"))
+    call = F.concat(F.lit('{"messages":[{"tool_calls":[{"name":"find","args":{"q":'), k, F.lit(',"in":["a"]}}'), F.when(k % 2 == 0, ',{"name":"read"}').otherwise(""), F.lit("]}]}"))
     inner = F.concat(F.lit('{"graph_version":"g1","nodes":'), listed(k % 5), F.lit("}"))
     tools = F.to_json(F.struct(F.array(F.struct(F.lit("find").alias("name"), F.lit("plain").alias("content")), F.struct(F.lit("graph").alias("name"), inner.alias("content"))).alias("messages")))
     update = F.when(t == "click", call).when(t == "view", tools).otherwise("{}")
-    snap = F.concat(F.lit('{"plan":'), listed(k % 4), F.lit(',"evidence":'), listed(k % 3), F.lit(',"review":{"sufficient":'), F.when(k % 2 == 0, "true").otherwise("false"),
+    snap = F.concat(F.lit('{"plan":'), listed(k % 4), F.lit(',"evidence":'), listed(k % 3), F.lit(',"review":{"sufficient":'), F.when(k % 2 == 0, "true").otherwise(F.concat(F.lit('false,"rationale":"gap '), k, F.lit('"'))),
                     F.lit('},"final_answer":"'), F.when(k % 3 != 0, "yes").otherwise(""), F.lit('"}'))
-    d = A.event_detail(table(spark, sf, "events").select("event_id", node.alias("node"), update.alias("update"), snap.alias("snapshot")))
-    return d.select("event_id", "label", F.col("task_count").cast("bigint").alias("task_count"), F.array_join("tool_calls", ",").alias("tool_calls"), F.array_join("tools", ",").alias("tools"),
-                    F.col("graph_queries")[0]["node_count"].cast("bigint").alias("graph_nodes"), F.col("evidence_count").cast("bigint").alias("evidence_count"), "sufficient", "answer_ready")
+    d = A.event_detail(table(spark, sf, "events").select("event_id", node.alias("node"), update.alias("update"), snap.alias("snapshot")), {"planner": "a plan", "writer": "an answer"})
+    calls = F.transform("tool_calls", lambda c: F.concat(c["name"], c["args"]))
+    return d.select("event_id", "label", F.col("task_count").cast("bigint").alias("task_count"), F.array_join(calls, ",").alias("tool_calls"), F.array_join("tools", ",").alias("tools"),
+                    F.col("graph_queries")[0]["node_count"].cast("bigint").alias("graph_nodes"), F.col("evidence_count").cast("bigint").alias("evidence_count"), "sufficient", "rationale", "answer_ready")
 
 
 _TOOLS = list(presets.CAPS)

@@ -5,8 +5,9 @@ ones are related, and planted slips (wrong quotes, repeated ids, missing evidenc
 """
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.runtime import scratch_path, stage
@@ -435,17 +436,21 @@ def k20(spark, sf):
     return R.evidence_groups(Build(spark, sf).canonical[2]).drop("spans")
 
 
-UNITS = """, un AS (SELECT corpus_id, unit_id, CASE WHEN corpus_id%7=0 THEN 'x' ELSE 'h' || length(unit_id) END AS input_hash,
-   CASE corpus_id%5 WHEN 0 THEN 'completed' WHEN 1 THEN 'extracted' WHEN 2 THEN 'split' ELSE 'pending' END AS status FROM win WHERE corpus_id%11 <> 0)"""
+PAYLOADS = """,
+pl AS (SELECT corpus_id, unit_id, sha256(to_json(struct_pack(core := 'core', spans := list(struct_pack(span_id := span_id, text := text)
+  ORDER BY CASE span_id WHEN 'core' THEN 0 WHEN 'before' THEN 1 ELSE 2 END)))::VARCHAR) AS input_hash FROM spn GROUP BY 1, 2),
+un AS (SELECT corpus_id, unit_id, CASE WHEN corpus_id%7=0 THEN sha256(input_hash) ELSE input_hash END AS input_hash,
+   CASE corpus_id%5 WHEN 0 THEN 'completed' WHEN 1 THEN 'extracted' WHEN 2 THEN 'split' ELSE 'pending' END AS status FROM pl WHERE corpus_id%11 <> 0)"""
 
 
-@register("k21_pending_units", sql(WIN + UNITS, """SELECT w.corpus_id, w.unit_id, CASE WHEN u.status IN ('completed','extracted','split') AND u.input_hash = 'h' || length(w.unit_id)
+@register("k21_pending_units", sql(WIN + PAYLOADS, """SELECT w.corpus_id, w.unit_id, CASE WHEN u.status IN ('completed','extracted','split') AND u.input_hash = w.input_hash
    THEN CASE WHEN u.status='extracted' THEN 'validate' ELSE 'reuse' END WHEN u.status IN ('completed','extracted','split') THEN 'checkpoint_changed' ELSE 'pending' END AS action
- FROM win w LEFT JOIN un u USING (corpus_id, unit_id)"""))
+ FROM pl w LEFT JOIN un u USING (corpus_id, unit_id)"""))
 def k21(spark, sf):
-    w = _windows(spark, sf).select("corpus_id", "unit_id", F.concat(F.lit("h"), F.length("unit_id")).alias("input_hash"))
+    """Stored units against the payload hashes of the windows as they are now; in every seventh corpus the text has changed."""
+    w = stage(X.window_payload(_spans(spark, sf)).select("corpus_id", "unit_id", "input_hash"), "payloads")
     c = F.col("corpus_id")
-    units = w.filter(c % 11 != 0).select("corpus_id", "unit_id", F.when(c % 7 == 0, "x").otherwise(F.col("input_hash")).alias("input_hash"),
+    units = w.filter(c % 11 != 0).select("corpus_id", "unit_id", F.when(c % 7 == 0, F.sha2("input_hash", 256)).otherwise(F.col("input_hash")).alias("input_hash"),
                                          F.when(c % 5 == 0, "completed").when(c % 5 == 1, "extracted").when(c % 5 == 2, "split").otherwise("pending").alias("status"))
     return G.pending_units(w, units).select("corpus_id", "unit_id", "action")
 
@@ -537,19 +542,18 @@ def _tables(spark, sf):
     return G.graph_tables(heads, mentions, R.relation_table(rel_rows), R.evidence_groups(rel_rows))
 
 
-@register("s09_materialize_graph", sql(CANON, """SELECT 'entities' AS name, count(*) AS n FROM can
+@register("s09_materialize_graph", sql(CANON, """SELECT name, n, n AS stored FROM (SELECT 'entities' AS name, count(*) AS n FROM can
  UNION ALL SELECT 'aliases', (SELECT count(*) FROM (SELECT DISTINCT corpus_id, identity, folded FROM idn))
  UNION ALL SELECT 'mentions', count(*) FROM (SELECT DISTINCT corpus_id, position, end_char, type FROM ms)
  UNION ALL SELECT 'relations', count(DISTINCT (corpus_id, relation_id)) FROM kr UNION ALL SELECT 'evidence_groups', count(DISTINCT (corpus_id, group_id)) FROM gr
- UNION ALL SELECT 'evidence_spans', 2 * count(DISTINCT (corpus_id, group_id)) FROM gr"""))
+ UNION ALL SELECT 'evidence_spans', 2 * count(DISTINCT (corpus_id, group_id)) FROM gr)"""))
 def s09(spark, sf):
     path = scratch_path(spark, "graph")
     G.materialize_graph(_tables(spark, sf), path, VERSION)
-    out = None
-    for name, df in G.read_graph(spark, path, VERSION).items():
-        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    tables = G.read_graph(spark, path, VERSION, verify=True)
+    counted = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()])
+    # the stored counts beside the rows that a reader gets
+    return counted.join(G.version_counts(spark, path).select(F.col("table").alias("name"), F.col("rows").alias("stored")), "name")
 
 
 @register("s11_fingerprint", sql(CHUNKS, """, m AS (SELECT corpus_id, sha256('[' || string_agg('["' || chunk_id || '","' || section_id || '",' || start_char || ',' || end_char || ']', ',' ORDER BY chunk_order) || ']') AS mapping FROM ck GROUP BY 1),

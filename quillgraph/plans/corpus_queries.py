@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgraph.functions.runtime import stage
 from quillgraph.operators import headings as H
 from quillgraph.operators import sections as S
 from quillgraph.operators.lines import line_of, line_table
@@ -249,12 +250,15 @@ def c17(spark, sf):
     return out.select("corpus_id", "section_order", "start_line", "end_line")
 
 
-@register("c18_structure_summary", sql(CHUNKS, """SELECT d.doc_id AS corpus_id, length(d.text) AS character_count, c.chunks AS line_count, c.sections AS section_count, c.chunks AS chunk_count
- FROM documents d JOIN (SELECT corpus_id, count(*) AS chunks, count(DISTINCT section_id) AS sections FROM ck GROUP BY 1) c ON c.corpus_id = d.doc_id"""))
+@register("c18_structure_summary", sql(BOOK, CHUNKED, """SELECT b.corpus_id, length(b.text) AS character_count, coalesce(l.n, 0) AS line_count, coalesce(s.n, 0) AS section_count, coalesce(c.n, 0) AS chunk_count FROM book b
+ LEFT JOIN (SELECT corpus_id, count(*) AS n FROM ln GROUP BY 1) l USING (corpus_id)
+ LEFT JOIN (SELECT corpus_id, count(*) AS n FROM (SELECT corpus_id, section_id FROM sec UNION ALL SELECT corpus_id, section_id FROM ch WHERE loose) GROUP BY 1) s USING (corpus_id)
+ LEFT JOIN (SELECT corpus_id, count(*) AS n FROM ch GROUP BY 1) c USING (corpus_id)"""))
 def c18(spark, sf):
-    from quillgraph.plans.adapters import raw_corpus
-    chunks = line_chunks(spark, sf)
-    return S.structure_summary(raw_corpus(spark, sf), chunks, chunks.select("corpus_id", "section_id").distinct(), chunks)
+    texts = stage(books(spark, sf), "books")
+    chunks, sections = S.chunks_and_sections(texts, H.accepted_headings(_scored(spark, sf)))
+    chunks = stage(chunks, "chunks")
+    return S.structure_summary(texts, line_table(texts), sections, chunks)
 
 
 @register("c18_section_page", sql(CHUNKS, """SELECT corpus_id, section_id, section_order, chunk_count, total FROM

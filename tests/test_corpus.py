@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.functions.numerals import chinese_value, english_value
+from quillgraph.functions.numerals import chinese_value, english_value, roman_value
 from quillgraph.functions.spans import CHUNK_SIZES, PASSAGE_SIZES, Breaks, pieces
 from quillgraph.functions.text import fold
 from quillgraph.operators import headings as H
@@ -105,6 +105,33 @@ def test_pieces_cover_and_end_at_breaks(sizes):
         assert near.isspace() or text[b - 1] in "。！？!?" or b - a == sizes["maximum"] or not re.search(r"[。！？!?\n]", text[a + sizes["minimum"]:a + sizes["maximum"]])
 
 
+def test_numerals_of_any_shape(spark):
+    """Units without digits, repeated and leading zeros, several digits in a row, two signs for ten thousand; Roman signs in any order."""
+    rng = random.Random(9)
+    digits, units = dict(zip("零〇一壹二两贰三叁四肆五伍六陆七柒八捌九玖", map(int, "001122233445566778899"))), {"十": 10, "拾": 10, "百": 100, "佰": 100, "千": 1000, "仟": 1000}
+
+    def part(text):
+        pairs = re.findall("([^十拾百佰千仟]*)([十拾百佰千仟])", text)
+        return sum(max(1, digits[d[-1]] if d else 1) * units[u] for d, u in pairs) + (digits[text[-1]] if text and text[-1] in digits else 0)
+
+    def chinese(text):
+        if all(c in digits for c in text):
+            return int("".join(str(digits[c]) for c in text))
+        *large, last = re.split("[万萬]", text)
+        return 10_000 * sum(map(part, large)) + part(last)
+
+    def roman(text):
+        values = ["IVXLCDM".index(c) for c in text]
+        return sum((-1 if any(w > v for w in values[i + 1:]) else 1) * (1, 5, 10, 50, 100, 500, 1000)[v] for i, v in enumerate(values))
+    texts = ["".join(rng.choices("零〇一二两三五九十百千万萬贰拾佰", k=rng.randint(1, 8))) for _ in range(300)] + ["一百零五", "十", "二十", "三千零二十一", "一万零一", "百万", "零十", "二〇二四"]
+    signs = ["".join(rng.choices("IVXLCDM", k=rng.randint(1, 7))) for _ in range(200)] + ["XIV", "MCMXCIV", "IIX", "VIX"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chinese_value(F.col("t")).alias("v")).collect()
+    assert {r.t: r.v for r in got} == {t: chinese(t) for t in texts}
+    got = spark.createDataFrame([(t,) for t in signs], "t string").select("t", roman_value(F.col("t")).alias("v")).collect()
+    assert {r.t: r.v for r in got} == {t: roman(t) for t in signs} and roman("MCMXCIV") == 1994
+    assert spark.createDataFrame([("",), ("y",), (None,)], "t string").select(chinese_value(F.col("t")).alias("v"), roman_value(F.col("t")).alias("w")).distinct().collect() == [(None, None)]
+
+
 def nearest_rule(text, low, high, goal):
     """The closest end of a break among all matches inside the window, by distance, kind and position."""
     patterns = (r"\n\s*\n", r"[。！？!?]\s*", r"\n")

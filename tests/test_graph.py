@@ -3,6 +3,7 @@ import itertools
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import extraction as X
@@ -220,11 +221,35 @@ def test_budget_keeps_the_largest_fit(spark):
 
 
 def test_versions_are_replaced_alone(spark, tmp_path):
-    a = spark.createDataFrame([(1,)], "x bigint")
-    G.materialize_graph({n: a for n in G.TABLES}, str(tmp_path), "v1")
-    G.materialize_graph({n: a for n in G.TABLES}, str(tmp_path), "v2")
-    G.materialize_graph({n: a.union(a) for n in G.TABLES}, str(tmp_path), "v2")
-    assert [G.read_graph(spark, str(tmp_path), v)["relations"].count() for v in ("v1", "v2")] == [1, 2]
+    a, at = spark.createDataFrame([(1,)], "x bigint"), str(tmp_path)
+    G.materialize_graph({n: a for n in G.TABLES}, at, "v1")
+    G.materialize_graph({n: a for n in G.TABLES}, at, "v2")
+    G.materialize_graph({n: a.union(a) for n in G.TABLES}, at, "v2")
+    assert [G.read_graph(spark, at, v, verify=True)["relations"].count() for v in ("v1", "v2")] == [1, 2]
+    assert {(r.version, r.table): r.rows for r in G.version_counts(spark, at).collect()} == {(v, n): k for v, k in (("v1", 1), ("v2", 2)) for n in G.TABLES}
+    assert G.drop_superseded(spark, at) == 1 and G.drop_superseded(spark, at) == 0
+    assert [G.read_graph(spark, at, v, verify=True)["relations"].count() for v in ("v1", "v2")] == [1, 2]
+
+
+def test_half_written_versions_are_never_read(spark, tmp_path):
+    at, rows = str(tmp_path), lambda *x: spark.createDataFrame([(v,) for v in x], "x bigint")
+    with pytest.raises(LookupError):
+        G.read_graph(spark, at, "v1")
+    G.write_build({n: rows(1) for n in G.TABLES}, at)  # all tables, no manifest
+    with pytest.raises(LookupError):
+        G.read_graph(spark, at, "v1")
+    G.materialize_graph({n: rows(1, 2) for n in G.TABLES}, at, "v1")
+    broken = {n: rows(7) for n in G.TABLES} | {G.TABLES[-1]: rows(7).select(F.raise_error(F.lit("lost")).alias("x"))}
+    with pytest.raises(Exception, match="lost"):
+        G.materialize_graph(broken, at, "v1")
+    got = G.read_graph(spark, at, "v1", verify=True)
+    assert all(sorted(r.x for r in df.collect()) == [1, 2] for df in got.values())
+    with pytest.raises(LookupError):
+        G.read_graph(spark, at, "v2")
+    build = G.version_counts(spark, at).first().build
+    rows(9).write.mode("append").parquet(f"{at}/builds/{build}/mentions")  # a stray file in a committed build
+    with pytest.raises(ValueError, match="mentions"):
+        G.read_graph(spark, at, "v1", verify=True)
 
 
 def test_paths_follow_the_limit_of_their_request(spark):
