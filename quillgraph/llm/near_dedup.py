@@ -2,7 +2,7 @@
 
 1. In Arrow batches every text becomes its shingle set: size, a 128-bit digest of the set, the low bits of its minima packed into
    longs, and band keys from whole minima. Equal sets are one class, combined before anything is compared.
-2. A band bucket sends its members to one of them, never to each other. The packed bits estimate the similarity, corrected for
+2. A band bucket sends its members to one of them, never to each other: the one that has the most company over all its buckets. The packed bits estimate the similarity, corrected for
    the bits that agree by chance; what is near enough is confirmed on the full sets.
 3. Members of buckets that still hold more than one component meet over their rarest shingles: a pair that is similar enough must
    share one of the first shingles of both sets in one common order, rarest first. How many are the first ones follows from the
@@ -198,10 +198,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
     members = named.groupBy("key").agg(F.min("doc_id").alias("id"))
     classes = stage(named.join(members, "key").filter("doc_id = id").select("id", "n", "bits", "bands").dropDuplicates(["id", "n"]), "classes")
     buckets = classes.select("id", F.explode("bands").alias("band"))
-    # Order by id xor band: another order in every bucket, so that a member meets different centres in its buckets.
-    place = F.col("id").bitwiseXOR(F.col("band"))
-    tops = buckets.groupBy("band").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("band", F.col("lo").bitwiseXOR(F.col("band")).alias("hub"))
-    crowd = stage(buckets.join(small_or_joined(tops), "band").filter("id <> hub"), "crowd")
+    # One order for all buckets, the members with the most company first: the text that a family was made from shares buckets with all
+    # of it, so its members meet the same centre, and one that they are similar to.
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("others")).filter("others > 1")
+    shared = stage(buckets.join(small_or_joined(sizes), "band"), "shared")
+    company = shared.groupBy("id").agg(F.sum("others").alias("company"))
+    ranked = stage(shared.select("band", "id").join(company, "id").select("band", "id", F.struct("company", F.xxhash64("id").alias("by"), "id").alias("rank")), "ranked")
+    tops = ranked.groupBy("band").agg(F.max("rank")["id"].alias("hub"))
+    crowd = stage(ranked.select("band", "id").join(small_or_joined(tops), "band").filter("id <> hub"), "crowd")
     met = crowd.select(F.col("id").alias("x"), F.col("hub").alias("y"))
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = linked(pairs, classes, given, size, percent)
