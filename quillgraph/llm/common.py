@@ -30,6 +30,19 @@ def small_or_joined(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(written) if written.limit(most + 1).count() <= most else written
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """A name per stem that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def need(df: DataFrame, **types: str) -> DataFrame:
     """The named columns alone, cast to the given types; extra columns of any name are dropped."""
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()])

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import let, small_or_joined, word_array
+from quillgraph.llm.common import free_names, let, small_or_joined, word_array
 from quillgraph.llm.words import BLANKS
 
 ACCURACY = 0.01
@@ -51,14 +51,15 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input with ``_m``: n_words, word_chars, n_symbols, n_dup_lines, n_upper, n_chars and n_lines of the whole text."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counts = docs.withColumn("_lines", lines).withColumn("_squeezed", F.regexp_replace(whole, f"{BLANKS}+", ""))
+    full, packed = free_names(docs, "_lines", "_squeezed")
+    counts = docs.withColumn(full, lines).withColumn(packed, F.regexp_replace(whole, f"{BLANKS}+", ""))
     return counts.withColumn("_m", F.struct(
         F.size(word_array(F.col(text))).cast("long").alias("n_words"),
-        F.length("_squeezed").cast("long").alias("word_chars"),
-        (F.length("_squeezed") - F.length(F.regexp_replace("_squeezed", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        (F.length("_squeezed") - F.length(F.regexp_replace("_squeezed", r"\p{Lu}", ""))).cast("long").alias("n_upper"),
-        F.size("_lines").cast("long").alias("n_lines"))).drop("_lines", "_squeezed")
+        F.length(packed).cast("long").alias("word_chars"),
+        (F.length(packed) - F.length(F.regexp_replace(packed, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
+        (F.length(packed) - F.length(F.regexp_replace(packed, r"\p{Lu}", ""))).cast("long").alias("n_upper"),
+        F.size(full).cast("long").alias("n_lines"))).drop(full, packed)
 
 
 def shares(m: str = "_m") -> dict[str, Column]:
@@ -79,12 +80,11 @@ def sketches(measures: DataFrame) -> DataFrame:
 def fences(sketch: DataFrame, least: int = LEAST_DOCUMENTS, spreads: float = SPREADS) -> DataFrame:
     """One row per (lang, source): ``lo_<measure>`` and ``hi_<measure>``, the quartiles moved out by ``spreads`` quartile distances
     and the slack of the measure, from the finest of the three sketches that holds ``least`` documents."""
-    sketch.createOrReplaceTempView("_quality_sketch")
     slack = " ".join(f"WHEN '{k}' THEN {v}D" for k, v in SLACK.items())
     one = f"2 * power({GAMMA!r}D, bin) / {GAMMA + 1!r}D"
     levels = sketch.sparkSession.sql(f"""
         WITH merged AS (
-          SELECT grouping_id() AS level, lang, source, measure, bin, sum(n) AS n FROM _quality_sketch
+          SELECT grouping_id() AS level, lang, source, measure, bin, sum(n) AS n FROM {{sketch}}
           GROUP BY GROUPING SETS ((lang, source, measure, bin), (lang, measure, bin), (measure, bin))),
         ranked AS (
           SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS upto,
@@ -95,7 +95,7 @@ def fences(sketch: DataFrame, least: int = LEAST_DOCUMENTS, spreads: float = SPR
                  min(CASE WHEN upto >= 0.75D * total THEN CASE WHEN bin = {ZERO_BIN} THEN 0D ELSE {one} END END) AS q3
           FROM ranked GROUP BY level, lang, source, measure)
         SELECT level, lang, source, measure, total, q1 - {spreads!r}D * (q3 - q1) - CASE measure {slack} END AS lo,
-               q3 + {spreads!r}D * (q3 - q1) + CASE measure {slack} END AS hi FROM quartiles""")
+               q3 + {spreads!r}D * (q3 - q1) + CASE measure {slack} END AS hi FROM quartiles""", sketch=sketch)
     ids = {"own": 0, "lang": 4, "all": 12}
     fine = levels.filter(F.col("level") == ids["own"])
     by_lang = levels.filter(F.col("level") == ids["lang"]).select(F.col("lang").alias("_l"), "measure", F.struct("total", "lo", "hi").alias("b"))
@@ -114,14 +114,16 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Base rules: fewer than 20 words, or over 30 % of the words in repeated 8-word windows. The method: a measure outside the fences
     of the row's (lang, source). Null lang or source are groups of their own. A null, empty or blank text has zero counts, fails the
-    base rules and has no part in the sketches. Repeated rows are judged each; ties at a fence stay. An empty table gives no rows.
+    base rules and has no part in the sketches. Very long texts are measured whole. Repeated rows are judged each; ties at a fence
+    stay. Columns named like one of the four results are replaced, all others are kept. An empty table gives no rows.
     """
     narrow = measured(docs.select("text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))).drop("text")
-    limits = small_or_joined(fences(sketches(narrow))).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*[f"{s}_{k}" for k in SLACK for s in ("lo", "hi")]).alias("_f"))
+    lang, source, fence = free_names(docs, "_lang", "_source", "_f")
+    limits = small_or_joined(fences(sketches(narrow))).select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*[f"{s}_{k}" for k in SLACK for s in ("lo", "hi")]).alias(fence))
     full = measured(docs).withColumn("_repeated", repeated_words(word_array(F.col("text"))))
-    joined = full.join(limits, F.col("lang").cast("string").eqNullSafe(F.col("_lang")) & F.col("source").cast("string").eqNullSafe(F.col("_source")), "left")
+    joined = full.join(limits, F.col("lang").cast("string").eqNullSafe(F.col(lang)) & F.col("source").cast("string").eqNullSafe(F.col(source)), "left")
     outside = F.lit(False)
     for k, value in shares().items():
-        outside = outside | F.coalesce((value < F.col(f"_f.lo_{k}")) | (value > F.col(f"_f.hi_{k}")), F.lit(False))
+        outside = outside | F.coalesce((value < F.col(fence)[f"lo_{k}"]) | (value > F.col(fence)[f"hi_{k}"]), F.lit(False))
     failed = (F.col("_m.n_words") < LEAST_WORDS) | (100 * F.col("_repeated") > MOST_REPEATED * F.col("_m.n_words"))
-    return (joined.withColumn("_base_failed", failed).withColumn("_kept", ~failed & ~outside).drop("_lang", "_source", "_f"))
+    return (joined.withColumn("_base_failed", failed).withColumn("_kept", ~failed & ~outside).drop(lang, source, fence))

@@ -25,10 +25,27 @@ SAMPLE_DOCUMENTS = 2_000
 LEAST_LOG_RATIO = 15.0
 BACK_OFF = 5.0
 MARK = "[SECRET]"
+SAMPLE_WORDS = 2_000
+BLOCK = 256  # items whose running sums are gathered in one array
+PIECE = 4_096  # code points of a piece of a text that is cut up
 SPAN = "struct<start:int,end:int,kind:int>"
 NAMES = [k for k, *_ in KINDS] + ["random"]
 
 
+def in_blocks(items: Column) -> Column:
+    """The array cut into arrays of ``BLOCK`` items; one empty array for an empty one."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running(items: Column, total, join, walk) -> Column:
+    """Rows of ``walk(block, carried)`` of all blocks, where ``carried`` joins the totals of the blocks before: what an item adds is
+    copied within its own block only, so that a text with very many items costs about linear time."""
+    def over(blocks: Column) -> Column:
+        return let(F.transform(blocks, total), lambda totals: F.flatten(F.transform(
+            blocks, lambda b, i: walk(b, F.aggregate(F.slice(totals, F.lit(1), i), F.lit(0), join)))))
+    return let(in_blocks(items), over)
+
+
 def spans_of(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches as (start, end, kind), those with a long enough group; code points, end exclusive."""
     def placed(t: Column) -> Column:
@@ -37,15 +54,31 @@ def spans_of(text: Column, kind: int, pattern: str, group: int, least: int) -> C
         steps = F.arrays_zip(F.transform(F.slice(F.split(t, pattern), 1, F.size(found)), lambda p: F.length(p)).alias("gap"),
                              F.transform(found, lambda m: F.length(m)).alias("len"), F.transform(values, lambda v: F.length(v)).alias("value"))
 
-        def walk(acc: Column, s: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
             start = acc["at"] + s["gap"]
             span = F.array(F.struct(start.alias("start"), (start + s["len"]).alias("end"), F.lit(kind).alias("kind")))
             return F.struct((start + s["len"]).alias("at"), F.when(s["value"] >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-        return F.aggregate(steps, empty, walk, lambda acc: acc["out"])
+
+        def walk(block: Column, at: Column) -> Column:
+            empty = F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+            return F.aggregate(block, empty, step, lambda acc: acc["out"])
+        length = lambda block: F.aggregate(block, F.lit(0), lambda n, s: n + s["gap"] + s["len"])
+        return let(steps, lambda s: running(s, length, lambda a, b: a + b, walk))
     return F.when(text.rlike(pattern), let(text, placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def cut_up(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` code points, for ``between``."""
+    return F.regexp_extract_all(text, F.lit(f"[\\s\\S]{{1,{PIECE}}}"), 0)
+
+
+def between(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text that was cut up, without reading the text from its beginning."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    part = lambda k: F.substring(F.get(pieces, k), F.greatest(start - k * PIECE, F.lit(0)) + 1, end - k * PIECE - F.greatest(start - k * PIECE, F.lit(0)))
+    return F.when(end <= start, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), part), ""))
+
+
 def base_spans(text: Column) -> Column:
     """Spans of the fixed expressions by start, then by kind as listed."""
     hints = {"access": text.contains("AKIA")}
@@ -58,19 +91,21 @@ def label_samples(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> DataFrame:
     are sorted; the texts below the last of them are read where they lie.
 
     Random: a value inside a span of the fixed expressions, and two digests per document. Ordinary: words outside the
-    spans that are too short to be judged.
+    spans that are too short to be judged; of a text with more than ``SAMPLE_WORDS`` of them a share chosen by hash from the whole
+    text, about that many.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hashed = docs.select(text.alias("text")).withColumn("h", F.xxhash64("text"))
     last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     chosen = hashed.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"])
+    chosen_words = lambda w: F.filter(w, lambda v, i: F.pmod(F.xxhash64(v, i), F.ceil(F.greatest(F.size(w), F.lit(1)) / SAMPLE_WORDS)) == 0)
     spanned = chosen.withColumn("s", base_spans(F.col("text")))
-    values = F.transform("s", lambda s: F.regexp_extract(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), "[A-Za-z0-9+/_=-]*$", 0))
+    values = let(cut_up(F.col("text")), lambda t: F.transform("s", lambda s: F.regexp_extract(between(t, s["start"], s["end"]), "[A-Za-z0-9+/_=-]*$", 0)))
     digests = F.array(F.base64(F.unhex(F.sha2(F.col("h").cast("string"), 256))), F.base64(F.unhex(F.sha2(F.concat(F.lit("x"), F.col("h").cast("string")), 256))))
     words = F.regexp_extract_all(masked(F.col("text"), F.col("s"), " "), F.lit("(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{4,15}(?![A-Za-z0-9_-])"), 0)
     return spanned.select(F.explode(F.concat(
         F.transform(F.concat(values, digests), lambda v: F.struct(v.alias("sample"), F.lit(True).alias("random"))),
-        F.transform(F.slice(words, 1, 2_000), lambda v: F.struct(v.alias("sample"), F.lit(False).alias("random"))))).alias("e")).select("e.*")
+        F.transform(let(words, chosen_words), lambda v: F.struct(v.alias("sample"), F.lit(False).alias("random"))))).alias("e")).select("e.*")
 
 
 def log_ratios(samples: DataFrame) -> list[float]:
@@ -97,23 +132,28 @@ def model_spans(text: Column, base: Column, ratios: list[float]) -> Column:
     score = lambda t: let(code(F.split(t, "")), lambda v: F.aggregate(F.sequence(F.lit(0), F.size(v) - 1), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(
         table, F.coalesce(F.get(v, i - 1), F.lit(0)) * n + F.get(v, i) - 1), F.lit(0.0))))
 
-    def told(t: Column, s: Column) -> Column:
-        piece = F.substring(t, s["start"] + 1, s["end"] - s["start"])
-        clear = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-        return clear & piece.rlike("[0-9]") & piece.rlike("[A-Za-z]") & (let(piece, score) > LEAST_LOG_RATIO)
+    meets = lambda b, s: F.coalesce((b["start"] < s["end"]) & (b["end"] > s["start"]), F.lit(False))
+    bounded = F.transform(in_blocks(base), lambda b: F.struct(F.array_min(F.transform(b, lambda x: x["start"])).alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end"), b.alias("spans")))
+
+    def told(t: Column, blocks: Column, s: Column) -> Column:
+        clear = ~F.exists(blocks, lambda b: meets(b, s) & F.exists(b["spans"], lambda x: meets(x, s)))
+        random = lambda piece: piece.rlike("[0-9]") & piece.rlike("[A-Za-z]") & (score(piece) > LEAST_LOG_RATIO)
+        return clear & let(between(t, s["start"], s["end"]), random)
     runs = spans_of(text, len(KINDS), CANDIDATE, 0, 16)
-    return let(text, lambda t: F.transform(F.filter(runs, lambda s: told(t, s)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    some = let(cut_up(text), lambda t: let(bounded, lambda blocks: F.transform(F.filter(runs, lambda s: told(t, blocks, s)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))))
+    return F.when(text.rlike(CANDIDATE), some).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
 def masked(text: Column, spans: Column, mark: str = MARK) -> Column:
     """The text with each span, or run of overlapping spans, replaced by the mark; spans sorted by start."""
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+    def cut(pieces: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            fresh = F.array(F.concat(between(pieces, acc["at"], s["start"]), F.lit(mark)))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
+        walk = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
+        last = lambda block: F.coalesce(F.array_max(F.transform(block, lambda s: s["end"])), F.lit(0))
+        return F.concat(F.array_join(running(spans, last, lambda a, b: F.greatest(a, b), walk), ""), between(pieces, last(spans), F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(let(cut_up(text), cut))
 
 
 def listed(spans: Column) -> Column:
@@ -125,7 +165,8 @@ def listed(spans: Column) -> Column:
 def scan(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Every input row with ``_base`` and ``_spans`` (base and model spans), arrays of (start, kind, end) by start, then kind.
 
-    A null text is an empty one and has no spans. Every text is scanned whole; repeated rows get the same spans. Ties at one start
+    A null text is an empty one and has no spans. Every text is scanned whole, a very long one or one of very many matches in about
+    linear time; repeated rows get the same spans. Columns named like a result are replaced, all others are kept. Ties at one start
     are ordered by kind. Without documents there are no rows, and models learnt from nothing find nothing.
     """
     ratios = log_ratios(label_samples(docs, sample))

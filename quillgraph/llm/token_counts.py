@@ -3,7 +3,7 @@
 The vocabulary is a trie of UTF-8 bytes: a root for word beginnings and one for continuations. Every node carries a failure link and
 the number of pieces popped on the way: where a node has no child for the next byte, the greedy tokenizer would emit those pieces
 and go on from the linked node. A word therefore costs time linear in its length, and no piece is ever built. The automaton
-walks all distinct words of a batch together, one byte position at a time.
+walks all distinct words of a batch together, one byte position at a time, and the few longest one after the other.
 """
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from quillgraph.llm.common import need
 from quillgraph.llm.words import word_groups
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+FEW = 64  # so many words left are walked one by one: an array operation per byte pays for many words only
 MOST_PIECES = 2_000_000  # a vocabulary, which every executor holds; not data
 
 
@@ -69,6 +70,21 @@ class Automaton:
         self.keys = np.array([k for k, _ in edges] or [-1], np.int64)
         self.targets = np.array([v for _, v in edges] or [0], np.int64)
         self.link, self.popped = np.array(link, np.int64), np.array(popped, np.int64)
+        self.table = None  # the same as Python objects, made where a word is walked alone
+
+    def _alone(self, data: bytes, state: int, total: int) -> tuple[int, int]:
+        """Walks one word on from a state, byte by byte; state -1 where greedy matching fails."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), self.targets.tolist())), self.link.tolist(), self.popped.tolist()
+        edges, link, popped = self.table
+        for byte in data:
+            while (to := edges.get(state << 8 | byte, -1)) < 0:
+                total += popped[state]
+                state = link[state]
+                if state < 0:
+                    return -1, -1
+            state = to
+        return state, total
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Pieces of each word data[start:end]; 0 where greedy matching fails, for the caller's unknown piece."""
@@ -81,6 +97,12 @@ class Automaton:
             ended = lengths[live] <= at
             self._finish(live[ended], state, total)
             live = live[~ended]
+            if len(live) <= FEW:
+                for w in live.tolist():
+                    state[w], total[w] = self._alone(data[starts[w] + at:ends[w]].tobytes(), int(state[w]), int(total[w]))
+                live = live[state[live] >= 0]
+                self._finish(live, state, total)
+                break
             todo = live
             byte = data[starts[live] + at].astype(np.int64)
             while len(todo):
@@ -113,7 +135,7 @@ def token_counts(docs: DataFrame, initial: list[str], further: list[str]) -> Dat
     """Per input row: doc_id, n_words, n_tokens and n_unknown (words that greedy matching cannot cover, one token each).
 
     Words are runs of other than the six ASCII blanks, case kept. Null, empty and blank texts have zeros. A vocabulary without
-    pieces makes every word unknown. Repeated rows are counted each; other columns are dropped; an empty table gives no rows.
+    pieces makes every word unknown. Very long texts and words are walked whole. Repeated rows are counted each; other columns are dropped; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(initial, further))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import free_names
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PLACE_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 # Pattern language: * any run, ^ a character other than a-z and 0-9 or an end, all else literal; found anywhere after "://".
@@ -47,7 +49,7 @@ def compiled(rules: DataFrame) -> DataFrame:
 
 
 def url_tokens(urls: DataFrame) -> DataFrame:
-    """(url, subject, place, token): each distinct token of a URL once, and the empty key."""
+    """(url, token): each distinct token of a URL once, and the empty key."""
     rest = F.regexp_extract("url", r"://([\s\S]*)$", 1)
     tokens = F.array_distinct(F.concat(F.regexp_extract_all(fold(rest), F.lit("[a-z0-9]+"), 0), F.array(F.lit(""))))
     return urls.select("url", F.explode(tokens).alias("token"))
@@ -68,7 +70,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     pattern that fits by text; else null) and verdict: the rule's, else block if a pattern says so, else allow.
 
     A URL that is null or lacks ``://`` has an empty host and path, fits nothing and is allowed. Repeated URLs are judged once and
-    joined back; ids play no part. Columns of the same names in the input are replaced. An empty table gives no rows.
+    joined back; ids play no part. Very long URLs are judged whole. Columns named like a result are replaced, all others are kept,
+    whatever their names. An empty table gives no rows.
     """
     given = pages.drop("host", "path", "rule", "pattern", "verdict")
     urls = given.select(F.col("url").cast("string").alias("url")).filter(F.col("url").contains("://")).distinct()
@@ -78,8 +81,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     fits = tokens.join(index, "token").filter(F.regexp_like(subject, F.col("expression")))
     best = fits.groupBy("url").agg(
         F.min(F.when(F.col("place"), F.struct((-F.length("rule")).alias("n"), "rule", "verdict"))).alias("_p"),
-        F.min(F.when(~F.col("place"), F.struct("rule", "verdict"))).alias("_q")).withColumnRenamed("url", "_url")
+        F.min(F.when(~F.col("place"), F.struct("rule", "verdict"))).alias("_q"))
+    key, placed, met = free_names(given, "_url", "_p", "_q")
+    best = best.select(F.col("url").alias(key), F.col("_p").alias(placed), F.col("_q").alias(met))
     url = F.col("url").cast("string")
-    return (given.join(best, url == F.col("_url"), "left").withColumns({
-        "host": host_of(url), "path": path_of(url), "rule": F.col("_p.rule"), "pattern": F.col("_q.rule"),
-        "verdict": F.coalesce("_p.verdict", "_q.verdict", F.lit("allow"))}).drop("_url", "_p", "_q"))
+    return (given.join(best, url == F.col(key), "left").withColumns({
+        "host": host_of(url), "path": path_of(url), "rule": F.col(placed)["rule"], "pattern": F.col(met)["rule"],
+        "verdict": F.coalesce(F.col(placed)["verdict"], F.col(met)["verdict"], F.lit("allow"))}).drop(key, placed, met))

@@ -3,7 +3,8 @@
 An archive is a row run (archive, block, content): its bytes in blocks of bounded size, written by Spark's own writer to any store
 Spark reaches, so a lost executor costs a retried task and never half an archive. The normaliser inflates the single gzip stream of
 an archive block by block, rewrites every record as a gzip member of its own and lists each member's offset in a sidecar index; it
-holds one record and one block at a time. ``archive_blocks`` reads real files, ``export_files`` writes real files and indexes.
+holds one record and one block at a time. An archive that ends early or cannot be read to its end is reported with what was read and
+what was left; its whole records before that place are kept. ``archive_blocks`` reads real files, ``export_files`` writes real files and indexes.
 """
 from __future__ import annotations
 
@@ -22,6 +23,7 @@ from quillgraph.llm.common import small_or_joined
 
 BLOCK_BYTES = 1 << 20
 ARCHIVE_BYTES = 64 << 20
+TASK_BLOCKS = 64
 LEVEL = 6
 BLOCKS = "archive string, block long, content binary"
 ROWS = "archive string, block long, content binary, offset long, length long, record_id string, record_type string, target string, digest string"
@@ -52,7 +54,7 @@ def headers_of(head: bytes) -> dict[str, str]:
 
 
 class Records:
-    """Feeds on inflated bytes and yields whole records; holds the unfinished one only."""
+    """Feeds on inflated bytes and yields whole records; holds the unfinished one only. Raises ValueError on a length that is none."""
 
     def __init__(self):
         self.rest = bytearray()
@@ -66,6 +68,8 @@ class Records:
                 return
             head = headers_of(bytes(self.rest[:at]))
             size = at + len(_END) + int(head.get("content-length", 0)) + len(_END)
+            if size < at + 2 * len(_END):
+                raise ValueError("negative length")
             if len(self.rest) < size:
                 self.need = size
                 return
@@ -129,32 +133,69 @@ def _monolithic(batches):
     yield from _batches(rows(), _BLOCK_SCHEMA)
 
 
+class Normaliser:
+    """Takes the blocks of one archive in order and gives block rows (content set), index rows (offset set) and, where the archive is
+    damaged, one row with neither: bytes read under block, bytes left of an unfinished record under length, the reason as type."""
+
+    def __init__(self, name: str):
+        self.name, self.records, self.out = name, Records(), bytearray()
+        self.inflate, self.read, self.offset, self.block, self.wrong = zlib.decompressobj(47), 0, 0, 0, None
+
+    def _kept(self, plain: bytes) -> Iterator[tuple]:
+        for head, raw in self.records.feed(plain):
+            own = member(raw)
+            digest = head.get("warc-payload-digest", "")
+            yield (self.name, self.block, None, self.offset, len(own), head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), digest.removeprefix("sha1:") or None)
+            self.out += own
+            self.offset += len(own)
+            if len(self.out) >= BLOCK_BYTES:
+                yield from self._flushed()
+
+    def _flushed(self) -> Iterator[tuple]:
+        if self.out:
+            yield (self.name, self.block, bytes(self.out), *[None] * 6)
+            self.out, self.block = bytearray(), self.block + 1
+
+    def take(self, data: bytes) -> Iterator[tuple]:
+        if self.wrong:
+            return
+        self.read += len(data)
+        try:
+            while data:
+                if self.inflate.eof:  # a file that already has several members
+                    self.inflate = zlib.decompressobj(47)
+                plain = self.inflate.decompress(data, BLOCK_BYTES)
+                data = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+                yield from self._kept(plain)
+        except (zlib.error, ValueError) as e:
+            self.wrong = f"unreadable: {e}"
+
+    def finish(self) -> Iterator[tuple]:
+        try:
+            while not self.wrong and not self.inflate.eof and (plain := self.inflate.decompress(b"", BLOCK_BYTES)):
+                yield from self._kept(plain)
+        except (zlib.error, ValueError) as e:
+            self.wrong = f"unreadable: {e}"
+        yield from self._flushed()
+        if not self.wrong and not self.inflate.eof:
+            self.wrong = "the stream has no end"
+        if not self.wrong and self.records.rest:
+            self.wrong = "the last record has no end"
+        if self.wrong:
+            yield (self.name, self.read, None, None, len(self.records.rest), None, self.wrong, None, None)
+
+
 def _normalised(batches):
-    """Blocks in order to block rows (content set) and index rows (offset set). A block row holds whole members."""
     def rows():
-        name, inflate, records, out, offset, block = None, None, None, bytearray(), 0, 0
+        at = None
         for archive, _, content in _column_rows(batches, ["archive", "block", "content"]):
-            if archive != name:
-                if out:
-                    yield (name, block, bytes(out), *[None] * 6)
-                name, inflate, records, out, offset, block = archive, zlib.decompressobj(47), Records(), bytearray(), 0, 0
-            data = content
-            while data:
-                plain = inflate.decompress(data, BLOCK_BYTES)
-                data = inflate.unconsumed_tail
-                if inflate.eof and inflate.unused_data:  # a file that already has several members
-                    data, inflate = inflate.unused_data, zlib.decompressobj(47)
-                for head, raw in records.feed(plain):
-                    own = member(raw)
-                    digest = head.get("warc-payload-digest", "")
-                    yield (name, block, None, offset, len(own), head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), digest.removeprefix("sha1:") or None)
-                    out += own
-                    offset += len(own)
-                    if len(out) >= BLOCK_BYTES:
-                        yield (name, block, bytes(out), *[None] * 6)
-                        out, block = bytearray(), block + 1
-        if out:
-            yield (name, block, bytes(out), *[None] * 6)
+            if at is None or archive != at.name:
+                if at:
+                    yield from at.finish()
+                at = Normaliser(archive)
+            yield from at.take(content)
+        if at:
+            yield from at.finish()
     yield from _batches(rows(), _ROW_SCHEMA)
 
 
@@ -171,16 +212,28 @@ def archive_blocks(spark: SparkSession, path: str) -> DataFrame:
         "archive", F.col("n").cast("long").alias("block"), F.substring("content", F.col("n") * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES)).alias("content"))
 
 
-def normalise(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks, index) of the rewritten archives: blocks (archive, block, content) of whole members, and per record (archive, block,
-    offset, length, record_id, record_type, target, digest), offsets counted from the archive's first byte."""
+def normalise(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, index, damaged) of the rewritten archives: blocks (archive, block, content) of whole members; per record (archive,
+    block, offset, length, record_id, record_type, target, digest), offsets counted from the archive's first byte; and per archive
+    that could not be read to its end (archive, bytes_read, bytes_left, reason), where bytes_left counts the inflated bytes of the
+    record that has no end. Tasks hold about ``TASK_BLOCKS`` blocks each, however many archives there are."""
     spark = blocks.sparkSession
     path = scratch_path(spark, "warc")
-    ordered = blocks.repartition("archive").sortWithinPartitions("archive", "block")
-    rows = ordered.mapInArrow(_normalised, ROWS).withColumn("kind", F.when(F.col("content").isNotNull(), "data").otherwise("index"))
+    tasks = -(-blocks.count() // TASK_BLOCKS)
+    placed = blocks.repartition(tasks, "archive") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else blocks.repartition("archive")
+    rows = placed.sortWithinPartitions("archive", "block").mapInArrow(_normalised, ROWS).withColumn(
+        "kind", F.when(F.col("content").isNotNull(), "data").when(F.col("offset").isNotNull(), "index").otherwise("damaged"))
     rows.write.partitionBy("kind").parquet(path)
-    both = spark.read.schema(f"{ROWS}, kind string").parquet(path)
-    return both.filter("kind = 'data'").select("archive", "block", "content"), both.filter("kind = 'index'").drop("kind", "content")
+    every = spark.read.schema(f"{ROWS}, kind string").parquet(path)
+    damaged = every.filter("kind = 'damaged'").select("archive", F.col("block").alias("bytes_read"), F.col("length").alias("bytes_left"), F.col("record_type").alias("reason"))
+    return every.filter("kind = 'data'").select("archive", "block", "content"), every.filter("kind = 'index'").drop("kind", "content"), damaged
+
+
+def must_be_whole(damaged: DataFrame) -> None:
+    """Raises ValueError if an archive is damaged; names ten of them at most."""
+    found = damaged.orderBy("archive").limit(10).collect()
+    if found:
+        raise ValueError("damaged archives: " + "; ".join(f"{r.archive} ({r.reason}, {r.bytes_read} bytes read, {r.bytes_left} left)" for r in found))
 
 
 def read_records(blocks: DataFrame, index: DataFrame) -> DataFrame:
@@ -190,9 +243,11 @@ def read_records(blocks: DataFrame, index: DataFrame) -> DataFrame:
 
     def run(batches):
         names = ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+        batch_of = lambda out: pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
         for batch in batches:
             for content, base, wanted in _column_rows(iter([batch]), ["content", "base", "entries"]):
-                out = []
+                out, held = [], 0
                 for e in wanted:
                     a = e["offset"] - base
                     raw = zlib.decompress(content[a:a + e["length"]], 31)
@@ -205,8 +260,11 @@ def read_records(blocks: DataFrame, index: DataFrame) -> DataFrame:
                     if payload is not None and (len(payload) != size or digest_of(payload) != digest):
                         raise ValueError(f"damaged record {head['warc-record-id']}")
                     out.append((head["warc-record-id"], head["warc-type"], head.get("warc-refers-to"), size, digest, payload))
-                types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+                    held += len(raw)
+                    if held >= BLOCK_BYTES:  # a block of well-packing records inflates to many times its size
+                        yield batch_of(out)
+                        out, held = [], 0
+                yield batch_of(out)
     return blocks.join(entries, ["archive", "block"]).select("content", "base", "entries").mapInArrow(
         run, "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
 
@@ -263,7 +321,8 @@ def page_of(urn: Column) -> Column:
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Pages to archives and back: page_id, payload_bytes, payload_digest, record_type, refers_to, one row per page. An empty
-    table gives no rows; other columns are dropped."""
-    blocks, index = normalise(write_archives(with_revisits(pages, least_bytes)))
+    table gives no rows; very long pages are kept whole; other columns are dropped. A damaged archive is an error."""
+    blocks, index, damaged = normalise(write_archives(with_revisits(pages, least_bytes)))
+    must_be_whole(damaged)
     got = read_records(blocks, index)
     return got.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))

@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -371,7 +372,8 @@ def test_warc(spark, tmp_path):
     whole = b"".join(warc.record_bytes(f"<urn:page:{i}>", "http://x/", f"payload {i} ".encode() * 500, None) for i in range(300))
     (tmp_path / "in").mkdir(), (tmp_path / "out").mkdir()
     (tmp_path / "in" / "m.warc.gz").write_bytes(gzip.compress(whole))
-    blocks, index = warc.normalise(warc.archive_blocks(spark, str(tmp_path / "in")))
+    blocks, index, damaged = warc.normalise(warc.archive_blocks(spark, str(tmp_path / "in")))
+    assert damaged.count() == 0
     warc.export_files(blocks, index, str(tmp_path / "out"))
     data = (tmp_path / "out" / "m.warc.gz.warc.gz").read_bytes()
     assert gzip.decompress(data) == whole
@@ -381,6 +383,89 @@ def test_warc(spark, tmp_path):
         assert name.encode() in zlib.decompress(data[int(offset):int(offset) + int(length)], 31)
 
 
+def test_damaged_archives_are_reported(spark, tmp_path):
+    """Whole records before the damage are kept, and nothing is lost in silence."""
+    record = [warc.record_bytes(f"<urn:page:{i}>", "http://x/", os.urandom(4000).hex().encode(), None) for i in range(300)]
+    whole = b"".join(record)
+    packed = gzip.compress(whole)
+    files = {"whole": packed, "members": b"".join(map(gzip.compress, record)), "cut": packed[:len(packed) // 2], "short": gzip.compress(whole[:-1000]),
+             "tail": packed + b"no gzip member", "length": gzip.compress(record[0] + b"WARC/1.1\r\nContent-Length: x\r\n\r\n" + record[1]), "zeros": gzip.compress(warc.record_bytes("<urn:page:0>", None, b"0" * 9_000_000, None))}
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    _, index, damaged = warc.normalise(warc.archive_blocks(spark, str(tmp_path)))
+    kept = {r.archive.split(".")[0]: r["count"] for r in index.groupBy("archive").count().collect()}
+    assert kept["whole"] == kept["members"] == kept["tail"] == 300 and kept["short"] == 299 and 100 < kept["cut"] < 160 and kept["length"] == 1 and kept["zeros"] == 1
+    found = {r.archive.split(".")[0]: r for r in damaged.collect()}
+    assert set(found) == {"cut", "short", "tail", "length"}
+    assert found["cut"].bytes_read == len(files["cut"]) and found["short"].bytes_left == len(record[-1]) - 1000 and "end" in found["cut"].reason
+    with pytest.raises(ValueError, match="cut.warc.gz"):
+        warc.must_be_whole(damaged)
+
+
+CLASHING = ("_lang", "_source", "_f", "_Lines", "_squeezed", "_squeezed_")
+
+
+def test_inputs_may_have_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = docs.withColumns({c: F.lit(c) for c in CLASHING})
+    plain = {r.doc_id: (r._kept, r._m) for r in quality.judge(docs).collect()}
+    got = quality.judge(wide)
+    assert {r.doc_id: (r._kept, r._m) for r in got.collect()} == plain and set(wide.columns) < set(got.columns)
+    assert got.filter("_lang <> '_lang' or _f <> '_f' or _lines <> '_Lines'").count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if "sketch" in t.name]
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rules = url_rules.rule_table(spark)
+    told = lambda df: sorted((r.page_id, r.host, r.rule or "", r.verdict) for r in url_rules.judge_urls(df, rules).collect())
+    assert told(pages.withColumns({c: F.lit(1) for c in CLASHING_PAGES})) == told(pages)
+
+
+CLASHING_PAGES = ("_url", "_p", "_q", "token", "expression", "place", "tokens")
+
+
+def test_secrets_with_very_many_matches(spark):
+    """Positions, model spans and the mask of a dump of keys, across the blocks that sums and texts are cut into."""
+    rng = random.Random(3)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    parts = []
+    for i in range(6_000):
+        parts.append(rng.choice([f"{rng.getrandbits(128):032x}", f"password = {key(12)}", f"é😀 {key(24)}7a", "plain words here", f"AKIA{key(20).upper()}"]) + rng.choice([" ", "\n", "; "]))
+    dump = "".join(parts)
+    df = spark.createDataFrame([(1, dump), (2, "no secret"), (3, None), (4, "x" * 300_000), (5, dump + " end")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan(df).withColumn("clean", secrets.masked(F.coalesce("text", F.lit("")), F.col("_spans"))).collect()}
+    assert time.time() - began < 120
+    for i, t in ((1, dump), (5, dump + " end")):
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(secrets.KINDS) for m in re.finditer(p, t) if len(m.group(g)) >= n)
+        assert [(s.start, s.kind, s.end) for s in got[i]._base] == spans and len(got[i]._spans) > len(spans) > 3_000
+        runs = {m.span() for m in re.finditer(secrets.CANDIDATE, t)}
+        assert all((s.start, s.end) in runs and not any(a < s.end and b > s.start for a, _, b in spans) for s in got[i]._spans if s.kind == 3)
+        out, at = [], 0
+        for s in got[i]._spans:
+            if s.start >= at:
+                out += [t[at:s.start], secrets.MARK]
+            at = max(at, s.end)
+        assert got[i].clean == "".join(out) + t[at:]
+    assert got[2].clean == "no secret" and got[3].clean == "" and got[4].clean == "x" * 300_000
+
+
+def test_token_counts_of_very_long_words():
+    initial, further = ["a", "ab", "abc", ""], ["a", "b", "c", "bc", "cab", "é", "éa"]
+    made = token_counts.Automaton(initial, further)
+    rng = random.Random(5)
+    for n in (1, 7, 5_000, 200_000):
+        word = "".join(rng.choice("abcé") for _ in range(n)) + rng.choice(["", "z"])
+        at, expected, pieces = 0, 0, initial
+        while at < len(word):
+            size = max((len(p) for p in pieces if word.startswith(p, at)), default=None)
+            if size is None:
+                expected = 0
+                break
+            expected, at, pieces = expected + 1, at + size, further
+        data = np.frombuffer(word.encode(), np.uint8)
+        began = time.time()
+        assert made.counts(data, np.array([0]), np.array([len(data)]))[0] == expected and time.time() - began < 5
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
