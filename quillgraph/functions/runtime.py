@@ -46,6 +46,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def children(spark: SparkSession, path: str, holding: str) -> list[str]:
+    """Names of the folders below ``path`` that hold a file of the given name; none where the path does not exist."""
+    fs, target = _file_system(spark, path)
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [s.getPath() for s in fs.listStatus(target) if s.isDirectory()] if fs.exists(target) else []
+    return sorted(p.getName() for p in found if fs.exists(path_of(p, holding)))
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Removes a scratch folder that this run wrote itself."""
     fs, target = _file_system(spark, path)

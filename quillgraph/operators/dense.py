@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 DENSE_CANDIDATES = 30
 BLOCK_ROWS = 4096
+QUERY_ROWS = 256  # queries whose scores against a block are held at once
 BATCH_SIZE = 10
 ATTEMPTS = 3
 
@@ -40,29 +41,37 @@ def validate_vectors(vectors: DataFrame, passages: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason).withColumn("usable", reason.isNull())
 
 
+def top_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest finite scores of each row; of equal ones the first columns."""
+    if scores.shape[1] > k:
+        last = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+        above, level = scores > last, scores == last
+        chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    else:
+        chosen = np.ones(scores.shape, bool)
+    return np.nonzero(chosen & np.isfinite(scores))
+
+
 def _block_top(k: int):
     def best(key, vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "corpus_id", "passage_id", "section_order", "start_char", "score"]
         out = []
         if len(vectors) and len(asked):
+            vectors = vectors.sort_values(["start_char", "passage_id"], kind="stable", ignore_index=True)  # equal scores rank in this order
             matrix = np.vstack(vectors["embedding"].to_numpy())
-            orders = vectors["section_order"].to_numpy()
-            asked = asked[[len(v) == matrix.shape[1] for v in asked["vector"]]]
-            if len(asked):
-                scores = np.vstack(asked["vector"].to_numpy()) @ matrix.T
-                for row, (qid, low, high) in enumerate(zip(asked["query_id"], asked["scope_from"], asked["scope_to"])):
-                    allowed = np.ones(len(orders), bool)
-                    if not pd.isna(low):
-                        allowed &= orders >= low
-                    if not pd.isna(high):
-                        allowed &= orders <= high
-                    rows = np.flatnonzero(allowed)
-                    score = np.round(scores[row][rows], 9)
-                    pick = rows[np.lexsort((vectors["passage_id"].to_numpy()[rows].astype(str),
-                                            vectors["start_char"].to_numpy()[rows], -score))[:k]]
-                    top = vectors.iloc[pick][["corpus_id", "passage_id", "section_order", "start_char"]].copy()
-                    top.insert(0, "query_id", qid)
-                    top["score"] = scores[row][pick]
+            orders = vectors["section_order"].to_numpy(float, na_value=np.nan)
+            asked = asked[[v is not None and len(v) == matrix.shape[1] for v in asked["vector"]]]
+            low = asked["scope_from"].to_numpy(float, na_value=np.nan)[:, None]
+            high = asked["scope_to"].to_numpy(float, na_value=np.nan)[:, None]
+            for at in range(0, len(asked), QUERY_ROWS):
+                part = slice(at, at + QUERY_ROWS)
+                scores = np.vstack(asked["vector"].iloc[part].to_numpy()) @ matrix.T
+                allowed = (np.isnan(low[part]) | (orders >= low[part])) & (np.isnan(high[part]) | (orders <= high[part]))
+                row, column = top_columns(np.where(allowed, np.round(scores, 9), -np.inf), k)
+                top = vectors.iloc[column][["corpus_id", "passage_id", "section_order", "start_char"]].reset_index(drop=True)
+                top.insert(0, "query_id", asked["query_id"].iloc[part].to_numpy()[row])
+                top["score"] = scores[row, column]
+                if len(top):
                     out.append(top)
         return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
     return best
@@ -72,8 +81,8 @@ def dense_ranking(queries: DataFrame, vectors: DataFrame, k: int = DENSE_CANDIDA
     """Exact cosine top-k per query over unit vectors, eligible sections filtered before ranking.
 
     A corpus is cut into blocks of bounded size, so a huge corpus spreads over many tasks. Every
-    block multiplies its rows with its corpus' queries and keeps k rows per query; only those are
-    merged. Queries: query_id, corpus_id, vector, scope_from, scope_to. Other dimensions find nothing.
+    block multiplies its rows with its corpus' queries, a few hundred at a time, and selects k rows of
+    each on the score matrix; only those are merged. Queries: query_id, corpus_id, vector, scope_from, scope_to. Other dimensions find nothing.
     """
     blocks = lambda df, name: df.groupBy("corpus_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
     number = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
@@ -92,12 +101,14 @@ def dense_ranking(queries: DataFrame, vectors: DataFrame, k: int = DENSE_CANDIDA
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def embed_passages(passages: DataFrame, fn: Callable[[list[str]], list[list[float]]], existing: DataFrame | None = None) -> DataFrame:
+def embed_passages(passages: DataFrame, fn: Callable[[list[str]], list[list[float]]], existing: DataFrame | None = None,
+                   passing: tuple[type[Exception], ...] = (OSError, TimeoutError)) -> DataFrame:
     """Calls ``fn`` on fixed-size batches inside the tasks; up to three attempts per batch.
 
     ``existing`` lists corpora (corpus_id) whose stored vectors are valid; they are left out. A batch
-    that keeps failing, or answers with another count, leaves null vectors, which makes
-    ``validate_vectors`` report its corpus as lexical only.
+    that keeps failing with one of the errors ``passing`` names (connection errors are OSErrors), or answers
+    with another count, leaves null vectors, which makes ``validate_vectors`` report its corpus as lexical only.
+    Any other error of ``fn`` is one of its code and fails the job.
     """
     todo = passages if existing is None else passages.join(existing.select("corpus_id").distinct(), "corpus_id", "left_anti")
 
@@ -113,7 +124,7 @@ def embed_passages(passages: DataFrame, fn: Callable[[list[str]], list[list[floa
                     try:
                         reply = fn(texts)
                         answer = reply if len(reply) == len(texts) else None
-                    except Exception:  # providers fail in their own ways
+                    except passing:
                         answer = None
                 vectors += answer if answer is not None else [None] * len(texts)
                 attempts += [used] * len(texts)

@@ -61,15 +61,20 @@ def w02(spark, sf):
 
 @register("w03_live_turns", R.SQL["t03_turn_state"])
 def w03(spark, sf):
-    path = _collect(spark, P.live_turns(R.run_events(_Streamed(spark), sf)), "update", "turns")
-    return P.latest_rows(spark, path, ["run_id"])
+    path, events = scratch_path(spark, "turns"), R.run_events(_Streamed(spark), sf)
+    types = dict(events.dtypes)
+    store = P.turn_store(spark, f"{path}/out", types["run_id"], types["timestamp"])
+    P.stream_turns(events, store, f"{path}/checkpoint")
+    return P.turns_now(store)
 
 
 @register("w04_live_usage", R.SQL["t02_usage_by_node"])
 def w04(spark, sf):
     usage = normalize_usage(R.usage_events(_Streamed(spark), sf))
-    path = _collect(spark, P.live_usage(usage), "update", "usage")
-    return P.latest_rows(spark, path, ["run_id", "node", "is_total"])
+    path = scratch_path(spark, "usage")
+    store = P.usage_store(spark, f"{path}/out", dict(usage.dtypes)["run_id"])
+    P.stream_usage(usage, store, f"{path}/checkpoint")
+    return P.usage_now(store)
 
 
 @register("w05_inactive_sweep", """SELECT user_id AS run_id, max(event_id) + 1 AS sequence, 'failed' AS status FROM events GROUP BY 1

@@ -1,20 +1,22 @@
 """Structured Streaming: corpus intake, event intake, live turn state and usage, inactivity sweep.
 
 Results go to Parquet in the shared folder through foreachBatch. Every micro-batch owns one sub-folder that a
-replay overwrites, so a restarted query neither loses nor repeats rows.
+replay overwrites, so a restarted query neither loses nor repeats rows. Turn state and usage keep no operator state: a batch is folded
+to one part per run, parts merge in any order, and a ``BatchStore`` holds them in few folders.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillgraph.functions.runtime import exists
-from quillgraph.operators.runs import ACTIVE, fold_turns, usage_rollup
+from quillgraph.functions.runtime import cut_lineage, forget
+from quillgraph.operators.runs import ACTIVE, finished_turns, finished_usage, merged_turns, merged_usage, turn_parts, usage_parts
 from quillgraph.sources.corpora import decode_files
+from quillgraph.streaming.store import BatchStore
 
 EVENT_SCHEMA = "run_id string, sequence bigint, timestamp timestamp, type string, status string, node string, detail string, snapshot string, error string"
 
@@ -27,28 +29,44 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
-def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of every key that an update stream has written."""
-    rows = spark.read.parquet(path)
-    cols = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("v")).select(*keys, "v.*")
+def merge_batches(stream: DataFrame, store: BatchStore, checkpoint: str, fold: Callable[[DataFrame], DataFrame]) -> None:
+    """Runs the stream over everything available now; the folded rows of each micro-batch go to the store."""
+    save = lambda batch, batch_id: store.add(fold(batch), batch_id)
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
 
 
-def stream_corpus(spark: SparkSession, path: str, store: str, checkpoint: str, pattern: str = "*.txt") -> None:
-    """New text files only; a text whose content the store already has, or that repeats inside the batch, is left out."""
+HASH_PREFIX = 2  # hex digits: 256 folders of hashes
+
+
+def known_hashes(spark: SparkSession, store: str) -> BatchStore:
+    """The content hashes of a store, laid out by their first digits."""
+    return BatchStore(spark, f"{store}/hashes", "source_hash string, prefix string", by="prefix")
+
+
+def stream_corpus(spark: SparkSession, path: str, store: str, checkpoint: str, pattern: str = "*.txt", files_per_batch: int | None = None) -> None:
+    """New text files only; a text whose content the store already has, or that repeats inside the batch, is left out.
+
+    A batch reads only the known hashes whose first digits it meets itself, from a number of files that does not follow the number
+    of batches before it. A replayed batch compares itself with earlier batches alone.
+    """
     files = (spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-             .schema("path string, modificationTime timestamp, length bigint, content binary").load(path))
+             .schema("path string, modificationTime timestamp, length bigint, content binary"))
+    files = (files.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else files).load(path)
 
     def intake(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         corpus, rejects = decode_files(batch)
         winners = corpus.groupBy("source_hash").agg(F.min("path").alias("path"))
-        fresh = corpus.join(winners, ["source_hash", "path"], "left_semi")
-        if exists(session, f"{store}/corpus"):
-            known = session.read.parquet(f"{store}/corpus").filter(F.col("batch") < batch_id).select("source_hash")
-            fresh = fresh.join(known, "source_hash", "left_anti")
+        decoded, scratch = cut_lineage(corpus.join(winners, ["source_hash", "path"], "left_semi"), "intake")
+        prefix = F.substring("source_hash", 1, HASH_PREFIX)
+        met = [r[0] for r in decoded.select(prefix).distinct().collect()]
+        hashes = known_hashes(session, store)
+        known = hashes.read(before=batch_id).filter(F.col("prefix").isin(met)).select("source_hash")
+        fresh = decoded.join(known, "source_hash", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{store}/corpus/batch={batch_id}")
         rejects.write.mode("overwrite").parquet(f"{store}/rejects/batch={batch_id}")
+        hashes.add(fresh.select("source_hash", prefix.alias("prefix")), batch_id)
+        forget(session, scratch)
 
     files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(intake).start().awaitTermination()
 
@@ -62,15 +80,40 @@ def unique_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["run_id", "sequence"])
 
 
-def live_turns(events: DataFrame) -> DataFrame:
-    """Turn state as a streaming aggregate (update mode): each attribute keeps its latest touching sequence,
-    so an event that arrives late never overwrites a newer one, and no Python state is needed."""
-    return fold_turns(events)
+_TURN = ("run_id {key}, last_sequence bigint, event_count bigint, status struct<at: bigint, v: string>, timestamp struct<at: bigint, v: {time}>, "
+         "snapshot struct<at: bigint, v: string>, error struct<at: bigint, v: string>, retryable struct<at: bigint, v: boolean>, "
+         "resumable struct<at: bigint, v: boolean>, completed_at struct<at: bigint, v: {time}>")
+_USAGE = ("run_id {key}, node string, input_tokens bigint, output_tokens bigint, total_tokens bigint, reasoning_tokens bigint, cached_tokens bigint, "
+          "elapsed_seconds double, reported_call_count bigint, unknown_call_count bigint")
+
+
+def turn_store(spark: SparkSession, path: str, key: str = "string", time: str = "timestamp") -> BatchStore:
+    """``key`` and ``time``: the types of the events' run_id and timestamp."""
+    return BatchStore(spark, path, _TURN.format(key=key, time=time), merged_turns)
+
+
+def stream_turns(events: DataFrame, store: BatchStore, checkpoint: str) -> None:
+    """Turn state of a stream of events: no run stays in an operator's state, ended or not. ``turns_now`` reads the result."""
+    merge_batches(events, store, checkpoint, turn_parts)
+
+
+def turns_now(store: BatchStore) -> DataFrame:
+    """The turn of every run after all batches, as ``fold_turns`` has it; an event that came late has replaced nothing newer."""
+    return finished_turns(store.read())
+
+
+def usage_store(spark: SparkSession, path: str, key: str = "string") -> BatchStore:
+    return BatchStore(spark, path, _USAGE.format(key=key), merged_usage)
+
+
+def stream_usage(usage: DataFrame, store: BatchStore, checkpoint: str) -> None:
+    """Token usage of a stream of calls, one part per batch, run and node. ``usage_now`` reads the result."""
+    merge_batches(usage, store, checkpoint, usage_parts)
 
 
-def live_usage(usage: DataFrame) -> DataFrame:
-    """Running totals by node and for the run, as one streaming aggregate (update mode)."""
-    return usage_rollup(usage)
+def usage_now(store: BatchStore) -> DataFrame:
+    """Totals by node and for the run after all batches, as ``usage_rollup`` has them."""
+    return finished_usage(store.read())
 
 
 _SWEPT = "run_id {key}, sequence bigint, timestamp timestamp, type string, status string, error string"

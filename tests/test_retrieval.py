@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import dense, lexical, search
@@ -83,6 +84,35 @@ def test_dense_blocks_equal_brute_force(spark):
     assert 9 not in got  # another dimension finds nothing
 
 
+def test_many_queries_on_equal_vectors(spark):
+    """Ties cross the cut of a block and of the query batches; the first places win, as when all scores are sorted."""
+    rng = np.random.default_rng(6)
+    kinds = rng.normal(size=(5, 4))
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    own = rng.integers(0, 5, 90)
+    vec = spark.createDataFrame([(1, int(100 - i), int(i % 3), int(i // 4), unit(kinds[own[i]]).tolist()) for i in range(90)],
+                                "corpus_id bigint, passage_id bigint, section_order bigint, start_char bigint, embedding array<double>")
+    asked = unit(rng.normal(size=(600, 4)))
+    scope = [(None, None), (1, None), (None, 1), (1, 1), (7, None)]
+    q = spark.createDataFrame([(i, 1, v.tolist(), *scope[i % 5]) for i, v in enumerate(asked)] + [(900, 1, None, None, None)],
+                              "query_id bigint, corpus_id bigint, vector array<double>, scope_from bigint, scope_to bigint")
+    got = {}
+    for r in dense.dense_ranking(q.filter("vector is not null"), vec, k=11, block_rows=40).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.passage_id
+    for i, v in enumerate(asked):
+        low, high = scope[i % 5]
+        ok = [j for j in range(90) if (low is None or j % 3 >= low) and (high is None or j % 3 <= high)]
+        right = sorted(ok, key=lambda j: (-round(float(unit(kinds[own[j]]) @ v), 9), j // 4, 100 - j))[:11]
+        assert [got.get(i, {}).get(n) for n in range(1, len(right) + 1)] == [100 - j for j in right] and len(got.get(i, {})) == len(right)
+
+
+def test_top_columns():
+    scores = np.array([[1.0, 3.0, 3.0, 2.0, 3.0], [-np.inf, 0.0, -np.inf, -np.inf, 0.0], [5.0, 5.0, 5.0, 5.0, 5.0]])
+    row, column = dense.top_columns(scores, 2)
+    assert list(zip(row, column)) == [(0, 1), (0, 2), (1, 1), (1, 4), (2, 0), (2, 1)]
+    assert len(dense.top_columns(scores, 9)[0]) == 12 and len(dense.top_columns(scores[:0], 2)[0]) == 0
+
+
 def test_diversity_takes_two_per_section_before_the_rest(spark):
     p = passages(spark, ["lantern " * (12 - i) for i in range(12)])
     q = queries(spark, "lantern", k=5)
@@ -104,6 +134,11 @@ def test_failing_provider_leaves_the_corpus_lexical(spark):
     assert all(r.embedding is None and r.attempts == 3 for r in out)
 
 
+def test_errors_of_the_callers_code_are_not_hidden(spark):
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        dense.embed_passages(passages(spark, ["a"]), lambda texts: [[1 / 0] for _ in texts]).collect()
+
+
 def test_context_is_clamped_at_the_ends(spark):
     chunks = spark.createDataFrame([(1, i, f"k{i}", f"s{i // 2}", i % 2, f"t{i}") for i in range(4)],
                                    "corpus_id bigint, chunk_order bigint, chunk_id string, section_id string, chunk_in_section bigint, text string")

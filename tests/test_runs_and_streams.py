@@ -1,12 +1,15 @@
 """Evidence folding, turn state and the streaming forms of both."""
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import evidence as A
 from quillgraph.operators import runs as T
 from quillgraph.sources import records as J
 from quillgraph.streaming import pipelines as P
+from quillgraph.streaming.store import BatchStore
 
 
 def test_skipped_proposals_reserve_nothing(spark):
@@ -43,12 +46,12 @@ def test_live_turns_and_dedup_equal_the_batch(spark, tmp_path):
     src = tmp_path / "in"
     write(src, "1.json", rows[:4])
     plain = lambda df: sorted(tuple(r) for r in df.drop("event_count").collect())
-    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
-    run = lambda: P.write_batches(P.live_turns(P.stream_events(spark, str(src))), out, mark, "update")
+    store = P.turn_store(spark, str(tmp_path / "out"))
+    run = lambda: P.stream_turns(P.stream_events(spark, str(src)), store, str(tmp_path / "mark"))
     run()
     write(src, "2.json", rows[4:])  # a repeat, and sequence 3 arriving after sequence 4
     run()
-    live = P.latest_rows(spark, out, ["run_id"])
+    live = P.turns_now(store)
     batch = T.fold_turns(spark.read.schema(EVENTS).json(str(src)))
     assert plain(live.select(batch.columns)) == plain(batch)
     a = live.filter("run_id = 'a'").first()
@@ -57,6 +60,59 @@ def test_live_turns_and_dedup_equal_the_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "u")).count() == 6
 
 
+def test_turns_of_many_batches_stay_in_few_folders(spark, tmp_path):
+    """Many batches, late events and ended runs: the same turns as in one go, a bounded number of folders, replays without effect."""
+    rng = random.Random(2)
+    rows = [event(f"r{i % 7}", i // 7, i % 60, rng.choice(["running", "completed", "failed"]), snapshot=f'{{"s":{i}}}', error="e" if i % 5 == 0 else None) for i in range(210)]
+    rng.shuffle(rows)
+    frame = lambda part: spark.createDataFrame([json.dumps(r) for r in part], "string").select(F.from_json("value", EVENTS).alias("e")).select("e.*")
+    store = BatchStore(spark, str(tmp_path / "s"), P.turn_store(spark, "").schema, T.merged_turns, width=4)
+    most = 0
+    for n in range(70):
+        part = T.turn_parts(frame(rows[3 * n:3 * n + 3]).coalesce(1)).coalesce(1)
+        store.add(part, n)
+        if n in (2, 15, 63):  # replayed: the batch sees none of its own rows before, and adds none twice
+            seen = store.read(before=n).agg(F.sum("event_count")).first()[0]
+            store.add(part, n)
+            assert seen == 3 * n
+        most = max(most, len(store.folders()))
+    assert most <= 4 * 8 and len(store.covering()) <= 4 * 3
+    batch = T.fold_turns(frame(rows))
+    assert sorted(map(tuple, P.turns_now(store).select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+    assert BatchStore(spark, str(tmp_path / "none"), store.schema, T.merged_turns).read().count() == 0
+    with pytest.raises(ValueError, match="the store keeps"):
+        store.add(part.withColumn("event_count", F.col("event_count").cast("int")), 70)
+
+
+def test_live_usage_equals_the_batch(spark, tmp_path):
+    raw = [(f"r{i % 3}", f"n{i % 2}", 0.1 * i, json.dumps({"usage_metadata": {"input_tokens": i}}) if i % 4 else "{}") for i in range(40)]
+    rows = T.normalize_usage(spark.createDataFrame(raw, "run_id string, node string, elapsed_seconds double, raw string"))
+    store = BatchStore(spark, str(tmp_path / "u"), P.usage_store(spark, "").schema, T.merged_usage, width=2)
+    for n in range(4):
+        store.add(T.usage_parts(rows.filter(F.pmod(F.hash("raw", "elapsed_seconds"), F.lit(4)) == n)), n)
+    whole = T.usage_rollup(rows)
+    key = lambda r: (r[0], r[1] or "")
+    assert sorted(map(tuple, P.usage_now(store).select(whole.columns).collect()), key=key) == sorted(map(tuple, whole.collect()), key=key)
+
+
+def test_intake_opens_only_the_hashes_it_meets(spark, tmp_path):
+    src, store = tmp_path / "in", str(tmp_path / "store")
+    src.mkdir()
+    for i in range(40):
+        (src / f"{i:02d}.txt").write_text(f"text {i % 30}\n")
+    P.stream_corpus(spark, str(src), store, str(tmp_path / "mark"), files_per_batch=4)
+    got = spark.read.parquet(f"{store}/corpus")
+    assert got.count() == got.select("source_hash").distinct().count() == 30 and got.select("batch").distinct().count() >= 7
+    hashes = P.known_hashes(spark, store)
+    assert hashes.read().count() == 30 and len(hashes.covering()) <= 4
+    one = hashes.read().first().prefix
+    plan = hashes.read().filter(F.col("prefix").isin([one]))
+    scans = [line for line in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
+    laid = [line for line in scans if "prefix=" in line or "PartitionFilters: [isnotnull(prefix" in line]
+    assert laid and all("PartitionFilters: [isnotnull(prefix" in line for line in laid) and len(scans) <= 4
+    assert plan.count() == sum(r.prefix == one for r in hashes.read().collect())
+
+
 def test_inactive_runs_are_interrupted(spark, tmp_path):
     src = tmp_path / "in"
     write(src, "1.json", [event("idle", 1, 0, "running"), event("done", 1, 0, "completed"), event("busy", 1, 0, "running")])
