@@ -181,6 +181,28 @@ def test_hub_is_cut_at_the_first_row_past_a_limit(spark):
     assert meta.first().reason == "node_limit"
 
 
+def test_long_lists_are_read_by_blocks(spark):
+    """Blocks of thirty edges against whole lists: same nodes, edges and reasons, with filters that leave few edges of a hub."""
+    rnd = random.Random(8)
+    names = [f"n{i:03}" for i in range(60)]
+    types = ["knows", "located_in", "friend_of"]
+    edges = [(f"r{i:04}", "n000" if i % 2 else rnd.choice(names[:4]), rnd.choice(names[1:]), types[0] if i % 40 else types[1], "affirmed", rnd.randrange(9))
+             for i in range(900)]
+    rows = [(e[0], e[1], e[2], e[3], e[4], "narration") for e in edges if e[1] != e[2]]
+    places = {e[0]: e[5] for e in edges}
+    g = {"entities": spark.createDataFrame([(n, "character" if n[-1] != "7" else "location") for n in names], "entity_id string, type string"),
+         "relations": spark.createDataFrame(rows, "relation_id string, source_id string, target_id string, type string, polarity string, statement_mode string"),
+         "evidence_groups": spark.createDataFrame([(f"g{r[0]}", r[0], places[r[0]], places[r[0]] + 1) for r in rows], "group_id string, relation_id string, first_section int, last_section int")}
+    asked = [(f"q{i}", rnd.choice(names[:8]), 1 + i % 3, rnd.choice([None, 2]), rnd.choice([None, 6]), rnd.choice([None, ["location"]]), rnd.choice([None, ["located_in"], ["knows"]])) for i in range(20)]
+    rq = spark.createDataFrame(asked, "request_id string, entity_id string, depth int, scope_from int, scope_to int, entity_types array<string>, relation_types array<string>")
+    found = [[sorted(map(str, frame.collect())) for frame in Q.neighbors(rq, g, 30, 20, block_edges=size)] for size in (30, 10_000)]
+    assert found[0] == found[1] and any("True" in row for row in found[0][2])
+    adj, hubs = Q.blocked(Q.adjacency(g), 30)
+    assert adj.groupBy("node", "block").agg(F.count_distinct("relation_id").alias("n")).agg(F.max("n")).first()[0] <= 30
+    start = spark.createDataFrame([("q", "n000", 0, "n000", None, None, None, None)], "request_id string, node string, pos int, entity_id string, " + REQ)
+    assert 5 <= Q._first_edges(start, adj, hubs, 5).count() <= 35  # of a list of more than four hundred
+
+
 def test_search_is_literal(spark):
     g = graph(spark, EDGES)
     rows = [(q, q, None, 0, 10, None, None) for q in ("%", "_", "50%_off", "p", "zz")]
