@@ -394,3 +394,22 @@ def test_a_link_decision_must_name_its_target(spark):
     ids, outcome = R.merge_identities(e, own, links, said)
     assert {r.link_key: r.outcome for r in outcome.collect()} == {"l1": "merged", "l2": "ambiguous"}
     assert {r.entity_key: r.identity for r in ids.collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_extraction_rounds_end_with_windows_that_can_be_taken(spark):
+    from quillgraph.operators import build
+    from quillgraph.plans.build_queries import candidate_tables
+    names = ["".join(x).capitalize() for x in itertools.islice(itertools.product("abcdefgh", repeat=4), 0, 4000, 25)]
+    text = (" ".join(names) + "\n" + "plain words here and there\n" * 80)[:2400]
+    chunks, corpus, _, _ = windows(spark, text)
+    found = build.extract_until_settled(chunks, corpus, candidate_tables, "compact")
+    parts = found.windows.orderBy("core_start").collect()
+    assert [p.core_start for p in parts[1:]] == [p.core_end for p in parts[:-1]] and (parts[0].core_start, parts[-1].core_end) == (0, len(text))
+    assert any(p.unit_id.count(":a") + p.unit_id.count(":b") >= 2 for p in parts)
+    assert all(p.core_end - p.core_start < 400 for p in parts if p.saturated_at_minimum) and not parts[-1].saturated_at_minimum
+    # a single pass over the windows that are left finds the same candidates, and no window that could be cut is crowded
+    alone = build.extract_round(found.windows, chunks, corpus, candidate_tables)
+    listed = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert [listed(t) for t in found[1:]] == [listed(t) for t in alone[1:]]
+    dense = X.density(*alone[1:], found.windows, "compact").filter("saturated").select("unit_id").collect()
+    assert {r.unit_id for r in dense} == {p.unit_id for p in parts if p.saturated_at_minimum}
