@@ -202,11 +202,11 @@ def r09(spark, sf):
         "query_id", "passage_id", "rank", F.round("score", 6).alias("score"))
 
 
-def _vsql(lib):
+def _vsql(lib, library=VEC, queries=VQ):
     """The lexical SQL over the vector library instead of the line library."""
     body = SCORES.split("toks AS", 1)[1]
     body = body.replace(QRY + "," + TERMS, "qry AS (SELECT query_id, corpus_id, query, k FROM vq)," + TERMS)
-    return VEC + VQ + ", lib AS (SELECT * FROM uv),\ntoks AS" + body + lib
+    return library + queries + ", lib AS (SELECT * FROM uv),\ntoks AS" + body + lib
 
 
 # planted: the corpora whose number is a multiple of five lack the vector of their last passage
@@ -250,17 +250,56 @@ def _hybrid(spark, sf):
     return search.hybrid_search(q, lib, vectors)
 
 
-@register("r12_hits", sql(HYBRID, """, h AS (SELECT s.*, l.text, l.section_title, t.terms, list_filter(t.terms, lambda x: contains(replace(lower(l.text || ' ' || l.section_title),'ß','ss'), x)) AS matched,
+HITS = """, h AS (SELECT s.*, l.text, l.section_title, t.terms, list_filter(t.terms, lambda x: contains(replace(lower(l.text || ' ' || l.section_title),'ß','ss'), x)) AS matched,
    regexp_replace(l.text, '^\\s+|\\s+$', '', 'g') AS body FROM sel s JOIN lib l USING (corpus_id, passage_id) JOIN terms t USING (query_id)),
  p AS (SELECT *, list_min(list_filter(list_transform(CASE WHEN len(matched)>0 THEN matched ELSE terms END, lambda x: strpos(replace(lower(body),'ß','ss'), x) - 1), lambda v: v >= 0)) AS first FROM h)
  SELECT query_id, position, parent_chunk_id AS chunk_id, section_title, round(fused*1000, 6) AS score, array_to_string(matched, '|') AS matched_terms,
-   md5(CASE WHEN length(body) <= 600 THEN body ELSE regexp_replace(substr(body, greatest(0, coalesce(first,0)-120)::BIGINT + 1, 600), '^\\s+|\\s+$', '', 'g') END) AS snippet_md5 FROM p""").replace("\n, h AS", ", h AS"))
+   md5(CASE WHEN length(body) <= 600 THEN body ELSE regexp_replace(substr(body, greatest(0, coalesce(first,0)-120)::BIGINT + 1, 600), '^\\s+|\\s+$', '', 'g') END) AS snippet_md5 FROM p"""
+
+
+@register("r12_hits", sql(HYBRID, HITS))
 def r12(spark, sf):
     hits, _ = _hybrid(spark, sf)
     return hits.select("query_id", "position", "chunk_id", "section_title", "score", F.array_join("matched_terms", "|").alias("matched_terms"),
                        F.md5("snippet").alias("snippet_md5"))
 
 
+# Every document is a passage of its source here, with or without a vector; benchmark items ask.
+WHOLE = VEC.replace("FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id", "FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id").replace(
+    "e.vec_id//2", "d.doc_id//2").replace("e.vec_id AS", "d.doc_id AS").replace("e.label", "coalesce(e.label, d.doc_id % 10)")
+WHOLE_QUERIES = ", vq AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS corpus_id, text AS query, 8 AS k FROM benchmark)"
+USABLE = "(SELECT corpus_id FROM vl GROUP BY 1 HAVING count(*) = count(embedding))"
+
+
+def _whole(spark, sf):
+    docs, null = table(spark, sf, "documents"), F.lit(None).cast("bigint")
+    label = F.coalesce("label", F.col("doc_id") % 10)
+    lib = docs.join(table(spark, sf, "embeddings"), F.col("vec_id") == F.col("doc_id"), "left").select(
+        F.col("source").alias("corpus_id"), F.col("doc_id").alias("passage_id"), F.floor(F.col("doc_id") / 2).alias("parent_chunk_id"),
+        label.cast("string").alias("section_id"), label.cast("bigint").alias("section_order"),
+        F.concat_ws(" ", "lang", "source").alias("section_title"), F.col("doc_id").alias("start_char"),
+        F.lit(1).cast("bigint").alias("start_line"), F.lit(1).cast("bigint").alias("end_line"), "text", "embedding")
+    asked = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("corpus_id"), F.col("text").alias("query"),
+        F.lit(None).cast("array<double>").alias("vector"), F.lit(8).cast("bigint").alias("k"), null.alias("scope_from"), null.alias("scope_to"),
+        F.lit(None).cast("string").alias("scope_error"))
+    return search.hybrid_search(asked, lib.drop("embedding"), lib.filter("embedding is not null"))
+
+
+@register("r12_hits_without_vectors", sql(_vsql(""", fr AS (SELECT query_id, corpus_id, passage_id, start_char, 1.0/(60+rank) AS fused, rank AS fused_rank FROM (
+   SELECT query_id, corpus_id, passage_id, start_char, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, start_char, passage_id) AS rank FROM lex QUALIFY rank <= 30)),
+par AS (""" + HYBRID.split("par AS (", 1)[1], WHOLE, WHOLE_QUERIES), HITS))
+def r12_whole(spark, sf):
+    """Hits among all documents: a source with a document that has no vector is searched by words, that document too."""
+    return _whole(spark, sf)[0].select("query_id", "position", "chunk_id", "section_title", "score", F.array_join("matched_terms", "|").alias("matched_terms"),
+                                       F.md5("snippet").alias("snippet_md5"))
+
+
+@register("r13_fallback_without_vectors", sql(WHOLE + WHOLE_QUERIES, f"SELECT query_id, corpus_id, 'bm25_fallback' AS code, 'count_mismatch' AS reason FROM vq WHERE corpus_id NOT IN {USABLE}"))
+def r13_whole(spark, sf):
+    return _whole(spark, sf)[1]
+
+
 @register("r13_hybrid_fallback", sql(VEC + VQ, "SELECT query_id, corpus_id, 'bm25_fallback' AS code, 'count_mismatch' AS reason FROM vq WHERE CAST(substr(corpus_id, 4) AS INT) % 5 = 0"))
 def r13(spark, sf):
     return _hybrid(spark, sf)[1]

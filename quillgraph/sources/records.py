@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.runtime import stage
+
 CONVERSATION_VERSION = 1
 CONVERSATION = ("version bigint, conversation_id string, novel_id string, title string, created_at string, updated_at string, "
                 "turns array<struct<turn_id:string, run_id:string, question:string, status:string, created_at:string, "
@@ -50,12 +52,17 @@ def scan_trace(spark: SparkSession, path: str) -> DataFrame:
     return parse_trace(spark.read.text(path))
 
 
-def write_trace(df: DataFrame, path: str) -> None:
+FILE_ROWS = 500_000
+
+
+def write_trace(df: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
     """Appends rows (run_id, timestamp, node, update) as JSON lines, one folder per day.
 
-    Days bound the number of folders; a folder per run would make one tiny file per run at scale.
+    Days bound the number of folders; a folder per run would make one tiny file per run at scale. A day has a file per ``file_rows``
+    rows, cut by ranges of (run, timestamp): a day or a run of any size is written by many tasks, and the files of a run lie together.
     """
     stamped = F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    out = df.select("run_id", stamped.alias("timestamp"), "node", "update", F.to_date("timestamp").alias("day"))
-    out.repartition("day", F.pmod(F.xxhash64("run_id"), F.lit(16))).sortWithinPartitions("run_id", "timestamp").write.mode(
+    out = stage(df.select("run_id", stamped.alias("timestamp"), "node", "update", F.to_date("timestamp").alias("day")), "trace")
+    rows = out.count()
+    out.repartitionByRange(max(1, -(-rows // file_rows)), "day", "run_id", "timestamp").sortWithinPartitions("day", "run_id", "timestamp").write.mode(
         "append").partitionBy("day").json(path)
