@@ -335,6 +335,49 @@ def test_kneser_ney_sums_to_one():
         assert all(np.isfinite(v).all() for v in e)
 
 
+def folded(text):
+    out = ""
+    for c in " " + (text or "") + " ":
+        c = c.lower() if c.lower().isalpha() else " "
+        out += "" if c == " " and out[-1:] == " " else c
+    return out
+
+
+def kneser_ney_by_hand(texts, alphabet):
+    """P(character | history) from dictionaries: counts at the longest order, distinct left neighbours below it."""
+    texts, top, d = [folded(t) for t in texts], language_id.ORDER, language_id.DISCOUNT
+    seen = {n: [t[i:i + n] for t in texts for i in range(len(t) - n + 1)] for n in range(1, top + 1)}
+    counts = {top: {g: seen[top].count(g) for g in set(seen[top])}}
+    for n in range(1, top):
+        longer = set(seen[n + 1])
+        counts[n] = {g: sum(x.endswith(g) for x in longer) or 1 for g in set(seen[n])}
+
+    def p(history, c):
+        if history is None:
+            return 1 / (alphabet + 1)
+        own = {g: k for g, k in counts[len(history) + 1].items() if g[:-1] == history}
+        shorter = p(history[1:] if history else None, c)
+        total = sum(own.values())
+        return max(own.get(history + c, 0) - d, 0) / total + d * len(own) / total * shorter if own else shorter
+    return p
+
+
+def test_kneser_ney_by_dictionaries():
+    rng = random.Random(4)
+    make = lambda signs, n: "".join(rng.choices(signs, k=n))
+    samples = {"x": [make("abcd e", rng.randint(0, 60)) for _ in range(12)] + ["", "a", "Ab!"], "y": [make("bcf, gé", 40) for _ in range(8)]}
+    probes = ["abcd", "fog. BCé", "", None, "zz", "c", "1 2"] + [make("abcdefg é", 30) for _ in range(10)]
+    model = language_id.KneserNey(samples)
+    alphabet = len(set("".join(folded(t) for own in samples.values() for t in own)))
+    entropy, size = model.entropy(probes)
+    for j, name in enumerate(model.languages):
+        p = kneser_ney_by_hand(samples[name], alphabet)
+        for i, text in enumerate(map(folded, probes)):
+            logs = [-math.log10(p(text[max(0, k - language_id.ORDER + 1):k], text[k])) for k in range(1, len(text))]
+            assert size[i] == len(text) and entropy[i, j] == pytest.approx(sum(logs) / max(1, len(logs)), abs=1e-9), (name, text)
+        assert sum(p("ab", c) for c in set("".join(folded(t) for own in samples.values() for t in own))) + p("ab", "Z") == pytest.approx(1)
+
+
 SECRET_TEXTS = ["password: hunter22 token=ab", 'x api_key="AKIA' + "Q" * 20 + '" ' + "0f" * 14, "SECRET=token: abcdefgh", "é password=éabcdef passwd = a.b-c_d/e", "f" * 23 + " " + "a" * 24,
                 "key qX9vT2mLw8Zk4RbN7cYp1sHd end", "plain text with nothing", None, "", "the internationalization_of_everything"]
 
