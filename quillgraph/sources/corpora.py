@@ -5,14 +5,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import is_blank
-from quillgraph.functions.udfs import decode_frames
+from quillgraph.functions.udfs import decode_batches
 
 MANIFEST_VERSION = 1
 
 
 def decode_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, content) rows to (corpus, rejects). Undecodable and blank files are rejected with a reason."""
-    rows = files.select("path", "content").mapInPandas(decode_frames, "path string, text string, encoding string")
+    rows = files.select("path", "content").mapInArrow(decode_batches, "path string, text string, encoding string")
     reason = F.when(F.col("text").isNull(), "undecodable").when(is_blank(F.col("text")), "blank")
     judged = rows.withColumn("reason", reason)
     corpus = judged.filter(F.col("reason").isNull()).select(

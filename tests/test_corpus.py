@@ -3,9 +3,11 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.functions import udfs
 from quillgraph.functions.numerals import chinese_value, english_value, roman_value
 from quillgraph.functions.spans import CHUNK_SIZES, PASSAGE_SIZES, Breaks, pieces
 from quillgraph.functions.text import fold
@@ -192,3 +194,18 @@ def test_dedup_keeps_the_earliest(spark):
     rows = [(1, "x", 5), (2, "x", 3), (3, "y", 1), (4, "x", 3)]
     got = dedup_corpora(spark.createDataFrame(rows, "corpus_id bigint, text string, created_at bigint")).collect()
     assert {(r.corpus_id, r.copies) for r in got} == {(2, 3), (3, 1)}
+
+
+def test_texts_are_sliced_and_decoded_a_few_megabytes_at_a_time():
+    texts = [f"{i:05d}" + "äb" * (i % 900) for i in range(12_000)]
+    spans = [[{"start_char": a, "end_char": a + 40 * (i % 3), "n": a} for a in range(i % 4)] for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(spans)], names=["corpus_id", "text", "spans"])
+    out = list(udfs.slice_batches(iter([batch.slice(3, 11_000)]), ["start_char", "end_char", "n"]))
+    got = [(r["corpus_id"], r["start_char"], r["text"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, s["start_char"], texts[i][s["start_char"]:s["end_char"]]) for i in range(3, 11_003) for s in spans[i]]
+    assert len(out) > 1 and max(b.num_rows for b in out) <= udfs.PART_ROWS
+    files = pa.RecordBatch.from_arrays([pa.array(map(str, range(len(texts)))), pa.array([t.encode() for t in texts])], names=["path", "content"])
+    out = list(udfs.decode_batches(iter([files])))
+    assert [r["text"] for b in out for r in b.to_pylist()] == texts
+    assert len(out) > 1 and max(sum(len(t.as_py().encode()) for t in b.column("text")) for b in out) <= udfs.PART_BYTES
+    assert list(udfs.parts([])) == [] and list(udfs.parts([9, 1, 1, 5, 0], 6)) == [slice(0, 1), slice(1, 3), slice(3, 5)]
