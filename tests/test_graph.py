@@ -210,6 +210,22 @@ def test_search_is_literal(spark):
     assert got == {"%": ("50%_off", "contains"), "_": ("50%_off", "contains"), "50%_off": ("50%_off", "name_exact"), "p": ("p", "name_exact")}
 
 
+def test_search_meets_long_queries_on_long_pieces(spark):
+    names = [f"customer {i}" for i in range(0, 3000, 7)] + ["aaaaaaaaaa", "an old customer 14 of ours " + "and theirs " * 20]
+    g = {"entities": spark.createDataFrame([(n, "person", n, n, 0) for n in names], "entity_id string, type string, name string, normalized_name string, first_section_order bigint"),
+         "aliases": spark.createDataFrame([(n, n) for n in names], "entity_id string, normalized_alias string"),
+         "mentions": spark.createDataFrame([(n, 0, 0) for n in names], "entity_id string, section_order bigint, start_char bigint")}
+    asked = ["c", "er", "mer", "customer 14", "stomer 2", "aaaa", "aaaaaaaaaaa", " 14 of ours and", "ours " + "and theirs " * 17, "customer 70", "x", "", "a" * 201]
+    rq = spark.createDataFrame([(q, q, None, 0, 1000, None, None) for q in asked], "request_id string, query string, entity_type string, offset bigint, limit bigint, scope_from bigint, scope_to bigint")
+    want = {(q, n) for q in asked if 1 <= len(q) <= 200 for n in names if q in n}
+    index = Q.alias_index(g["aliases"])
+    assert {(r.request_id, r.entity_id) for r in Q.entity_search(rq, g).collect()} == want
+    assert {(r.request_id, r.entity_id) for r in Q.entity_search(rq, g, index).collect()} == want
+    # "mer 14" and its neighbours are on far fewer aliases than any three characters of "customer 14"
+    met = index.filter(F.length("gram") == 8).filter("gram = 'tomer 14'").count()
+    assert 0 < met < 20 < index.filter("gram = 'r 1'").count()
+
+
 def largest_fit(nodes, edges, paths, budget):
     """By definition: the most paths that fit with what they refer to; without paths the most edges with their nodes."""
     def keep(n_paths, n_edges, loose):
