@@ -429,3 +429,62 @@ def test_extraction_rounds_end_with_windows_that_can_be_taken(spark):
     assert [listed(t) for t in found[1:]] == [listed(t) for t in alone[1:]]
     dense = X.density(*alone[1:], found.windows, "compact").filter("saturated").select("unit_id").collect()
     assert {r.unit_id for r in dense} == {p.unit_id for p in parts if p.saturated_at_minimum}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_attribution_locates_once_and_keeps_repeated_anchors(spark):
+    """What located the spans stands once in the plan; repeated rows stay, and share the earliest chunk of their key."""
+    rows = [(1, "u", "entity", 0, 0, "q", 5, 8), (1, "u", "entity", 0, 0, "q", 5, 8), (1, "u", "entity", 1, 0, "q", 12, 15),
+            (1, "u", "entity", 2, 0, "q", None, None), (1, "v", "entity", 0, 0, "q", 8, 13), (None, "u", "entity", 0, 0, "q", 5, 8)]
+    given = spark.createDataFrame(rows, "corpus_id long, unit_id string, kind string, pos long, part int, quote string, start_char long, end_char long")
+    located = given.mapInArrow(lambda batches: batches, given.schema)
+    chunks = spark.createDataFrame([(1, 0, "a", 0, 0, 10), (1, 1, "b", 1, 4, 20), (1, 2, "c", 2, 10, 11)],
+                                   "corpus_id long, chunk_order long, chunk_id string, section_order long, start_char long, end_char long")
+    placed = X.attribute(located, chunks)
+    got = sorted((str(r.corpus_id), r.unit_id, r.pos, str(r.chunk_id)) for r in placed.collect())
+    assert got == [("1", "u", 0, "a"), ("1", "u", 0, "a"), ("1", "u", 1, "b"), ("1", "u", 2, "None"), ("1", "v", 0, "b"), ("None", "u", 0, "None")]
+    assert _plan(placed).count("MapInArrow") == 1
+
+
+def test_candidates_ends_and_windows_meet_placed_by_unit(spark):
+    """Both ends, the anchors and the window of a relation are joined on the unit alone; an end named twice gives two rows, as a join does."""
+    span = "array<struct<start_char:long,end_char:long,section_order:long,chunk_id:string,quote:string>>"
+    here = lambda a: [(a, a + 2, 0, "c", "Aa")]
+    valid = spark.createDataFrame([(1, "u", "x", "person", "Aa", here(3)), (1, "u", "y", "person", "Bb", here(9)), (1, "u", "y", "person", "Cc", here(12))],
+                                  f"corpus_id long, unit_id string, local_id string, type string, name string, spans {span}")
+    relations = spark.createDataFrame([(1, "u", 0, "x", "y", "knows"), (1, "u", 1, "x", "z", "knows"), (1, "w", 0, "x", "y", "knows")],
+                                      "corpus_id long, unit_id string, pos long, source string, target string, type string")
+    placed = spark.createDataFrame([(1, "u", "relation", 0, 0, 3, 5, 0, "c", "Aa"), (1, "u", "relation", 0, 1, 9, 11, 0, "c", "Bb"), (1, "u", "relation", 1, 0, 3, 5, 0, "c", "Aa")],
+                                   "corpus_id long, unit_id string, kind string, pos long, part int, start_char long, end_char long, section_order long, chunk_id string, quote string")
+    windows = spark.createDataFrame([(1, "u", 0, 20), (1, "w", 20, 40)], "corpus_id long, unit_id string, core_start long, core_end long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = X.validate_relations(relations, valid, placed, windows)
+        assert _plan(out).count("Exchange hashpartitioning") == 4  # each input once
+        got = sorted((r.unit_id, r.pos, str(r.target_name), r.status) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == [("u", 0, "Bb", "kept"), ("u", 0, "Cc", "kept"), ("u", 1, "None", "rejected"), ("w", 0, "None", "rejected")]
+
+
+def test_names_are_folded_where_they_stand(spark):
+    from quillgraph.functions.udfs import with_folded
+    given = spark.createDataFrame([(1, " ＡＢ "), (2, None), (3, "Straße"), (3, "Straße")], "k int, name string")
+    out = with_folded(given, "name", "folded")
+    assert "Exchange" not in _plan(out)
+    assert sorted((r.k, str(r.folded)) for r in out.collect()) == [(1, "ab"), (2, "None"), (3, "strasse"), (3, "strasse")]
+
+
+def test_chunk_bounds_are_those_of_the_lines_and_shuffle_no_text(spark, tmp_path):
+    from quillgraph.plans.adapters import chunk_bounds, line_chunks
+    spark.createDataFrame([(1, "one\ntwo\n\nfour", "s", "en"), (2, "", "s", "en"), (3, None, "s", "en"), (4, "é\n漢字", "s", None)],
+                          "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    bounds = chunk_bounds(spark, str(tmp_path))
+    rows = lambda df: sorted(map(tuple, df.select(bounds.columns).collect()))
+    assert rows(bounds) == rows(line_chunks(spark, str(tmp_path)))
+    below = _plan(bounds).split("Exchange")[1]
+    assert "Generate" in below  # lengths are taken below the exchange, so no text passes it
