@@ -488,3 +488,16 @@ def test_chunk_bounds_are_those_of_the_lines_and_shuffle_no_text(spark, tmp_path
     assert rows(bounds) == rows(line_chunks(spark, str(tmp_path)))
     below = _plan(bounds).split("Exchange")[1]
     assert "Generate" in below  # lengths are taken below the exchange, so no text passes it
+
+
+def test_lists_behind_the_deciding_edges_are_not_fetched(spark):
+    """Only lists that begin before the ``most``-th allowed edge are read; what filters drop does not count, and a repeated request
+    or an edge seen in two ranges counts once."""
+    rows = [("a", f"r{i}", f"x{i}", m) for i in range(4) for m in (1, 2)] + [("b", f"s{i}", f"y{i}", 1) for i in range(3)] + [("c", "t0", "z0", 1), ("d", "u0", "w0", 1)]
+    adj = spark.createDataFrame([(n, r, o, "knows", "person", m, m, 0) for n, r, o, m in rows],
+                                "node string, relation_id string, other string, relation_type string, other_type string, first_section long, last_section long, block long")
+    asked = [("q", n, p, "e", None) for p, n in enumerate("abcd")] * 2 + [("s", n, p, "e", 2) for p, n in enumerate("bacd")]
+    start = spark.createDataFrame([(q, n, p, e, f, None, None, None) for q, n, p, e, f in asked],
+                                  "request_id string, node string, pos int, entity_id string, scope_from long, scope_to long, entity_types array<string>, relation_types array<string>")
+    got = {(r.request_id, r.pos, r.relation_id) for r in Q._first_edges(start, adj, None, 6).collect()}
+    assert got == {("q", 0, f"r{i}") for i in range(4)} | {("q", 1, f"s{i}") for i in range(3)} | {("s", 1, f"r{i}") for i in range(4)}
