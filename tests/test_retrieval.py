@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.functions.udfs import pairs_of
 from quillgraph.operators import dense, lexical, search
 
 
@@ -173,3 +175,28 @@ def test_boosts_by_scan_and_through_runs_follow_the_literal_rule(spark):
     assert len(want) > 150 and 0.0 in want.values()
     for scanned in (1000, 0, 2):
         assert {(r.query_id, r.passage_id): r.score for r in lexical.boosts(q, p, scanned).collect()} == want
+
+
+def test_pairs_of_texts_are_found_on_their_bytes():
+    rng = random.Random(1)
+    for _ in range(300):
+        texts = [rng.choice([None, *["".join(rng.choice("aZ09 .é旧城㐀鿿ꀀ㏿𠮷ß\n") for _ in range(rng.choice([0, 1, 2, 30])))] * 9]) for _ in range(rng.randint(0, 6))]
+        fits = lambda c: c.isascii() and c.isalnum() or "㐀" <= c <= "鿿"
+        want = [None if t is None else [a + b for a, b in zip(t, t[1:]) if fits(a) and fits(b)] for t in texts]
+        own = pa.array(texts, pa.string())
+        assert pairs_of(own).to_pylist() == want and pairs_of(own[1:]).to_pylist() == want[1:]
+
+
+def test_terms_are_looked_for_once_for_all_who_ask(spark):
+    """The looks at a text follow the distinct terms of a corpus, not its queries; the vocabulary counts the tokens once."""
+    class Text(str):
+        looks = 0
+
+        def count(self, term):
+            Text.looks += 1
+            return super().count(term)
+    terms = {"b": [(q, 1.0, 3.0) for q in range(50)], "zz": [(0, 1.0, 3.0)], "a b": [(0, 5.0, 7.0)]}
+    sums = lexical._scan(terms, [Text("a b b"), Text("c"), Text("")], ["", "b", ""])
+    assert sums == [{q: 2.0 + 5.0 * (q == 0) for q in range(50)}, {q: 3.0 for q in range(50)}, {}] and Text.looks == 3
+    index = lexical.build_index(passages(spark, ["lantern river", "river"]))
+    assert "Generate" not in index.vocabulary._jdf.queryExecution().toString()
