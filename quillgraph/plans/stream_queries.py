@@ -46,8 +46,10 @@ def _collect(spark, stream, mode, label):
 def w01(spark, sf):
     """The documents become one text file each (the writer ends a file with a line break), then the stream takes them in."""
     path = scratch_path(spark, "intake")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    docs.write.partitionBy("doc_id").text(f"{path}/in")
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    files = docs.repartition("doc_id").groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    # a file per row in one folder: a folder per document is slow to write and to list
+    files.select("text").write.option("maxRecordsPerFile", 1).text(f"{path}/in")
     P.stream_corpus(spark, f"{path}/in", f"{path}/store", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/store/corpus").groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
 

@@ -55,7 +55,9 @@ def stream_corpus(spark: SparkSession, path: str, store: str, checkpoint: str, p
 
     def intake(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        corpus, rejects = decode_files(batch)
+        # small files are slow to open: they are read once, for the texts, their winners and the rejects
+        content, opened = cut_lineage(batch.select("path", "content"), "content")
+        corpus, rejects = decode_files(content)
         winners = corpus.groupBy("source_hash").agg(F.min("path").alias("path"))
         decoded, scratch = cut_lineage(corpus.join(winners, ["source_hash", "path"], "left_semi"), "intake")
         prefix = F.substring("source_hash", 1, HASH_PREFIX)
@@ -67,6 +69,7 @@ def stream_corpus(spark: SparkSession, path: str, store: str, checkpoint: str, p
         rejects.write.mode("overwrite").parquet(f"{store}/rejects/batch={batch_id}")
         hashes.add(fresh.select("source_hash", prefix.alias("prefix")), batch_id)
         forget(session, scratch)
+        forget(session, opened)
 
     files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(intake).start().awaitTermination()
 

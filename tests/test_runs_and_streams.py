@@ -1,4 +1,6 @@
 """Evidence folding, turn state and the streaming forms of both."""
+import glob
+import hashlib
 import json
 import random
 
@@ -156,3 +158,20 @@ def test_conversation_files_are_checked(spark, tmp_path):
     ok, bad = J.scan_conversations(spark, str(tmp_path))
     assert [r.conversation_id for r in ok.collect()] == ["a"]
     assert {r.name: r.reason for r in bad.collect()} == {"b": "id_mismatch", "c": "invalid_turn", "d": "not_json"}
+
+
+def test_intake_lays_its_files_in_one_folder_and_opens_them_once(spark, tmp_path, monkeypatch):
+    """Rows of one id are one file; copies of a text are taken in once; a null text is blank."""
+    from quillgraph.plans.stream_queries import w01
+    from quillgraph.streaming import pipelines
+    rows = [(1, "alpha"), (2, "beta\nbeta"), (3, "alpha"), (4, None), (5, "gamma"), (5, "gamma"), (None, "delta")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    decoded, plain = [], pipelines.decode_files
+    monkeypatch.setattr(pipelines, "decode_files", lambda files: decoded.append(files) or plain(files))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{shared}/intake-*"))
+    got = {r.text_md5: r.n for r in w01(spark, str(tmp_path)).collect()}
+    assert got == {hashlib.md5(t.encode()).hexdigest(): 1 for t in ("alpha\n", "beta\nbeta\n", "gamma\ngamma\n", "delta\n")}
+    made, = set(glob.glob(f"{shared}/intake-*")) - before
+    assert not glob.glob(f"{made}/in/*/") and len(glob.glob(f"{made}/in/*.txt")) == 6
+    assert "binaryFile" not in decoded[0]._jdf.queryExecution().toString()
