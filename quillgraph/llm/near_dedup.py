@@ -170,17 +170,21 @@ def rare_firsts(sets: DataFrame, percent: int) -> DataFrame:
 
 def rare_pairs(firsts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that meet in a shingle after which enough of both sets is left to be similar.
-    Components meet first, by the bounds of their members in that shingle, so the members of one never meet."""
+    Components meet first, by the bounds of their members in that shingle, so the members of one never meet; a member then goes to
+    the components in whose bounds it is itself, so a large component is not laid out once for each text that shares a word with it."""
     firsts = firsts.withColumn("rest", F.col("n") - F.col("at"))
     enough = lambda least, smallest: (100 + percent) * F.least(*least) >= percent * (F.col(smallest[0]) + F.col(smallest[1]))
     held = firsts.groupBy("e", "component").agg(F.max("index").alias("index"), F.max("rest").alias("rest"), F.min("n").alias("least"))
     several = held.groupBy("e").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("index").alias("any")).filter("lo <> hi and any").select("e")
     firsts, held = (stage(t.join(several, "e", "left_semi"), "meeting") for t in (firsts, held))
     side = lambda n: held.select("e", F.col("component").alias(f"c{n}"), F.col("index").alias(f"index{n}"), F.col("rest").alias(f"rest{n}"), F.col("least").alias(f"least{n}"))
-    met = side("a").filter("indexa").join(side("b"), "e").filter((F.col("ca") != F.col("cb")) & enough(("resta", "restb"), ("leasta", "leastb"))).select("e", "ca", "cb")
+    # a meeting carries the bounds of its far component, so a member that can be similar to none of it goes no further
+    met = (side("a").filter("indexa").join(side("b"), "e").filter((F.col("ca") != F.col("cb")) & enough(("resta", "restb"), ("leasta", "leastb")))
+           .select("e", "ca", "cb", F.col("restb").alias("most"), F.col("leastb").alias("small")))
     member = lambda n: firsts.select("e", F.col("component").alias(f"c{n}"), F.col("index").alias(f"index{n}"), F.col("id").alias(n), F.col("n").alias(f"n{n}"), F.col("rest").alias(f"rest{n}"))
+    able = met.join(member("a").filter("indexa"), ["e", "ca"]).filter(enough(("resta", "most"), ("na", "small")))
     fits = (F.col("na") <= F.col("nb")) & (100 * F.col("na") >= percent * F.col("nb")) & enough(("resta", "restb"), ("na", "nb"))
-    pairs = met.join(member("a").filter("indexa"), ["e", "ca"]).join(member("b"), ["e", "cb"]).filter(fits)
+    pairs = able.select("e", "cb", "a", "na", "resta").join(member("b"), ["e", "cb"]).filter(fits)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -575,3 +575,26 @@ def test_rare_shingles_meet_every_similar_pair(spark, percent):
     similar = {(a, b) for a, b in apart if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
     assert similar <= found and all(a < b and a // 2 != b // 2 for a, b in found)
     assert len(similar) > 100 and len(found) < len(apart) / 3
+
+
+def test_a_large_component_is_not_laid_out_for_each_outsider(spark):
+    """A component with one short member, and texts that could be similar to that one alone: rows that joins make, not pairs, are counted."""
+    rng = random.Random(3)
+    sets = {i: set(range(60)) for i in range(150)} | {150: set(range(50))}
+    sets |= {200 + i: set(rng.sample(range(60), 52)) | {2000 + 10 * i + k for k in range(8)} for i in range(60)}
+    rows = spark.createDataFrame([(i, 0 if i < 200 else i, sorted(s)) for i, s in sets.items()], "id long, component long, set array<long>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = near_dedup.rare_pairs(near_dedup.rare_firsts(rows, 80), 80)
+        found = {(r.a, r.b) for r in pairs.collect()}
+        made, left = [], [pairs._jdf.queryExecution().executedPlan()]
+        while left:
+            node = left.pop()
+            if "Join" in node.nodeName():
+                made.append(node.metrics().apply("numOutputRows").value())
+            left += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    apart = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if b >= 200]
+    assert {(a, b) for a, b in apart if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])} <= found
+    assert len(made) >= 2 and max(made) < 2_000  # 17 214 when every member went to every component that its own one met
