@@ -598,3 +598,21 @@ def test_a_large_component_is_not_laid_out_for_each_outsider(spark):
     apart = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if b >= 200]
     assert {(a, b) for a, b in apart if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])} <= found
     assert len(made) >= 2 and max(made) < 2_000  # 17 214 when every member went to every component that its own one met
+
+
+def test_a_bucket_is_trained_in_narrow_columns():
+    """Bytes held at once per token; 104 before places were filled in one by one."""
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 5000) for _ in range(500)]
+    batch = pa.record_batch([pa.array(texts), pa.array(np.arange(500)), pa.array(np.arange(500) % 7 == 2)], names=["text", "key", "held_out"])
+    rows = next(pitman_yor._packed(np.zeros(0, np.uint64), 1)([batch])).to_pandas()
+    tokens = sum(int(np.frombuffer(r, np.uint32).sum()) for r in rows.runs)
+    tracemalloc.start()
+    try:
+        out = pitman_yor._trained(1)((0,), rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert tokens == 500 * 401 and np.frombuffer(out["count"][0], np.uint32).sum() == (np.arange(500) % 7 != 2).sum() * 401
+    assert peak < 75 * tokens
