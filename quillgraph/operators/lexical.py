@@ -156,19 +156,19 @@ def runs_with_terms(terms: DataFrame, runs: DataFrame) -> DataFrame:
     the runs that hold a term, and how often.
 
     A term of up to three characters is its own key, a longer one is met on that of its pieces of three which the fewest runs
-    hold; a term with a piece that no run holds is nowhere. Pieces nobody asks for are not joined, and ``contains`` has the last word.
+    hold; a term with a piece that no run holds is nowhere. Runs meet the key pieces alone, and ``contains`` has the last word.
     """
     own = F.when(F.length("term") <= 3, F.array("term")).otherwise(_pieces(F.col("term"), (3,)))
-    asked = terms.withColumn("pieces", own)
-    wanted = asked.select("corpus_id", F.explode("pieces").alias("piece")).distinct()
-    wanted = stage(wanted, "wanted")
+    asked = stage(terms.withColumn("pieces", own), "terms")
+    wanted = small_or_joined(asked.select("corpus_id", F.explode("pieces").alias("piece")).distinct(), "wanted")
     lengths = tuple(r[0] for r in wanted.select(F.length("piece")).distinct().collect())  # one to three
-    held = stage(runs.select("corpus_id", "run", "n", F.explode(_pieces(F.col("run"), lengths or (1,))).alias("piece")).join(wanted, ["corpus_id", "piece"], "left_semi"), "held")
-    counts = held.groupBy("corpus_id", "piece").agg(F.count("*").alias("runs"))
+    pieces = F.explode(_pieces(F.col("run"), lengths or (1,))).alias("piece")
+    counts = runs.select("corpus_id", pieces).join(wanted, ["corpus_id", "piece"], "left_semi").groupBy("corpus_id", "piece").agg(F.count("*").alias("runs"))
     rarest = (asked.select("corpus_id", "term", F.size("pieces").alias("of"), F.explode("pieces").alias("piece")).join(counts, ["corpus_id", "piece"])
               .groupBy("corpus_id", "term", "of").agg(F.min(F.struct("runs", "piece")).alias("key"), F.count("*").alias("present"))
               .filter("present = of").select("corpus_id", "term", F.col("key.piece").alias("piece")))
-    return (held.join(rarest, ["corpus_id", "piece"]).filter(F.contains("run", F.col("term")))
+    # pieces are cut twice, so that a run is laid out for the pieces that are keys alone; where these are few its terms stay in one place
+    return (runs.repartition("corpus_id", "run").select("corpus_id", "run", "n", pieces).join(small_or_joined(rarest, "rarest"), ["corpus_id", "piece"]).filter(F.contains("run", F.col("term")))
             .select("corpus_id", "run", "n", "term", occurrences(F.col("run"), F.col("term")).alias("found")))
 
 
@@ -261,19 +261,24 @@ def indexed_boosts(asked: DataFrame, passages: DataFrame) -> DataFrame:
     rows = stage(runs_of(searched), "runs")
     words = asked.select("query_id", "corpus_id", F.size("terms").alias("of"), F.explode(F.filter("terms", lambda t: ~F.contains(t, F.lit(" ")))).alias("term"))
     distinct = stage(rows.groupBy("corpus_id", "run").agg(F.count("*").alias("n")), "distinct-runs")
-    matched = stage(runs_with_terms(words.select("corpus_id", "term").distinct(), distinct), "matched")
-    frequency = matched.groupBy("corpus_id", "term").agg(F.sum("n").alias("n"))
+    # a run's terms, and then its queries, travel as one list: the run is spelled out once a step, not for each of them
+    matched = stage(runs_with_terms(words.select("corpus_id", "term").distinct(), distinct).groupBy("corpus_id", "run", "n")
+                    .agg(F.collect_list(F.struct("term", "found")).alias("held")), "matched")
+    frequency = matched.select("corpus_id", "n", F.inline("held")).groupBy("corpus_id", "term").agg(F.sum("n").alias("n"))
     rarest = (words.filter("of > 1").join(frequency, ["corpus_id", "term"], "left").groupBy("query_id")
               .agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("rarest")))
     alone = F.col("of") == 1
     in_text, in_title = F.when(alone, PHRASE_BOOST + 1).otherwise(1.0), F.when(alone, PHRASE_BOOST + 1 + TITLE_BOOST).otherwise(1.0 + TITLE_BOOST)
-    weights = (matched.drop("n").join(words, ["corpus_id", "term"]).join(rarest, "query_id", "left").groupBy("corpus_id", "run", "query_id")
-               .agg(F.sum(F.col("found") * in_text).alias("text_weight"), F.sum(F.col("found") * in_title).alias("title_weight"),
-                    F.max(F.coalesce(F.col("term") == F.col("rarest"), F.lit(False))).alias("phrase")))
+    askers = small_or_joined(words.join(rarest, "query_id", "left").select("query_id", "corpus_id", "term", in_text.alias("in_text"), in_title.alias("in_title"),
+                             F.coalesce(F.col("term") == F.col("rarest"), F.lit(False)).alias("phrase")), "askers")
+    weights = (matched.repartition("corpus_id", "run").select("corpus_id", "run", F.inline("held")).join(askers, ["corpus_id", "term"]).groupBy("corpus_id", "run", "query_id")
+               .agg(F.sum(F.col("found") * F.col("in_text")).alias("text_weight"), F.sum(F.col("found") * F.col("in_title")).alias("title_weight"), F.max("phrase").alias("phrase"))
+               .groupBy("corpus_id", "run").agg(F.collect_list(F.struct("query_id", "text_weight", "title_weight", "phrase")).alias("weights")))
     left, right = _spread(rows, stage(weights, "weights"), distinct)
     keys = ["query_id", "corpus_id", "passage_id", "section_order", "start_char"]
     part = F.when(F.col("kind") == 0, F.col("text_weight")).when(F.col("kind") == 1, F.col("title_weight")).otherwise(0.0)
-    pairs = left.join(right, ["corpus_id", "run", "salt"]).groupBy(*keys).agg(F.sum(part).alias("score"), F.max("phrase").alias("phrase"))
+    each = left.join(right, ["corpus_id", "run", "salt"]).select(*keys[1:], "kind", F.inline("weights"))
+    pairs = each.groupBy(*keys).agg(F.sum(part).alias("score"), F.max("phrase").alias("phrase"))
     held = stage(pairs, "pairs")
     whole = F.col("terms")[0]
     phrased = (held.filter("phrase").join(searched.select("corpus_id", "passage_id", "text", "section_title"), ["corpus_id", "passage_id"])

@@ -200,3 +200,15 @@ def test_terms_are_looked_for_once_for_all_who_ask(spark):
     assert sums == [{q: 2.0 + 5.0 * (q == 0) for q in range(50)}, {q: 3.0 for q in range(50)}, {}] and Text.looks == 3
     index = lexical.build_index(passages(spark, ["lantern river", "river"]))
     assert "Generate" not in index.vocabulary._jdf.queryExecution().toString()
+
+
+def test_runs_are_written_once_a_step_not_for_each_piece_or_term(spark, monkeypatch):
+    """What ``indexed_boosts`` writes that spells a run out has a row per run, or per place of a run, whatever its pieces, terms and queries."""
+    rows = [("k", f"p{n}", n, n, "title", f"abcdefghijklmnop{n % 7} qrstuvwxyz{n % 5} ") for n in range(40)]
+    p = spark.createDataFrame(rows, "corpus_id string, passage_id string, section_order bigint, start_char bigint, section_title string, text string")
+    asked = spark.createDataFrame([(q, "k", ["ab", "abcd", "cdef", "mnop", "qrst", "wxyz"][q % 6] + " nowhere") for q in range(30)], "query_id bigint, corpus_id string, query string")
+    written, stage = [], lexical.stage
+    monkeypatch.setattr(lexical, "stage", lambda df, label: written.append((label, stage(df, label))) or written[-1][1])
+    assert lexical.boosts(asked, p, scanned=0).count() == 30 * 40
+    counted = {label: df.count() for label, df in written if "run" in df.columns}
+    assert counted == {"runs": 40 * 3, "distinct-runs": 7 + 5 + 1, "matched": 7 + 5, "weights": 7 + 5}
