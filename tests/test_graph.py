@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.functions.runtime import placed
 from quillgraph.operators import extraction as X
 from quillgraph.operators import graph_query as Q
 from quillgraph.operators import resolution as R
@@ -501,3 +502,30 @@ def test_lists_behind_the_deciding_edges_are_not_fetched(spark):
                                   "request_id string, node string, pos int, entity_id string, scope_from long, scope_to long, entity_types array<string>, relation_types array<string>")
     got = {(r.request_id, r.pos, r.relation_id) for r in Q._first_edges(start, adj, None, 6).collect()}
     assert got == {("q", 0, f"r{i}") for i in range(4)} | {("q", 1, f"s{i}") for i in range(3)} | {("s", 1, f"r{i}") for i in range(4)}
+
+
+def test_hub_lists_are_looked_up_from_beside(spark):
+    """Paths through hubs and to hubs, their lists never read: same paths and reasons as from whole lists, with scopes and type filters."""
+    rnd = random.Random(5)
+    names = [f"n{i:02}" for i in range(40)]
+    pairs = [(names[rnd.randrange(3)] if i % 3 else rnd.choice(names), rnd.choice(names)) for i in range(160)]
+    edges = [(f"r{i:03}", a, b, "knows" if i % 4 else "located_in") for i, (a, b) in enumerate(pairs) if a != b]
+    g = {"entities": spark.createDataFrame([(n, "character" if n[-1] != "7" else "location") for n in names[:39]], "entity_id string, type string"),
+         "relations": spark.createDataFrame([(r, a, b, t, "affirmed", "narration") for r, a, b, t in edges], "relation_id string, source_id string, target_id string, type string, polarity string, statement_mode string"),
+         "evidence_groups": spark.createDataFrame([(f"g{r}", r, rnd.randrange(9), rnd.randrange(9)) for r, *_ in edges], "group_id string, relation_id string, first_section int, last_section int")}
+    asked = [(i, rnd.choice(names), rnd.choice(names[:3] if i % 2 else names), 1 + i % 3, 1 + i % 4, rnd.choice([None, None, 2]), rnd.choice([None, None, 7]), rnd.choice([None, None, ["location"]]), rnd.choice([None, None, ["knows"]]))
+             for i in range(150)]
+    rq = spark.createDataFrame(asked, "request_id int, from_id string, to_id string, max_hops int, limit int, scope_from int, scope_to int, entity_types array<string>, relation_types array<string>")
+    found = [[sorted(map(str, frame.collect())) for frame in Q.shortest_paths(rq, g, block_edges=size)] for size in (4, 10_000)]
+    assert found[0] == found[1] and sum("path_index=1," in row for row in found[0][0]) > 60
+    lengths = {row.count("'n") + row.count("'r") for row in found[0][0]}
+    assert {3, 5, 7} <= lengths
+
+
+def test_placed_rows_are_not_shuffled_again(spark):
+    """Of a join with placed rows the other side alone is shuffled, and groups by their keys are counted where they lie."""
+    rows = placed(spark.range(1000).selectExpr("id % 50 as node", "id % 2 as block", "id"), "rows", "node", "block")
+    ask = spark.range(50).selectExpr("id as node", "id % 2 as block").hint("shuffle_hash")
+    met = ask.join(rows, ["node", "block"]).groupBy("node", "block").agg(F.count("*").alias("n"))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and met.agg(F.sum("n")).first()[0] == 1000
