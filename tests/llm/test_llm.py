@@ -265,6 +265,28 @@ def test_pitman_yor_hot_words_of_held_out_texts(spark):
     assert len(nothing) == 3 and all(r.n_known == r.train_tokens == 0 and r.score == pytest.approx(0) and r.base_score == pytest.approx(0) for r in nothing)
 
 
+def test_pitman_yor_has_a_restaurant_for_each_word_before(spark, monkeypatch):
+    """A word that always follows one of a thousand words is expected after it, and not after others that share a hash class with it;
+    one bucket and many give nearly the same scores, and all tokens are scored."""
+    rng = random.Random(3)
+    follows = {f"a{i}": f"b{rng.randrange(40)}" for i in range(1000)}
+    pairs = [(a, b) for a, b in follows.items() for _ in range(6)]
+    rng.shuffle(pairs)
+    lines = [" ".join(f"{a} {b}" for a, b in pairs[i:i + 30]) for i in range(0, len(pairs), 30)]
+    asked = rng.sample(sorted(follows), 200)
+    right = " ".join(f"{a} {follows[a]}" for a in asked)
+    wrong = " ".join(f"{a} b{(int(follows[a][1:]) + 7) % 40}" for a in asked)
+    df = spark.createDataFrame([*enumerate(lines), (-1, right), (-2, wrong)], "doc_id long, text string")
+    scored = {}
+    for size in (10 ** 9, 1500):
+        monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", size)
+        scored[size] = {r.doc_id: r for r in pitman_yor.scores(df, F.col("doc_id") < 0).collect()}
+        got = scored[size]
+        assert len(got) == len(lines) + 2 and sum(r.n_tokens for r in got.values()) == 12_000 + len(lines) + 802 and got[-1].train_tokens == 12_000 + len(lines)
+        assert got[-1].score > got[-2].score + 200 * 1.2
+    assert abs(scored[1500][-1].score - scored[10 ** 9][-1].score) < 0.03 * abs(scored[10 ** 9][-1].score)
+
+
 def test_pitman_yor_sums_to_one():
     rng = np.random.default_rng(4)
     pairs = np.unique(rng.integers(0, 50 * pitman_yor.CLASSES, 3000))
