@@ -7,6 +7,7 @@ from quillgraph.functions.runtime import scratch_path
 from quillgraph.operators.runs import normalize_usage
 from quillgraph.plans import run_queries as R
 from quillgraph.plans.adapters import table
+from quillgraph.sources.corpora import write_texts
 from quillgraph.streaming import pipelines as P
 
 QUERIES, SQL = {}, {}
@@ -48,8 +49,8 @@ def w01(spark, sf):
     path = scratch_path(spark, "intake")
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     files = docs.repartition("doc_id").groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
-    # a file per row in one folder: a folder per document is slow to write and to list
-    files.select("text").write.option("maxRecordsPerFile", 1).text(f"{path}/in")
+    # one folder: a folder per document is slow to write and to list
+    write_texts(files.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("name"), "text"), f"{path}/in")
     P.stream_corpus(spark, f"{path}/in", f"{path}/store", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/store/corpus").groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
 

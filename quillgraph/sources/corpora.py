@@ -1,9 +1,14 @@
 """Text files as a corpus table, content de-duplication and manifest audit."""
 from __future__ import annotations
 
+import os
+from urllib.parse import urlsplit
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.runtime import make_folder
 from quillgraph.functions.text import is_blank
 from quillgraph.functions.udfs import decode_batches
 
@@ -26,6 +31,30 @@ def scan_text_corpus(spark: SparkSession, path: str, pattern: str = "*.txt") ->
     return decode_files(files)
 
 
+def write_texts(files: DataFrame, folder: str) -> None:
+    """(name, text) rows as text files ``name``.txt of one folder, each text ended by a line break; names differ.
+
+    Hadoop's local file system starts a process for the mode of every file, so the files of a mounted folder are written by the tasks
+    themselves, each under its name only when whole. In other stores Spark writes a file per row, under names of its own.
+    """
+    make_folder(files.sparkSession, folder)
+    at = urlsplit(folder)
+    if at.scheme not in ("", "file"):
+        files.select("text").write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+        return
+
+    def put(batches):
+        for batch in batches:
+            for name, text in zip(batch.column("name"), batch.column("text")):
+                path = os.path.join(at.path, name.as_py())
+                with open(f"{path}.{os.getpid()}.part", "wb") as file:
+                    file.write(text.as_py() + b"\n")
+                os.replace(file.name, f"{path}.txt")
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    files.select(F.col("name").cast("string").alias("name"), F.col("text").cast("binary").alias("text")).mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
 def encoding_census(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("encoding").agg(
         F.count("*").alias("texts"), F.sum(F.length("text").cast("bigint")).alias("characters"),

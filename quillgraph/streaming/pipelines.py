@@ -71,7 +71,14 @@ def stream_corpus(spark: SparkSession, path: str, store: str, checkpoint: str, p
         forget(session, scratch)
         forget(session, opened)
 
-    files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(intake).start().awaitTermination()
+    # a batch's files are looked up by a job with a task per file, up to this number, in the session that reads the stream
+    conf, name = spark.conf, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = conf.get(name)
+    conf.set(name, 4 * spark.sparkContext.defaultParallelism)
+    try:
+        files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(intake).start().awaitTermination()
+    finally:
+        conf.set(name, before)
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:

@@ -175,3 +175,16 @@ def test_intake_lays_its_files_in_one_folder_and_opens_them_once(spark, tmp_path
     made, = set(glob.glob(f"{shared}/intake-*")) - before
     assert not glob.glob(f"{made}/in/*/") and len(glob.glob(f"{made}/in/*.txt")) == 6
     assert "binaryFile" not in decoded[0]._jdf.queryExecution().toString()
+
+
+def test_texts_are_written_as_files_and_taken_in(spark, tmp_path):
+    """Bytes of each text and a line break under its name, nothing else in the folder; taking them in leaves the session's settings alone."""
+    from quillgraph.sources.corpora import write_texts
+    files = spark.createDataFrame([(str(i), f"text {i}\nMéé") for i in range(300)] + [("none", "")], "name string, text string")
+    write_texts(files, str(tmp_path / "in"))
+    names = sorted(p.name for p in (tmp_path / "in").iterdir())
+    assert names == sorted([f"{i}.txt" for i in range(300)] + ["none.txt"])
+    assert (tmp_path / "in/7.txt").read_bytes() == "text 7\nMéé\n".encode() and (tmp_path / "in/none.txt").read_bytes() == b"\n"
+    P.stream_corpus(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "mark"))
+    assert spark.read.parquet(str(tmp_path / "store/corpus")).count() == 300
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
